@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickwatch.model import Rule, Search, rules_frame
-from tickwatch.operators import search, state
+from tickwatch.model import ACTION_DDL, Rule, Search, rules_frame
+from tickwatch.plans.backtest import Backtest
 from tickwatch.sources.logs import scan
 
 
@@ -58,16 +58,28 @@ def rules(spark: SparkSession) -> DataFrame:
     return rules_frame(spark, RULES)
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.tick_values(table(spark, sf_dir, "events"), RULES)
+ACTIONS = [
+    ("", "pager", "10m", "alertmanager"),
+    ("ops", "pager", "1h", "alertmanager"),
+    ("shop", "mailer", "30m", None),
+    ("shop", "unused", "", "other"),
+]
+
+
+def actions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ACTIONS, ACTION_DDL)
+
+
+def backtest(spark: SparkSession, sf_dir: str) -> Backtest:
+    return Backtest(table(spark, sf_dir, "events"), RULES, actions(spark))
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.evaluate_conditions(ticks(spark, sf_dir), rules(spark))
+    return backtest(spark, sf_dir).evaluated
 
 
 def state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.state_times(evaluated(spark, sf_dir))
+    return backtest(spark, sf_dir).states
 
 
 # --- SQL: rules and values ------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queries import register
-from queries.common import RULES, grid_sql, table, ticks
+from queries.common import grid_sql, table
 from tickwatch.functions.conditions import compare, threshold_value
 from tickwatch.functions.durations import duration_micros, duration_nanos
 from tickwatch.functions.jsonpath import as_double, extract, variant_kind, was_coerced

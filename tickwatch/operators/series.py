@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch import model
 from tickwatch.functions.conditions import compare
 from tickwatch.functions.maps import labels_key, merge_maps
 from tickwatch.functions.text import number_text
-from tickwatch.functions.timegrid import DAY, floor_div, micros
-from tickwatch.operators.state import _carry_last
+from tickwatch.functions.timegrid import micros
+from tickwatch.operators.state import carry_last, chunk_of
 
 
 def alert_metric(custom_metrics: Column, preferred: Column) -> tuple[Column, Column]:
@@ -93,12 +93,12 @@ def series_states(samples: DataFrame, definitions: DataFrame, refresh_us: int) -
     held = (
         labelled.join(d, ["namespace", "rule", "metric"])
         .where(compare(F.col("value"), F.col("operator"), F.col("threshold_value")))
-        .withColumn("chunk", floor_div(micros(F.col("tick")), DAY))
+        .withColumn("chunk", chunk_of())
     )
-    prev = _carry_last(held, keys, {"prev": F.col("tick")}, {"prev": False}, None)
+    prev = carry_last(held, keys, {"prev": F.col("tick")}, {"prev": False})
     breaks = F.col("prev").isNull() | (micros(F.col("tick")) - micros(F.col("prev")) > refresh_us)
-    runs = _carry_last(
-        prev, keys, {"active_at": F.when(breaks, F.col("tick"))}, {"active_at": True}, None
+    runs = carry_last(
+        prev, keys, {"active_at": F.when(breaks, F.col("tick"))}, {"active_at": True}
     )
     lasted = micros(F.col("tick")) - micros(F.col("active_at"))
     return runs.select(

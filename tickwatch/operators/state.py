@@ -58,7 +58,8 @@ def evaluate_conditions(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _chunk(chunk: str) -> Column:
+def chunk_of(chunk: str = DEFAULT_CHUNK) -> Column:
+    """Number of the time slice a row's tick lies in."""
     return floor_div(micros(F.col("tick")), parse_micros(chunk))
 
 
@@ -127,14 +128,22 @@ def _runs(ticks: DataFrame, keys: list[str], seed: DataFrame | None) -> DataFram
     )
 
 
-def _carry_last(
-    rows: DataFrame, keys: list[str], marks: dict[str, Column], up_to_now: dict[str, bool], seeds: DataFrame | None
+def carry_last(
+    rows: DataFrame,
+    keys: list[str],
+    marks: dict[str, Column],
+    up_to_now: dict[str, bool],
+    seeds: DataFrame | None = None,
+    order: tuple[str, ...] = ("tick",),
 ) -> DataFrame:
-    """For each mark, its last non-NULL value in the rule's history.
+    """For each mark, its last non-NULL value in the history of ``keys``.
 
-    ``up_to_now[name]`` tells whether the current row counts or only earlier rows.
+    ``rows`` is cut into chunks by its ``chunk`` column; ``up_to_now[name]`` tells whether
+    the current row counts or only earlier rows; ``seeds`` holds ``_e_<name>`` columns
+    from before the first row.
     """
-    inside = Window.partitionBy(*keys, "chunk").orderBy("tick")
+    inside = Window.partitionBy(*keys, "chunk").orderBy(*order)
+    position = F.struct(*order)
     marked = rows.withColumns({f"_m_{n}": c for n, c in marks.items()})
     local = marked.withColumns(
         {
@@ -145,7 +154,7 @@ def _carry_last(
         }
     )
     ends = marked.groupBy(*keys, "chunk").agg(
-        *[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.col("tick"))).alias(f"_e_{n}") for n in marks]
+        *[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), position)).alias(f"_e_{n}") for n in marks]
     )
     if seeds is not None:
         ends = ends.unionByName(seeds.withColumn("chunk", F.lit(-(2**62))))
@@ -167,7 +176,7 @@ def states(
     Rows whose ``firing`` is NULL are failed ticks: they change nothing and are dropped.
     """
     keys = keys or KEYS
-    good = ticks.where(F.col("firing").isNotNull()).withColumn("chunk", _chunk(chunk))
+    good = ticks.where(F.col("firing").isNotNull()).withColumn("chunk", chunk_of(chunk))
     runs = _runs(good, keys, seed)
     past = _past(F.col("run_start"))
     state = (
@@ -226,7 +235,7 @@ def state_times(
             ).alias("_e_alert"),
             F.when(F.col("state") == model.NORMAL, F.col("tick")).otherwise(F.col("incident")).alias("_e_incident"),
         )
-    carried = _carry_last(rows, keys, marks, up_to_now, seeds)
+    carried = carry_last(rows, keys, marks, up_to_now, seeds)
     return (
         carried.withColumn("firing_time", F.col("firing_time.v"))
         .withColumn("resolving_time", F.col("resolving_time.v"))
@@ -256,9 +265,9 @@ def transitions(state_rows: DataFrame, keys: list[str] | None = None, chunk: str
     """Rows at which the state differs from the rule's row before; the first row counts
     when it is not ``Normal``.  Columns ``keys, tick, from_state, to_state, value``."""
     keys = keys or KEYS
-    rows = state_rows.select(*keys, "tick", "state", "value").withColumn("chunk", _chunk(chunk))
+    rows = state_rows.select(*keys, "tick", "state", "value").withColumn("chunk", chunk_of(chunk))
     # the state before a row: inside the chunk by lag, at its head from the chunk before
-    prev = _carry_last(rows, keys, {"from_state": F.col("state")}, {"from_state": False}, None)
+    prev = carry_last(rows, keys, {"from_state": F.col("state")}, {"from_state": False}, None)
     before = F.coalesce("from_state", F.lit(model.NORMAL))
     return prev.where(before != F.col("state")).select(
         *keys, "tick", before.alias("from_state"), F.col("state").alias("to_state"), "value"
@@ -354,19 +363,32 @@ def firing_events(state_rows: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def without_deleted(
-    ticks: DataFrame, deletions: DataFrame, keys: list[str] | None = None
+def with_lives(
+    ticks: DataFrame, deletions: DataFrame, keys: list[str] | None = None, chunk: str = DEFAULT_CHUNK
 ) -> DataFrame:
     """Give each life of a rule its own ``life`` number.
 
-    ``deletions`` holds ``keys, deleted_at``.  A deletion drops the rule's state and
-    alert, so ticks after it start a new life: add ``life`` to the keys of the state
-    operators.  Deletions per rule are few; they are collected per rule, not per tick.
+    ``deletions`` holds ``keys, deleted_at``.  A deletion drops the rule's state and alert,
+    so ticks at or after it start over: add ``life`` to the keys of the state operators.
     """
     keys = keys or KEYS
-    when = deletions.groupBy(*keys).agg(F.sort_array(F.collect_set("deleted_at")).alias("_gone"))
-    past = F.size(F.filter(F.coalesce("_gone", F.array().cast("array<timestamp_ntz>")), lambda d: d <= F.col("tick")))
-    return ticks.join(when, keys, "left").withColumn("life", past).drop("_gone")
+    gone = deletions.select(
+        *keys, F.col("deleted_at").alias("tick"), F.col("deleted_at"), F.lit(0).alias("_seq")
+    ).distinct()
+    # a deletion at the instant of a tick comes first
+    rows = ticks.withColumn("_seq", F.lit(1)).unionByName(gone, allowMissingColumns=True)
+    carried = carry_last(
+        rows.withColumn("chunk", chunk_of(chunk)),
+        keys,
+        {"_life": F.col("deleted_at")},
+        {"_life": True},
+        order=("tick", "_seq"),
+    )
+    return (
+        carried.where(F.col("_seq") == 1)
+        .withColumn("life", F.coalesce(micros(F.col("_life")), F.lit(0).cast("bigint")))
+        .drop("_seq", "_life", "deleted_at", "chunk")
+    )
 
 
 def as_of(state_rows: DataFrame, refresh: str, keys: list[str] | None = None, chunk: str = DEFAULT_CHUNK) -> DataFrame:
@@ -379,7 +401,7 @@ def as_of(state_rows: DataFrame, refresh: str, keys: list[str] | None = None, ch
     keys = keys or KEYS
     every = parse_micros(refresh)
     rest = [c for c in state_rows.columns if c not in keys]
-    rows = state_rows.withColumn("chunk", _chunk(chunk))
+    rows = state_rows.withColumn("chunk", chunk_of(chunk))
     inside = Window.partitionBy(*keys, "chunk").orderBy("tick")
     heads = rows.groupBy(*keys, "chunk").agg(F.min("tick").alias("head"))
     after = heads.select(

@@ -10,21 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str | None:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (a local session, tests) a local folder is made.
+    A local session that names none (tests) gets a temporary folder; a cluster that names
+    none has no shared folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        return None
     return tempfile.mkdtemp(prefix="tickwatch-")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    shared = shared_dir(spark)
+    if shared is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
 
 
 def write_by_day(rows: DataFrame, path: str, ts_col: str = "tick", fmt: str = "parquet") -> None:
@@ -42,3 +46,17 @@ def write_by_day(rows: DataFrame, path: str, ts_col: str = "tick", fmt: str = "p
 def append(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append rows, for logs of events."""
     rows.write.format(fmt).mode("append").save(path)
+
+
+def materialize(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows to a table in the shared folder and read them back.
+
+    Used where a small result of a large scan feeds several plans: the scan is not
+    repeated when an executor is lost later, and later plans start from a short lineage.
+    Without a shared folder the rows stay as they are.
+    """
+    if shared_dir(rows.sparkSession) is None:
+        return rows
+    path = run_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
