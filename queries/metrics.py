@@ -34,7 +34,7 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BY_TYPE = Search(
-    window="6h", metric="pct", part="event_type = 'error' OR value > 80", field="value", group_by="event_type", pick="max_bucket"
+    window="6h", metric="pct", part="value > 80", field="value", group_by="event_type", pick="max_bucket"
 )
 _METRICS = [
     {
@@ -55,7 +55,7 @@ _METRICS = [
     {"name": "state", "aggregation_map": "by_key.buckets", "labels": []},
 ]
 _CUSTOM = Rule(
-    "shop", "mix-watch", _BY_TYPE, operator="greaterThan", threshold="15", for_="2h", check_interval="1h",
+    "shop", "mix-watch", _BY_TYPE, operator="greaterThan", threshold="3e1", for_="2h", check_interval="1h",
     custom_metrics=_METRICS,
     series_alert={
         "enabled": True,
@@ -73,7 +73,7 @@ def _custom(spark: SparkSession, sf_dir: str) -> Backtest:
 _BUCKETS_SQL = "WITH" + grid_sql(60) + """,
     b AS (
       SELECT g.tick, e.event_type AS kind, count(*) AS n,
-             count(*) FILTER (WHERE event_type = 'error' OR value > 80) AS hot
+             count(*) FILTER (WHERE value > 80) AS hot
       FROM grid g JOIN events e ON e.ts >= g.tick - INTERVAL 6 HOUR AND e.ts < g.tick
       GROUP BY g.tick, e.event_type),
     r AS (
@@ -232,7 +232,7 @@ def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "series_alerts",
     _BUCKETS_SQL + """,
     h AS (SELECT tick, kind, share, tick - to_hours(row_number() OVER (PARTITION BY kind ORDER BY tick)) AS island
-          FROM r WHERE share > 15),
+          FROM r WHERE share > 30),
     a AS (SELECT *, min(tick) OVER (PARTITION BY kind, island) AS active_at FROM h)
     SELECT 'shop' AS namespace, 'mix-watch' AS rule, 'mix_watch' AS alert_name, 'searchrule_hot_share' AS metric,
            tick, kind, round(share, 6) AS value, active_at,

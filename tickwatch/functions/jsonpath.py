@@ -65,11 +65,14 @@ def text_to_double(text: Column) -> Column:
 
 def as_double(v: Column) -> Column:
     """Number as is, numeric text parsed, true 1, everything else 0; NULL only when missing."""
-    kind = variant_kind(v)
-    return (
-        F.when(kind == "string", F.coalesce(text_to_double(F.try_variant_get(v, "$", "string")), F.lit(0.0)))
-        .when(kind.isin("number", "boolean"), F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(0.0)))
-        .when(kind.isNotNull(), F.lit(0.0))
+    text = F.try_variant_get(v, "$", "string")
+    return F.when(
+        v.isNotNull(),
+        F.coalesce(
+            F.when(variant_kind(v) == "string", F.coalesce(text_to_double(text), F.lit(0.0))),
+            F.try_variant_get(v, "$", "double"),
+            F.lit(0.0),
+        ),
     )
 
 

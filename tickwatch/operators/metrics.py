@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwatch import model
-from tickwatch.functions.jsonpath import as_double, as_label, extract, variant_kind
+from tickwatch.functions.jsonpath import as_double, as_label, variant_kind, variant_path
 from tickwatch.functions.maps import labels_key
 
 KEYS = ["namespace", "rule"]
@@ -17,6 +17,13 @@ def _rule_labels(*more: Column) -> list[Column]:
     return [F.lit(model.NAMESPACE_LABEL), F.col("namespace"), F.lit(model.RULE_LABEL), F.col("rule"), *more]
 
 
+def value_samples(ticks: DataFrame) -> DataFrame:
+    """The value gauge alone; needs no states."""
+    return ticks.select(
+        "tick", F.lit(model.VALUE_METRIC).alias("metric"), F.create_map(*_rule_labels()).alias("labels"), "value"
+    )
+
+
 def basic_samples(state_rows: DataFrame) -> DataFrame:
     """The value gauge and the four state gauges (1 for the current state, else 0)."""
     value = F.struct(
@@ -81,6 +88,32 @@ def accepted_metrics(rules: DataFrame) -> DataFrame:
     return declared.join(bad, [*KEYS, "metric", "label_names"], "left_anti")
 
 
+def _label_type() -> str:
+    return "array<struct<name:string,value:string,static:boolean>>"
+
+
+def extraction_plan(metrics: DataFrame) -> DataFrame:
+    """Metric definitions with their paths translated once, ready to join to documents."""
+    labels = F.coalesce("cm.labels", F.array().cast(_label_type()))
+    value_path = F.coalesce(F.nullif(F.col("cm.value"), F.lit("")), F.lit(model.DEFAULT_VALUE_PATH))
+    return metrics.select(
+        *KEYS,
+        "metric",
+        "metric_pos",
+        F.col("cm.aggregation_map").alias("map_text"),
+        variant_path(F.col("cm.aggregation_map")).alias("map_path"),
+        variant_path(value_path).alias("value_path"),
+        F.transform(labels, lambda x: x["name"]).alias("label_names"),
+        F.transform(
+            labels,
+            lambda x: F.struct(
+                F.when(F.coalesce(x["static"], F.lit(False)), x["value"]).alias("text"),
+                variant_path(x["value"]).alias("path"),
+            ),
+        ).alias("label_sources"),
+    )
+
+
 def bucket_samples(trees: DataFrame, metrics: DataFrame, cap: int = model.BUCKET_CAP) -> DataFrame:
     """One row per (rule, tick, metric, bucket): the custom-metric fan-out.
 
@@ -89,55 +122,52 @@ def bucket_samples(trees: DataFrame, metrics: DataFrame, cap: int = model.BUCKET
     ``cap`` buckets of a list are listed, and ``truncated`` tells that there were more; the
     skip rules come after that: a missing label, then a missing or non-number value.
     """
-    root = extract(F.col("aggregations"), F.col("cm.aggregation_map"))
-    kind = variant_kind(F.col("root"))
-    listed = F.when(kind == "array", F.col("root").cast("array<variant>")).when(
-        kind.isNotNull(), F.array(F.col("root"))
-    )
+    root = F.try_variant_get(F.col("aggregations"), F.col("map_path"), "variant")
+    as_list = F.try_variant_get(F.col("root"), F.lit("$"), "array<variant>")
+    buckets = F.when(F.col("root").isNotNull(), F.coalesce(as_list, F.array("root")))
     found = (
-        trees.where(F.col("aggregations").isNotNull() & ~F.is_variant_null("aggregations"))
-        .join(metrics.select(*KEYS, "metric", "metric_pos", "cm"), KEYS)
-        .withColumn("root", root)
-        .withColumn("all_buckets", listed)
+        trees.where(F.col("aggregations").isNotNull())
+        .join(extraction_plan(metrics), KEYS)
+        .select("*", root.alias("root"))
+        .select("*", buckets.alias("all_buckets"))
         .where(F.col("all_buckets").isNotNull())
-    )
-    value_path = F.coalesce(F.nullif(F.col("cm.value"), F.lit("")), F.lit(model.DEFAULT_VALUE_PATH))
-    return (
-        found.select(
+        .select(
             *KEYS,
             "tick",
             "metric",
             "metric_pos",
-            "cm",
+            "label_names",
+            "label_sources",
+            "value_path",
             (F.size("all_buckets") > cap).alias("truncated"),
             F.posexplode(F.slice("all_buckets", 1, cap)).alias("pos", "bucket"),
         )
-        .withColumn("label_values", _label_values())
-        .withColumn("found", extract(F.col("bucket"), value_path))
     )
-
-
-def _label_values() -> Column:
-    return F.transform(
-        F.coalesce("cm.labels", F.array().cast("array<struct<name:string,value:string,static:boolean>>")),
-        lambda x: F.when(F.coalesce(x["static"], F.lit(False)), x["value"]).otherwise(
-            as_label(extract(F.col("bucket"), x["value"]))
-        ),
+    # find every label and value first, then give them their text and number forms
+    label_found = F.transform(
+        "label_sources",
+        lambda x: F.struct(x["text"].alias("text"), F.try_variant_get(F.col("bucket"), x["path"], "variant").alias("v")),
+    )
+    value = F.try_variant_get(F.col("bucket"), F.col("value_path"), "variant")
+    return found.select(
+        *KEYS, "tick", "metric", "metric_pos", "pos", "truncated", "label_names",
+        label_found.alias("label_found"), value.alias("found"),
     )
 
 
 def custom_samples(trees: DataFrame, metrics: DataFrame, cap: int = model.BUCKET_CAP) -> DataFrame:
     """``tick, metric, labels, value`` of the custom metrics; the last equal label set wins."""
-    rows = bucket_samples(trees, metrics, cap).where(
-        ~F.exists("label_values", lambda v: v.isNull()) & variant_kind(F.col("found")).isin("number", "string")
-    )
-    names = F.transform(
-        F.coalesce("cm.labels", F.array().cast("array<struct<name:string,value:string,static:boolean>>")),
-        lambda x: x["name"],
-    )
+    present = ~F.exists("label_found", lambda x: x["text"].isNull() & x["v"].isNull())
+    numeric = variant_kind(F.col("found")).isin("number", "string")
+    texts = F.transform("label_found", lambda x: F.coalesce(x["text"], as_label(x["v"])))
+    rows = bucket_samples(trees, metrics, cap).where(present & numeric)
     return (
-        rows.groupBy(*KEYS, "tick", "metric", names.alias("label_names"), "label_values")
-        .agg(F.max_by(as_double(F.col("found")), F.struct("metric_pos", "pos")).alias("value"))
+        rows.select(
+            *KEYS, "tick", "metric", "label_names", texts.alias("label_values"),
+            F.struct("metric_pos", "pos").alias("position"), as_double(F.col("found")).alias("value"),
+        )
+        .groupBy(*KEYS, "tick", "metric", "label_names", "label_values")
+        .agg(F.max_by("value", "position").alias("value"))
         .select(
             "tick",
             "metric",
@@ -152,14 +182,15 @@ def custom_samples(trees: DataFrame, metrics: DataFrame, cap: int = model.BUCKET
 
 def missing_maps(trees: DataFrame, metrics: DataFrame) -> DataFrame:
     """Why a metric has no samples at a tick: ``NoAggregations`` or ``PathNotFound``, with a hint."""
-    absent = F.col("aggregations").isNull() | F.is_variant_null("aggregations")
-    path = F.col("cm.aggregation_map")
-    reason = F.when(absent, "NoAggregations").when(extract(F.col("aggregations"), path).isNull(), "PathNotFound")
+    absent = F.col("aggregations").isNull() | F.coalesce(F.is_variant_null("aggregations"), F.lit(False))
+    path = F.col("map_text")
+    at_path = F.try_variant_get(F.col("aggregations"), F.col("map_path"), "variant")
+    reason = F.when(absent, "NoAggregations").when(at_path.isNull(), "PathNotFound")
     hint = F.when(
         (F.col("reason") == "PathNotFound") & path.startswith("aggregations."), "drop the aggregations. prefix"
     )
     return (
-        trees.join(metrics.select(*KEYS, "metric", "cm"), KEYS)
+        trees.join(extraction_plan(metrics).select(*KEYS, "metric", "map_text", "map_path"), KEYS)
         .withColumn("reason", reason)
         .where(F.col("reason").isNotNull())
         .select(*KEYS, "tick", "metric", "reason", hint.alias("hint"))

@@ -72,7 +72,8 @@ def outbox(
         .where(F.col("_lo") <= F.col("_hi"))
         # a day of a short-period action is many deliveries: spread the days, not the alerts
         .repartition(parallel, *[c for c in ("namespace", "rule") if c in rest], "_day")
-        .select(*rest, from_micros(F.explode(F.sequence("_lo", "_hi")) * F.col("_period")).alias("sent_at"))
+        .select(*rest, "_period", F.explode(F.sequence("_lo", "_hi")).alias("_n"))
+        .select(*rest, from_micros(F.col("_n") * F.col("_period")).alias("sent_at"))
     )
 
 

@@ -400,12 +400,18 @@ def bucket_values(
 
 
 def tick_values(
-    events: DataFrame, rules: list[Rule], ts_col: str = "ts", start=None, end=None
+    events: DataFrame,
+    rules: list[Rule],
+    ts_col: str = "ts",
+    start=None,
+    end=None,
+    buckets: DataFrame | None = None,
 ) -> DataFrame:
     """``namespace, rule, tick, hits, raw_value, value``: one row per rule and tick.
 
     ``raw_value`` is NULL where the metric has no answer (an average over no rows);
-    a condition reads that as 0, which is ``value``.
+    a condition reads that as 0, which is ``value``.  ``buckets`` are the rules'
+    :func:`bucket_values` where they are already at hand.
     """
     measures = measures_of(rules)
     rows, first_us, last_us = _bounds(events, ts_col, start, end)
@@ -421,7 +427,7 @@ def tick_values(
     picked = [r for r in rules if r.search.group_by and r.search.pick]
     raw = F.col("own")
     if picked:
-        buckets = bucket_values(events, picked, ts_col, start, end)
+        buckets = bucket_values(events, picked, ts_col, start, end) if buckets is None else buckets
         keys = ["namespace", "rule", "tick"]
         best = reduce(
             DataFrame.unionByName,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,8 @@ class Backtest:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        rows = search.tick_values(self.events, self.rules, self.ts_col, self.start, self.end)
+        buckets = self.buckets if any(r.search.pick for r in self.rules) else None
+        rows = search.tick_values(self.events, self.rules, self.ts_col, self.start, self.end, buckets)
         return materialize(rows, "ticks")
 
     @cached_property
@@ -79,7 +80,15 @@ class Backtest:
         return basic.unionByName(custom)
 
     def series_alerts(self, refresh_us: int, size: int = 10, agg: str = "by_key") -> DataFrame:
-        return series.series_alerts(self.samples(size, agg), series.series_rules(self.catalog), refresh_us)
+        """Per-series alerts, from the samples of the rules that ask for them."""
+        asked = [r for r in self.rules if r.series_alert and r.series_alert.get("enabled")]
+        parts = []
+        if any(not r.custom_metrics for r in asked):
+            parts.append(metrics.value_samples(self.ticks))
+        if any(r.custom_metrics for r in asked):
+            parts.append(metrics.custom_samples(self.trees(size, agg), metrics.accepted_metrics(self.catalog)))
+        rows = materialize(reduce(DataFrame.unionByName, parts), "samples")
+        return series.series_alerts(rows, series.series_rules(self.catalog), refresh_us)
 
     def deliveries(self, period_us: Column | None = None, match_namespace: bool = False) -> DataFrame:
         """The outbox: one row per alert and action sync."""
