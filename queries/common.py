@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickwatch.model import ACTION_DDL, Rule, Search, rules_frame
+from tickwatch.model import ACTION_DDL, Rule, Search, local_frame, rules_frame
 from tickwatch.plans.backtest import Backtest
 from tickwatch.sources.logs import scan
 
@@ -67,7 +67,8 @@ ACTIONS = [
 
 
 def actions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ACTIONS, ACTION_DDL)
+    names = [c.split()[0] for c in ACTION_DDL.split(", ")]
+    return local_frame(spark, [dict(zip(names, a)) for a in ACTIONS], ACTION_DDL)
 
 
 def backtest(spark: SparkSession, sf_dir: str) -> Backtest:

@@ -6,6 +6,8 @@ A missing path (SQL NULL) is kept apart from an explicit JSON null (variant null
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +32,17 @@ def variant_path(path: Column) -> Column:
     return F.when(path_is_plain(path), F.concat(F.lit("$"), F.array_join(steps, "")))
 
 
-def extract(doc: Column, path: Column | str) -> Column:
+def path_text(path: str) -> str:
+    """:func:`variant_path` for one path at plan time."""
+    steps = path.split(".")
+    if not all(steps) or re.search(PATH_SPECIALS, path):
+        raise ValueError(f"path {path!r} is not made of plain keys and positions")
+    return "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in steps)
+
+
+def extract(doc: Column, path: str) -> Column:
     """The value at a dotted path, as VARIANT; SQL NULL when there is nothing at the path."""
-    path = F.lit(path) if isinstance(path, str) else path
-    return F.try_variant_get(doc, variant_path(path), "variant")
+    return F.try_variant_get(doc, path_text(path), "variant")
 
 
 def variant_kind(v: Column) -> Column:

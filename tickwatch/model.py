@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # --- fixed values: these must not change, other tools read them ---------------
 NORMAL = "Normal"
@@ -200,9 +202,15 @@ class Rule:
         }
 
 
+def local_frame(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A small table whose size the optimizer knows, so joins with it need no shuffle."""
+    schema = T.StructType.fromDDL(ddl)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
+
+
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The rule catalog as a DataFrame, with durations and thresholds parsed."""
-    return resolve_rules(spark.createDataFrame([r.row() for r in rules], rule_schema()))
+    return resolve_rules(local_frame(spark, [r.row() for r in rules], RULE_DDL))
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -13,23 +13,23 @@ After step 1 the data no longer grows with the log, only with rules x panes.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickwatch.functions.durations import parse_micros
 from tickwatch.functions.timegrid import (
     ROUND_MICROS,
     floor_div,
-    floor_to,
     from_micros,
     micros,
     require_utc,
     time_bounds,
 )
-from tickwatch.model import Rule
+from tickwatch.model import Rule, Search, local_frame
 
 # how each measure is merged; a plan carries only the ones its rules read
 MERGE = {"hits": F.sum, "part": F.sum, "n": F.sum, "total": F.sum, "low": F.min, "high": F.max}
@@ -148,28 +148,39 @@ def pane_micros(rule: Rule) -> int:
     return gcd(*parts)
 
 
-def plan_frame(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One small row per rule with its grid: ids, names, step, pane and window sizes."""
-    rows = []
-    for i, r in enumerate(rules):
-        g = pane_micros(r)
-        rows.append(
-            (
-                i,
-                r.namespace,
-                r.name,
-                parse_micros(r.check_interval),
-                ROUND_MICROS.get(r.search.round, 1),
-                g,
-                parse_micros(r.search.window) // g,
-                r.search.metric,
-                r.search.pick,
-            )
-        )
-    return events.sparkSession.createDataFrame(
-        rows,
-        "rid int, namespace string, rule string, step bigint, round_us bigint, g bigint, k bigint, "
-        "metric string, pick string",
+PLAN_DDL = (
+    "rid int, namespace string, rule string, metric string, pick string, "
+    "step bigint, round_us bigint, g bigint, k bigint"
+)
+
+
+def plan_frame(spark: SparkSession, rules: list[Rule], first_us: Column, last_us: Column) -> DataFrame:
+    """One small row per rule with its grid: interval, rounding unit, pane size ``g``, window
+    of ``k`` panes, and the first and last tick and pane of the evaluated time."""
+    require_utc(spark)
+    rows = [
+        {
+            "rid": i,
+            "namespace": r.namespace,
+            "rule": r.name,
+            "metric": r.search.metric,
+            "pick": r.search.pick,
+            "step": parse_micros(r.check_interval),
+            "round_us": ROUND_MICROS.get(r.search.round, 1),
+            "g": pane_micros(r),
+            "k": parse_micros(r.search.window) // pane_micros(r),
+        }
+        for i, r in enumerate(rules)
+    ]
+    bounded = local_frame(spark, rows, PLAN_DDL).withColumns({"first_us": first_us, "last_us": last_us})
+    return bounded.selectExpr(
+        "*",
+        "first_us - pmod(first_us, step) + step as first_tick",
+        "last_us - pmod(last_us, step) + step as last_tick",
+    ).selectExpr(
+        "*",
+        "(first_tick - pmod(first_tick, round_us) - pmod(first_tick - pmod(first_tick, round_us), g)) div g - k as first_p",
+        "(last_tick - pmod(last_tick, g)) div g - 1 as last_p",
     )
 
 
@@ -238,30 +249,19 @@ def _merge(measures: list[str]) -> list[Column]:
     return [MERGE[m](m).alias(m) for m in measures]
 
 
-def spine(plan: DataFrame, first_us: Column, last_us: Column) -> DataFrame:
+def spine(plan: DataFrame) -> DataFrame:
     """Every pane of every rule over the evaluated time, in two steps so that no single
     task has to write out a whole history."""
-    spark = plan.sparkSession
-    require_utc(spark)
-    step, k, g = F.col("step"), F.col("k"), F.col("g")
-    first_tick = floor_to(first_us, step) + step
-    last_tick = floor_to(last_us, step) + step
-    first_p = floor_div(floor_to(first_tick, F.col("round_us")), g) - k
-    chunk = F.lit(_SPINE_CHUNK).cast("bigint")
-    chunks = plan.select(
-        "rid", first_p.alias("first_p"), (floor_div(last_tick, g) - 1).alias("last_p")
-    ).select(
-        "*", F.explode(F.sequence(floor_div(F.col("first_p"), chunk), floor_div(F.col("last_p"), chunk))).alias("c")
-    )
-    parallel = spark.sparkContext.defaultParallelism
-    return chunks.repartition(parallel, "rid", "c").select(
+    size = _SPINE_CHUNK
+    chunks = plan.selectExpr(
         "rid",
-        F.explode(
-            F.sequence(
-                F.greatest("first_p", F.col("c") * chunk),
-                F.least("last_p", F.col("c") * chunk + (chunk - 1)),
-            )
-        ).alias("p"),
+        "first_p",
+        "last_p",
+        f"explode(sequence((first_p - pmod(first_p, {size})) div {size}, (last_p - pmod(last_p, {size})) div {size})) as c",
+    )
+    parallel = plan.sparkSession.sparkContext.defaultParallelism
+    return chunks.repartition(parallel, "rid", "c").selectExpr(
+        "rid", f"explode(sequence(greatest(first_p, c * {size}), least(last_p, c * {size} + {size - 1}))) as p"
     )
 
 
@@ -299,40 +299,17 @@ def slide(panes: DataFrame, series: list[str], widths: list[int], measures: list
     return running.select(*series, F.inline(sides)).groupBy(*series, "e").agg(*_merge(measures))
 
 
-def _to_ticks(
-    windows: DataFrame, plan: DataFrame, keep: list[str], first_us: Column, last_us: Column
-) -> DataFrame:
+def _to_ticks(windows: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     """Window ends to ticks.  With rounding, all ticks of one unit read the same window."""
-    end = F.col("e") * F.col("g")
-    step, rnd = F.col("step"), F.col("round_us")
-    first_tick = floor_to(first_us, step) + step
-    last_tick = floor_to(last_us, step) + step
-    last_of_unit = end + F.greatest(rnd, F.lit(1)) - 1
-    first_step = floor_to(end + step - 1, step)
-    ticks = F.when(
-        F.col("round_us") == 1,
-        F.when(F.pmod(end, step) == 0, F.array(end)),
-    ).otherwise(
-        F.when(
-            (F.pmod(end, rnd) == 0) & (first_step <= last_of_unit),
-            F.sequence(first_step, last_of_unit, step),
-        )
-    )
-    return (
-        windows.join(plan, "rid")
-        .select(
-            "namespace",
-            "rule",
-            "metric",
-            "pick",
-            *keep,
-            first_tick.alias("_first"),
-            last_tick.alias("_last"),
-            F.explode(ticks).alias("tick_us"),
-        )
-        .where((F.col("tick_us") >= F.col("_first")) & (F.col("tick_us") <= F.col("_last")))
-        .drop("_first", "_last")
-    )
+    ends = windows.join(plan, "rid").withColumn("end_us", F.expr("e * g"))
+    first_step = "end_us + pmod(-end_us, step)"
+    ticks = f"""explode(case
+        when round_us = 1 then case when pmod(end_us, step) = 0 then array(end_us) end
+        when pmod(end_us, round_us) = 0 and {first_step} < end_us + round_us
+          then sequence({first_step}, end_us + round_us - 1, step) end) as tick_us"""
+    return ends.selectExpr(
+        "namespace", "rule", "metric", "pick", *keep, "first_tick", "last_tick", ticks
+    ).where("tick_us between first_tick and last_tick")
 
 
 def _value(rules: list[Rule]) -> Column:
@@ -371,7 +348,7 @@ def bucket_values(
     rules = [r for r in rules if r.search.group_by]
     measures = measures_of(rules)
     events, first_us, last_us = _bounds(events, ts_col, start, end)
-    plan = plan_frame(events, rules)
+    plan = plan_frame(events.sparkSession, rules, first_us, last_us)
     widths = [parse_micros(r.search.window) // pane_micros(r) for r in rules]
     panes = pane_counts(events, rules, ts_col, keyed=True)
     if set(widths) != {1}:
@@ -387,7 +364,7 @@ def bucket_values(
         panes = panes.unionByName(filler)
     windows = slide(panes, ["rid", "bucket"], widths, measures).where(F.col("hits") > 0)
     part = F.col("part") if "part" in measures else F.lit(0).cast("bigint")
-    return _to_ticks(windows, plan, ["bucket", *measures], first_us, last_us).select(
+    return _to_ticks(windows, plan, ["bucket", *measures]).select(
         "namespace",
         "rule",
         from_micros(F.col("tick_us")).alias("tick"),
@@ -415,13 +392,13 @@ def tick_values(
     """
     measures = measures_of(rules)
     rows, first_us, last_us = _bounds(events, ts_col, start, end)
-    plan = plan_frame(events, rules)
+    plan = plan_frame(events.sparkSession, rules, first_us, last_us)
     widths = [parse_micros(r.search.window) // pane_micros(r) for r in rules]
     panes = pane_counts(rows, rules, ts_col).unionByName(
-        spine(plan, first_us, last_us).select("rid", "p", *_zero_measures(measures))
+        spine(plan).select("rid", "p", *_zero_measures(measures))
     )
     windows = slide(panes, ["rid"], widths, measures)
-    ticks = _to_ticks(windows, plan, measures, first_us, last_us).select(
+    ticks = _to_ticks(windows, plan, measures).select(
         "namespace", "rule", from_micros(F.col("tick_us")).alias("tick"), "hits", "pick", _value(rules).alias("own")
     )
     picked = [r for r in rules if r.search.group_by and r.search.pick]
@@ -488,27 +465,29 @@ def hits_as_of_ingest(events: DataFrame, rule: Rule, ts_col: str = "ts", ingest_
     the last tick whose window still covers it.  Rows are first counted per such span, and
     only the counts are spread over the ticks.
     """
-    require_utc(events.sparkSession)
     step, width = parse_micros(rule.check_interval), parse_micros(rule.search.window)
-    ts, ingest = micros(F.col(ts_col)), micros(F.col(ingest_col))
     first_us, last_us = time_bounds(events, ts_col)
-    begin = F.greatest(floor_div(ts, step) + 1, floor_div(ingest + (step - 1), step))
-    end = floor_div(ts + width, step)
+    # a plan of single panes: its spine is the tick grid
+    plan = plan_frame(events.sparkSession, [replace(rule, search=Search(window=rule.check_interval))], first_us, last_us)
     spans = (
         events.where(F.expr(rule.search.filter))
-        .select(begin.alias("a"), end.alias("b"))
-        .where(F.col("a") <= F.col("b"))
+        .select(micros(F.col(ts_col)).alias("t"), micros(F.col(ingest_col)).alias("i"))
+        .selectExpr(
+            f"greatest((t - pmod(t, {step})) div {step} + 1, (i + pmod(-i, {step})) div {step}) as a",
+            f"(t + {width} - pmod(t + {width}, {step})) div {step} as b",
+        )
+        .where("a <= b")
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.explode(F.sequence("a", "b")).alias("p"), "n")
+        .selectExpr("explode(sequence(a, b)) as tick_no", "n")
     )
-    plan = plan_frame(events, [rule]).withColumns({"g": F.col("step"), "k": F.lit(1).cast("bigint")})
-    ticks = spine(plan, first_us, last_us).select((F.col("p") + 1).alias("p"), F.lit(0).cast("bigint").alias("n"))
-    last_tick = floor_div(last_us, step) + 1
-    return (
-        spans.unionByName(ticks)
-        .where((F.col("p") <= last_tick) & (F.col("p") > floor_div(first_us, step)))
-        .groupBy("p")
+    counted = (
+        spans.unionByName(spine(plan).selectExpr("p + 1 as tick_no", "0L as n"))
+        .groupBy("tick_no")
         .agg(F.sum("n").alias("hits"))
-        .select(from_micros(F.col("p") * step).alias("tick"), "hits")
     )
+    grid = plan.selectExpr("first_tick div step as first_no", "last_tick div step as last_no")
+    inside = F.col("tick_no").between(
+        grid.select("first_no").scalar(), grid.select("last_no").scalar()
+    )
+    return counted.where(inside).select(from_micros(F.col("tick_no") * step).alias("tick"), "hits")
