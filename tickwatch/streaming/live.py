@@ -38,12 +38,14 @@ def require_state_store(spark: SparkSession) -> None:
 
 def rule_specs(rules: list[Rule]) -> dict[tuple[str, str], dict]:
     out = {}
+    log_pane = gcd(*[pane_micros(r) for r in rules])
     for r in rules:
         if r.search.group_by:
             raise ValueError(f"rule {r.namespace}/{r.name}: grouped rules are evaluated in batch")
         g = pane_micros(r)
         out[(r.namespace, r.name)] = {
             "g": g,
+            "log_pane": log_pane,
             "k": parse_micros(r.search.window) // g,
             "step": parse_micros(r.check_interval),
             "round_us": ROUND_MICROS.get(r.search.round, 1),

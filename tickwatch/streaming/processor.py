@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PANE_STATE = "hits bigint, part bigint, n bigint, total double, low double, high double"
 RULE_STATE = (
-    "next_tick bigint, last_pane bigint, state string, firing_us bigint, resolving_us bigint, alert_us bigint, alert_value double"
+    "next_tick bigint, state string, firing_us bigint, resolving_us bigint, alert_us bigint, alert_value double"
 )
 OUTPUT = (
     "namespace string, rule string, tick timestamp_ntz, hits bigint, value double, firing boolean, state string, "
@@ -94,17 +94,19 @@ class RuleProcessor(StatefulProcessor):
             hits=("hits", "sum"), part=("part", "sum"), n=("n", "sum"),
             total=("total", "sum"), low=("low", "min"), high=("high", "max"),
         )
-        out = self._advance(key, spec, by_pane)
+        # a rule's own pane is closed once all log panes in it are
+        closed = (int(fresh["pane_us"].max()) + spec["log_pane"]) // spec["g"]
+        out = self._advance(key, spec, by_pane, closed)
         if out is not None:
             yield out
 
-    def _advance(self, key, spec: dict, fresh: pd.DataFrame) -> pd.DataFrame | None:
+    def _advance(self, key, spec: dict, fresh: pd.DataFrame, horizon: int) -> pd.DataFrame | None:
         g, k, tick_us, rnd = spec["g"], spec["k"], spec["step"], spec["round_us"]
         known = self.rule.get() if self.rule.exists() else None
         if known is None:
             begin = int(fresh.index.min()) * g
             state = {
-                "next_tick": begin // tick_us * tick_us + tick_us, "last_pane": 0, "state": "Normal",
+                "next_tick": begin // tick_us * tick_us + tick_us, "state": "Normal",
                 "firing_us": None, "resolving_us": None, "alert_us": None, "alert_value": None,
             }
         else:
@@ -117,7 +119,6 @@ class RuleProcessor(StatefulProcessor):
         panes = pd.concat([old, fresh.astype("float64")]).groupby(level=0).agg(
             {**{m: "sum" for m in _SUMS}, "low": "min", "high": "max"}
         )
-        horizon = int(panes.index.max()) + 1
         ticks = np.arange(state["next_tick"], horizon * g + 1, tick_us, dtype="int64")
         result = None
         if len(ticks):
@@ -126,16 +127,15 @@ class RuleProcessor(StatefulProcessor):
             dense = panes.reindex(grid)
             dense[_SUMS] = dense[_SUMS].fillna(0.0)
             windows = pd.DataFrame({m: dense[m].rolling(k, min_periods=1).sum() for m in ["hits", "part", "n"]})
-            # running differences would lose digits of a float sum, so each window is summed
-            total = np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(k - 1), dense["total"].to_numpy()], k)
-            windows["total"] = total.sum(axis=1)
             windows["low"] = dense["low"].rolling(k, min_periods=1).min()
             windows["high"] = dense["high"].rolling(k, min_periods=1).max()
             at = windows.loc[ends - 1]
+            # running differences would lose digits of a float sum, so each window is summed
+            spans = np.lib.stride_tricks.sliding_window_view(dense["total"].to_numpy(), k)
+            at = at.assign(total=[spans[e - k - grid.start].sum() for e in ends.tolist()])
             values = answer(spec["metric"], at)
             result, state = self._steps(key, spec, state, ticks, at["hits"].to_numpy(), values)
             state["next_tick"] = int(ticks[-1]) + tick_us
-        state["last_pane"] = horizon - 1
         self.rule.update(tuple(state.values()))
         keep_from = state["next_tick"] // rnd * rnd // g - k
         for p in held:
