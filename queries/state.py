@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from queries import register
 from queries.common import FIRING_SQL, STATE_SQL, VALUES_SQL, evaluated, machine_sql, rules, state_rows, table
+from tickwatch.model import Rule, Search, rules_frame
 from tickwatch.operators import state
+from tickwatch.operators.responses import response_ticks
+from tickwatch.sources.sinks import materialize
 
 
 @register(
@@ -124,3 +127,57 @@ def rule_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     lives = state.with_lives(evaluated(spark, sf_dir), deletions)
     rows = state.state_times(lives, ["namespace", "rule", "life"])
     return rows.select("namespace", "rule", "tick", "state", "firing_time", "alert_tick")
+
+
+_RESPONSE = """
+    CASE event_id % 8
+      WHEN 2 THEN '{"hits":{"total":{"value":null}}}'
+      WHEN 3 THEN '{"hits":{"total":{"value":"' || k || '"}},"aggregations":{"by":{"buckets":[]}}}'
+      WHEN 5 THEN '{"hits":{"total":{}}}'
+      WHEN 6 THEN '{"hits":'
+      ELSE '{"hits":{"total":{"value":' || k || '}}}' END"""
+
+
+@register(
+    "response_states",
+    """
+    WITH p AS (SELECT event_id, ts AS tick, event_type AS rule, user_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM events),
+    o AS (
+      SELECT 'ops' AS namespace, *, CASE WHEN event_id % 23 = 0 THEN 'connection_error' WHEN event_id % 19 = 0 THEN 'query_error'
+        WHEN event_id % 8 IN (5, 6) THEN 'path_missing' WHEN rule = 'signup' THEN 'bad_condition' ELSE 'ok' END AS outcome,
+        CASE WHEN event_id % 8 = 2 THEN 0 ELSE k END AS value
+      FROM p),
+    good AS (SELECT *, CASE WHEN rule = 'view' THEN value <= 30 ELSE value > 40 END AS firing,
+                    CASE rule WHEN 'error' THEN 0 WHEN 'view' THEN 3600000000 ELSE 900000000 END AS for_us
+             FROM o WHERE outcome = 'ok'),""" + machine_sql("good") + """
+    SELECT o.namespace, o.rule, o.tick, o.event_id, o.outcome, CASE WHEN o.outcome = 'ok' THEN o.value END AS value,
+      t.state, t.firing_time, t.resolving_time, t.alert_value
+    FROM o LEFT JOIN times t ON t.event_id = o.event_id""",
+)
+def response_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every event is one stored response of its type's rule, at an irregular tick
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    responses = events.select(
+        "event_id",
+        F.lit("ops").alias("namespace"),
+        F.col("event_type").alias("rule"),
+        F.col("ts").alias("tick"),
+        F.expr("case when event_id % 23 = 0 then null when event_id % 19 = 0 then 503 else 200 end").alias("status_code"),
+        F.expr(_RESPONSE).alias("body"),
+    )
+    catalog = rules_frame(spark, [
+        Rule("ops", "error", Search(), operator="greaterThan", threshold="40", for_="0s"),
+        Rule("ops", "view", Search(), operator="lessThanOrEqual", threshold="3e1", for_="1h"),
+        Rule("ops", "click", Search(), operator="greaterThan", threshold="40.0", for_="15m"),
+        Rule("ops", "purchase", Search(), operator="greaterThan", threshold="+40", for_="900s"),
+        Rule("ops", "signup", Search(), operator="above", threshold="40", for_="15m"),
+    ])
+    ticks = materialize(response_ticks(responses, catalog).drop("aggregations"), "ticks")
+    rows = state.state_times(ticks).select(
+        "namespace", "rule", "tick", "state", "firing_time", "resolving_time", "alert_value"
+    )
+    ids = responses.select("namespace", "rule", "tick", "event_id")
+    keys = ["namespace", "rule", "tick"]
+    return ticks.join(ids, keys).join(rows, keys, "left").select(
+        *keys, "event_id", "outcome", "value", "state", "firing_time", "resolving_time", "alert_value"
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # characters that mean something other than a key or a position in a search path
 PATH_SPECIALS = r"[\\*?|#@!{}\[\]()'\"=<>%~:]"
+_KIND = {"ARRAY": "array", "OBJECT": "object", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "": "number"}
 _NUMBER_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _SPECIAL_TEXT = r"(?i)^[+-]?(inf|infinity|nan)$"
 
@@ -47,29 +48,18 @@ def extract(doc: Column, path: str) -> Column:
 
 def variant_kind(v: Column) -> Column:
     """``number``, ``string``, ``boolean``, ``null``, ``array`` or ``object``; NULL when missing."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(F.is_variant_null(v), "null")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s.startswith("OBJECT"), "object")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .otherwise("number")
-    )
+    # the leading word of the schema text; every other type a variant holds is a number
+    word = F.regexp_extract(F.schema_of_variant(v), r"^(ARRAY|OBJECT|STRING|BOOLEAN|VOID)?", 1)
+    return F.element_at(F.create_map(*[F.lit(x) for kv in _KIND.items() for x in kv]), word)
 
 
 def text_to_double(text: Column) -> Column:
     """Strict number text to DOUBLE; NULL for anything else, including padded text."""
-    number = F.when(text.rlike(_NUMBER_TEXT), text.try_cast("double"))
-    special = F.lower(F.regexp_replace(text, r"^[+-]", ""))
+    # a number too large for a DOUBLE is refused, infinity by name is not
+    number = F.nullif(F.abs(F.when(text.rlike(_NUMBER_TEXT), text.try_cast("double"))), F.lit(float("inf")))
     sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    return (
-        F.when(number.isNotNull() & (F.abs(number) != float("inf")), number)
-        .when(~text.rlike(_SPECIAL_TEXT), F.lit(None).cast("double"))
-        .when(special == "nan", F.lit(float("nan")))
-        .when(special.isin("inf", "infinity"), sign * F.lit(float("inf")))
-    )
+    special = F.when(text.rlike(_SPECIAL_TEXT), F.when(F.lower(text).contains("nan"), float("nan")).otherwise(float("inf")))
+    return sign * F.coalesce(number, special)
 
 
 def as_double(v: Column) -> Column:

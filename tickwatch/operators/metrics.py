@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tickwatch import model
 from tickwatch.functions.jsonpath import as_double, as_label, variant_kind, variant_path
 from tickwatch.functions.maps import labels_key
+from tickwatch.functions.timegrid import floor_div
+from tickwatch.operators.state import unbroken
 
 KEYS = ["namespace", "rule"]
-SAMPLE_COLUMNS = ["tick", "metric", "labels", "value"]
+_RUN_CHUNK = 10_000
 
 
 def _rule_labels(*more: Column) -> list[Column]:
@@ -233,16 +235,25 @@ def truncation_counter(flags: DataFrame, by: list[str], order: str = "tick") ->
 
 
 def refresh_order(refreshes: DataFrame, tick: str = "tick") -> DataFrame:
-    """``tick`` and the refresh after it, ``next_tick``.
+    """``tick``, its number ``n`` in time order, and the refresh after it, ``next_tick``.
 
-    Refresh ticks are the distinct instants of one grid; they are linked per day so that a
-    long grid is not one window partition.
+    Refresh ticks are the distinct instants of one grid; they are numbered per day so that
+    a long grid is not one window partition.
     """
     ticks = refreshes.select(F.col(tick).alias("tick")).distinct().withColumn("day", F.to_date("tick"))
-    heads = ticks.groupBy("day").agg(F.min("tick").alias("head"))
-    after = heads.select("day", F.lead("head").over(Window.orderBy("day")).alias("after"))
-    nxt = F.lead("tick").over(Window.partitionBy("day").orderBy("tick"))
-    return ticks.join(after, "day").select("tick", F.coalesce(nxt, F.col("after")).alias("next_tick"))
+    days = ticks.groupBy("day").agg(F.min("tick").alias("head"), F.count(F.lit(1)).alias("size"))
+    order = Window.orderBy("day")
+    linked = days.select(
+        "day",
+        F.lead("head").over(order).alias("after"),
+        (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).alias("before"),
+    )
+    inside = Window.partitionBy("day").orderBy("tick")
+    return ticks.join(linked, "day").select(
+        "tick",
+        (F.col("before") + F.row_number().over(inside)).alias("n"),
+        F.coalesce(F.lead("tick").over(inside), F.col("after")).alias("next_tick"),
+    )
 
 
 def stale_series(samples: DataFrame, refreshes: DataFrame) -> DataFrame:
@@ -252,7 +263,7 @@ def stale_series(samples: DataFrame, refreshes: DataFrame) -> DataFrame:
     """
     link = refresh_order(refreshes)
     keyed = samples.select("tick", "metric", labels_key(F.col("labels")).alias("series")).distinct()
-    expected = keyed.join(link.where(F.col("next_tick").isNotNull()), "tick").select(
+    expected = keyed.join(link.where(F.col("next_tick").isNotNull()).drop("n"), "tick").select(
         F.col("next_tick").alias("tick"), "metric", "series"
     )
     gone = expected.join(keyed, ["tick", "metric", "series"], "left_anti")
@@ -266,21 +277,9 @@ def metric_lifecycle(declarations: DataFrame, refreshes: DataFrame) -> DataFrame
     the metric, with or without samples.  A metric dies at the first refresh without a
     declarer; one row per life, ``dropped_at`` NULL while it lives.
     """
-    link = refresh_order(refreshes)
     declared = declarations.select("tick", "metric").distinct()
-    alive = declared.join(link, "tick")
-    # a life ends where the next refresh has no declaration, starts where the previous had none
-    held = declared.select(F.col("tick").alias("next_tick"), "metric")
-    ends = alive.where(F.col("next_tick").isNotNull()).join(held, ["next_tick", "metric"], "left_anti")
-    continued = alive.select("metric", F.col("next_tick").alias("tick")).where(F.col("tick").isNotNull())
-    starts = declared.join(continued, ["tick", "metric"], "left_anti")
-    marks = starts.select("metric", "tick", F.lit("start").alias("what")).unionByName(
-        ends.select("metric", F.col("next_tick").alias("tick"), F.lit("end").alias("what"))
-    )
-    # only changes reach the per-metric window
-    nxt = F.lead(F.when(F.col("what") == "end", F.col("tick"))).over(
-        Window.partitionBy("metric").orderBy("tick", "what")
-    )
-    return marks.withColumn("dropped_at", nxt).where(F.col("what") == "start").select(
-        "metric", F.col("tick").alias("registered_at"), "dropped_at"
-    )
+    numbered = declared.join(refresh_order(refreshes), "tick").withColumn("chunk", floor_div(F.col("n"), _RUN_CHUNK))
+    lives = unbroken(numbered, ["metric"], "n", 1)
+    return lives.groupBy("metric", "run_from").agg(
+        F.min("tick").alias("registered_at"), F.max_by("next_tick", "n").alias("dropped_at")
+    ).drop("run_from")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch import model
 from tickwatch.functions.conditions import compare
 from tickwatch.functions.maps import labels_key, merge_maps
 from tickwatch.functions.text import number_text
-from tickwatch.functions.timegrid import micros
-from tickwatch.operators.state import chunk_of
+from tickwatch.functions.timegrid import from_micros, micros
+from tickwatch.operators.state import chunk_of, unbroken
 
 
 def alert_metric(custom_metrics: Column, preferred: Column) -> tuple[Column, Column]:
@@ -93,44 +93,12 @@ def series_states(samples: DataFrame, definitions: DataFrame, refresh_us: int) -
     held = (
         labelled.join(d, ["namespace", "rule", "metric"])
         .where(compare(F.col("value"), F.col("operator"), F.col("threshold_value")))
-        .withColumn("chunk", chunk_of())
+        .withColumns({"chunk": chunk_of(), "tick_us": micros(F.col("tick"))})
     )
-    runs = _unbroken(held, keys, refresh_us)
-    lasted = micros(F.col("tick")) - micros(F.col("active_at"))
+    runs = unbroken(held, keys, "tick_us", refresh_us)
+    lasted = F.col("tick_us") - F.col("run_from")
     state = F.when(lasted >= F.col("for_us"), "firing").otherwise("pending")
-    return runs.select(*keys, "tick", "value", "active_at", state.alias("state"))
-
-
-def _unbroken(rows: DataFrame, keys: list[str], refresh_us: int) -> DataFrame:
-    """Add ``active_at``: the first tick of the gapless run a row lies in.
-
-    Runs are found inside each chunk; a one-row summary per chunk tells whether its first
-    run continues the last run of the chunk before.
-    """
-    inside = Window.partitionBy(*keys, "chunk").orderBy("tick")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = F.lag("tick").over(inside)
-    gap = prev.isNull() | (micros(F.col("tick")) - micros(prev) > refresh_us)
-    local = rows.select("*", F.when(gap, F.col("tick")).alias("_break")).select(
-        "*", F.last("_break", ignorenulls=True).over(so_far).alias("_start"), F.first("tick").over(so_far).alias("_head")
-    )
-    ends = local.groupBy(*keys, "chunk").agg(
-        F.min("tick").alias("head"), F.max("tick").alias("tail"), F.max("_start").alias("last_start")
-    )
-    across = Window.partitionBy(*keys).orderBy("chunk")
-    joined = F.coalesce(micros(F.col("head")) - micros(F.lag("tail").over(across)) <= refresh_us, F.lit(False))
-    linked = ends.select(
-        *keys,
-        "chunk",
-        joined.alias("_joined"),
-        F.when((F.col("last_start") > F.col("head")) | ~joined, F.col("last_start")).alias("_own"),
-    )
-    carried = F.last("_own", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    carry = linked.select(*keys, "chunk", "_joined", carried.alias("_carried"))
-    continues = (F.col("_start") == F.col("_head")) & F.col("_joined")
-    return local.join(carry, [*keys, "chunk"]).withColumn(
-        "active_at", F.when(continues, F.col("_carried")).otherwise(F.col("_start"))
-    )
+    return runs.select(*keys, "tick", "value", from_micros(F.col("run_from")).alias("active_at"), state.alias("state"))
 
 
 def series_alerts(samples: DataFrame, definitions: DataFrame, refresh_us: int) -> DataFrame:

@@ -246,6 +246,41 @@ def state_times(
     )
 
 
+def unbroken(rows: DataFrame, keys: list[str], position: str, gap: int) -> DataFrame:
+    """Add ``run_from``: the first ``position`` of the gapless run a row lies in.
+
+    Two rows further apart than ``gap`` are in different runs.  ``rows`` is cut into chunks
+    by its ``chunk`` column; a one-row summary per chunk tells whether its first run
+    continues the last run of the chunk before.
+    """
+    inside = Window.partitionBy(*keys, "chunk").orderBy(position)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prev = F.lag(position).over(inside)
+    here = F.col(position)
+    local = rows.select("*", F.when(prev.isNull() | (here - prev > gap), here).alias("_break")).select(
+        "*", F.last("_break", ignorenulls=True).over(so_far).alias("_start"), F.first(position).over(so_far).alias("_head")
+    )
+    ends = local.groupBy(*keys, "chunk").agg(
+        F.min(position).alias("head"), F.max(position).alias("tail"), F.max("_start").alias("last_start")
+    )
+    across = Window.partitionBy(*keys).orderBy("chunk")
+    joined = F.coalesce(F.col("head") - F.lag("tail").over(across) <= gap, F.lit(False))
+    linked = ends.select(
+        *keys,
+        "chunk",
+        joined.alias("_joined"),
+        F.when((F.col("last_start") > F.col("head")) | ~joined, F.col("last_start")).alias("_own"),
+    )
+    carried = F.last("_own", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    carry = linked.select(*keys, "chunk", "_joined", carried.alias("_carried"))
+    continues = (F.col("_start") == F.col("_head")) & F.col("_joined")
+    return (
+        local.join(carry, [*keys, "chunk"])
+        .withColumn("run_from", F.when(continues, F.col("_carried")).otherwise(F.col("_start")))
+        .drop("_break", "_start", "_head", "_joined", "_carried")
+    )
+
+
 def seed_of(state_rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The last row per rule of :func:`state_times`, as the seed of the next run."""
     keys = keys or KEYS
@@ -318,7 +353,7 @@ def alert_intervals(
 
 def _reopen(found: DataFrame, still_open: DataFrame, keys: list[str]) -> DataFrame:
     """Continue alerts that were open at the end of the earlier run."""
-    first = Window.partitionBy(*keys)
+    first = found.groupBy(*keys).agg(F.min("_from").alias("_rule_from"))
     old = still_open.where(F.col("closed_at").isNull()).select(
         *keys,
         F.col("opened_at").alias("_o"),
@@ -329,10 +364,9 @@ def _reopen(found: DataFrame, still_open: DataFrame, keys: list[str]) -> DataFra
         F.lit(True).alias("_has"),
     )
     # only a rule's first group of rows can belong to the old alert
-    tagged = found.withColumn("_first", F.col("_from") == F.min("_from").over(first))
-    cont = F.col("_first") & F.coalesce("_has", F.lit(False))
+    cont = (F.col("_from") == F.col("_rule_from")) & F.coalesce("_has", F.lit(False))
     fired = F.col("last_firing_at").isNotNull()
-    return tagged.join(old, keys, "left").select(
+    return found.join(first, keys).join(old, keys, "left").select(
         *keys,
         "incident",
         "_from",
