@@ -8,9 +8,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tickwatch import model
-from tickwatch.model import Rule, Search, load_rules, resolve_rules, rules_frame
+from tickwatch.model import Rule, Search, load_rules, resolve_rules, rules_frame, rules_from_frame
 from tickwatch.operators import quality, state
+from tickwatch.operators.responses import response_ticks
 from tickwatch.plans.backtest import Backtest
+from tickwatch.plans.catalog import by_log, catalog_ticks
 from tickwatch.sources import sinks
 from tickwatch.sources.logs import scan_index, union_logs
 
@@ -165,3 +167,37 @@ def test_backtest_tables_hang_together(spark):
     # the frozen value is the last firing tick's
     assert alert[0]["value"] == 3.0 or alert[0]["value"] == 4.0
     assert state.firing_events(run.rule_states, run.catalog).count() == run.rule_states.where("state = 'Firing'").count()
+
+
+def test_catalog_reads_each_log_once(spark, tmp_path):
+    rows = [(T0 + timedelta(minutes=i), "ab"[i % 2]) for i in range(60)]
+    spark.createDataFrame(rows, "at timestamp_ntz, k string").write.parquet(str(tmp_path / "app-1.parquet"))
+    spark.createDataFrame(rows[:30], "at timestamp_ntz, k string").write.parquet(str(tmp_path / "sys.parquet"))
+    sources = spark.createDataFrame([("", "main", str(tmp_path), None, "at", True)], model.SOURCE_DDL)
+
+    def rule(name, index, source="main", **kw):
+        return Rule("n", name, Search(filter="k = 'a'", window="10m"), check_interval="10m", index=index, source=(source, ""), **kw)
+
+    catalog = rules_frame(spark, [
+        rule("one", "app-*"), rule("two", "app-*"), rule("three", "sys"), rule("lost", "sys", source="none"), rule("bad", "sys", threshold="x"),
+    ])
+    assert {k: len(v) for k, v in by_log(rules_from_frame(catalog)).items()} == {("", "main", "app-*"): 2, ("", "main", "sys"): 1, ("", "none", "sys"): 1}
+    got = {(r["rule"], r["n"], r["hits"]) for r in catalog_ticks(spark, catalog, sources).groupBy("rule").agg(F.count("*").alias("n"), F.sum("hits").alias("hits")).collect()}
+    assert got == {("one", 6, 30), ("two", 6, 30), ("three", 3, 15)}
+
+
+def test_stored_responses(spark):
+    rule = Rule("n", "r", Search(value_path="aggregations.by.buckets.0.doc_count"), threshold="2", for_="0s")
+    docs = [
+        (200, '{"aggregations":{"by":{"buckets":[{"doc_count":3}]}}}', "ok", 3.0, True, False),
+        (200, '{"aggregations":{"by":{"buckets":[{"doc_count":"x"}]}}}', "ok", 0.0, False, True),
+        (200, '{"aggregations":{"by":{"buckets":[]}}}', "path_missing", None, None, None),
+        (200, "{", "path_missing", None, None, None),
+        (500, "{}", "query_error", None, None, None),
+        (None, None, "connection_error", None, None, None),
+    ]
+    rows = spark.createDataFrame([("n", "r", T0 + timedelta(minutes=i), d[0], d[1]) for i, d in enumerate(docs)], "namespace string, rule string, tick timestamp_ntz, status_code int, body string")
+    got = response_ticks(rows, rules_frame(spark, [rule])).orderBy("tick").collect()
+    assert [(r["outcome"], r["value"], r["firing"], r["coerced"]) for r in got] == [d[2:] for d in docs]
+    none = spark.createDataFrame([], model.SOURCE_DDL)
+    assert {r["outcome"] for r in response_ticks(rows, rules_frame(spark, [rule]), none).collect()} == {"source_not_found"}

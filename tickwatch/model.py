@@ -233,22 +233,29 @@ def resolve_rules(rules: DataFrame) -> DataFrame:
 
 
 def rules_from_frame(rules: DataFrame) -> list[Rule]:
-    """Catalog rows as Python values, for planning searches.
+    """Catalog rows that can be evaluated, as Python values for planning searches.
 
-    A catalog is configuration written by people; only its search, condition and
-    interval fields come to the driver.
+    A catalog is configuration written by people; only the fields that shape a search come
+    to the driver.  Rows with an interval, ``for`` or threshold that does not parse are left
+    out: the lint report names them.
     """
-    rows = rules.select("namespace", "name", "search", "condition", "check_interval", "index").toLocalIterator()
+    usable = rules.where(
+        "search is not null and check_us > 0 and for_us is not null and threshold_value is not null"
+    )
+    rows = usable.select(
+        "namespace", "name", "search", "condition", "check_interval", "index", "source"
+    ).toLocalIterator()
     return [
         Rule(
             namespace=r["namespace"],
             name=r["name"],
-            search=Search(**r["search"].asDict()),
+            search=Search(**{k: v for k, v in r["search"].asDict().items() if v is not None}),
             operator=r["condition"]["operator"],
             threshold=r["condition"]["threshold"],
             for_=r["condition"]["for"],
             check_interval=r["check_interval"],
             index=r["index"],
+            source=(r["source"]["name"], r["source"]["namespace"] or ""),
         )
         for r in rows
     ]

@@ -13,6 +13,8 @@ def get_session(app: str = "tickwatch", master: str | None = None, shuffle_parti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # plans are built from many small expressions; recording a call site for each is slow
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

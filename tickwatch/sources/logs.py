@@ -6,6 +6,7 @@ import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -36,3 +37,15 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "par
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load(path)
+
+
+def open_source(spark: SparkSession, sources: DataFrame, namespace: str | None, name: str, index: str) -> DataFrame | None:
+    """The log index of a registered source, its time column named ``ts``; NULL namespace or
+    "" means cluster scope.  None when there is no such source."""
+    row = sources.where(
+        (F.coalesce("namespace", F.lit("")) == (namespace or "")) & (F.col("name") == name)
+    ).first()
+    if row is None:
+        return None
+    rows = scan_index(spark, row["path"], index, row["format"] or "parquet")
+    return rows.withColumnRenamed(row["ts_col"], "ts") if row["ts_col"] else rows
