@@ -23,13 +23,13 @@ _ACTIONS_SQL = """
 @register(
     "alert_routing",
     STATE_SQL + "," + _ACTIONS_SQL + """
-    SELECT a.namespace, a.rule, a.opened_at, round(a.value, 6) AS value, r.action AS action_name, t.action_namespace, t.validator
+    SELECT a.namespace, a.rule, a.opened_at, round(a.value, 9) AS value, r.action AS action_name, t.action_namespace, t.validator
     FROM alerts a JOIN rules r USING (namespace, rule) JOIN acts t ON t.action = r.action""",
 )
 def alert_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = backtest(spark, sf_dir)
     return notify.route(run.alerts, run.actions).select(
-        "namespace", "rule", "opened_at", F.round("value", 6).alias("value"), "action_name", "action_namespace", "validator"
+        "namespace", "rule", "opened_at", F.round("value", 9).alias("value"), "action_name", "action_namespace", "validator"
     )
 
 
@@ -39,14 +39,14 @@ def alert_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed AS (
       SELECT a.*, r.action, t.action_namespace, t.period_us AS p FROM alerts a JOIN rules r USING (namespace, rule)
       JOIN acts t ON t.action = r.action)
-    SELECT namespace, rule, action AS action_name, action_namespace, round(value, 6) AS value,
+    SELECT namespace, rule, action AS action_name, action_namespace, round(value, 9) AS value,
       make_timestamp(unnest(generate_series(
         ((epoch_us(opened_at) + p - 1) // p) * p, coalesce(epoch_us(closed_at) - 1, epoch_us(last_active_at)), p))) AS sent_at
     FROM routed""",
 )
 def notification_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest(spark, sf_dir).deliveries().select(
-        "namespace", "rule", "action_name", "action_namespace", F.round("value", 6).alias("value"), "sent_at"
+        "namespace", "rule", "action_name", "action_namespace", F.round("value", 9).alias("value"), "sent_at"
     )
 
 

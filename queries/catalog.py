@@ -137,7 +137,7 @@ _LINT_SQL = "WITH r AS (SELECT " + ", ".join(
 @register(
     "rule_lint",
     _LINT_SQL + """
-    SELECT namespace, name AS rule, 'operator_unknown' AS code, operator AS message FROM r WHERE k % 7 IN (5, 6)
+    SELECT namespace, name AS rule, 'operator_unknown' AS code, operator AS message FROM r WHERE k % 7 IN (5, 9)
     UNION ALL SELECT namespace, name, 'threshold_invalid', threshold FROM r WHERE t IN (3, 4)
     UNION ALL SELECT namespace, name, 'for_invalid', for_text FROM r WHERE k % 5 IN (3, 4)
     UNION ALL SELECT namespace, name, 'check_interval_invalid', check_interval FROM r WHERE k % 6 IN (2, 3, 5)
@@ -160,7 +160,7 @@ def rule_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     "output_reason",
     _LINT_SQL + """,
     x AS (SELECT *, CASE WHEN k % 13 BETWEEN 1 AND 6 THEN 'CustomMetricsInvalid'
-                 WHEN t IN (3, 4) OR k % 5 IN (3, 4) OR k % 7 IN (5, 6) THEN 'PrometheusRuleError'
+                 WHEN t IN (3, 4) OR k % 5 IN (3, 4) OR k % 7 IN (5, 9) THEN 'PrometheusRuleError'
                  WHEN k % 3 = 0 AND k % 13 IN (7, 8) THEN 'MetricNameMismatch' ELSE 'Synced' END AS reason
           FROM r WHERE k % 8 = 0)
     SELECT namespace, name AS rule, reason, reason NOT IN ('CustomMetricsInvalid', 'PrometheusRuleError') AS status,

@@ -34,10 +34,10 @@ def replay(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 @register(
     "stream_rule_state",
-    STATE_SQL + """ SELECT namespace, rule, tick, hits, round(value, 6) AS value, firing, state, firing_time,
-      resolving_time, alert_tick, round(alert_value, 6) AS alert_value FROM times""",
+    STATE_SQL + """ SELECT namespace, rule, tick, hits, round(value, 9) AS value, firing, state, firing_time,
+      resolving_time, alert_tick, round(alert_value, 9) AS alert_value FROM times""",
 )
 def stream_rule_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = replay(spark, table(spark, sf_dir, "events"))
     rows = drain(live_states(log, RULES, delay="1 hour"), "live")
-    return rows.withColumns({"value": F.round("value", 6), "alert_value": F.round("alert_value", 6)})
+    return rows.withColumns({"value": F.round("value", 9), "alert_value": F.round("alert_value", 9)})

@@ -16,7 +16,7 @@ from tickwatch.plans.backtest import Backtest
 @register(
     "metric_samples",
     STATE_SQL + """
-    SELECT tick, 'searchrule_value' AS metric, namespace, rule, NULL::VARCHAR AS state, round(value, 6) AS value FROM st
+    SELECT tick, 'searchrule_value' AS metric, namespace, rule, NULL::VARCHAR AS state, round(value, 9) AS value FROM st
     UNION ALL
     SELECT tick, 'searchrule_state', namespace, rule, s.state, CASE WHEN st.state = s.state THEN 1.0 ELSE 0.0 END
     FROM st CROSS JOIN (VALUES ('Normal'), ('Firing'), ('PendingFiring'), ('PendingResolving')) s(state)""",
@@ -29,7 +29,7 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels["searchrule_namespace"].alias("namespace"),
         labels["rule"].alias("rule"),
         labels["state"].alias("state"),
-        F.round("value", 6).alias("value"),
+        F.round("value", 9).alias("value"),
     )
 
 
@@ -88,7 +88,7 @@ _BUCKETS_SQL = "WITH" + grid_sql(60) + """,
     _BUCKETS_SQL + """
     SELECT tick, 'searchrule_events_by_type' AS metric, 'shop' AS namespace, 'mix-watch' AS rule, kind, 'gold' AS tier,
            4 AS n_labels, n::DOUBLE AS value FROM r
-    UNION ALL SELECT tick, 'searchrule_hot_share', 'shop', 'mix-watch', kind, NULL, 3, round(share, 6) FROM r
+    UNION ALL SELECT tick, 'searchrule_hot_share', 'shop', 'mix-watch', kind, NULL, 3, round(share, 9) FROM r
     UNION ALL SELECT tick, 'searchrule_busiest', 'shop', 'mix-watch', NULL, NULL, 2, n FROM r WHERE rn = 1
     UNION ALL SELECT tick, 'searchrule_last_wins', 'shop', 'mix-watch', NULL, NULL, 2, hot FROM r WHERE nr = 1""",
 )
@@ -103,7 +103,7 @@ def custom_metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels["kind"].alias("kind"),
         labels["tier"].alias("tier"),
         F.size("labels").alias("n_labels"),
-        F.round("value", 6).alias("value"),
+        F.round("value", 9).alias("value"),
     )
 
 
@@ -235,7 +235,7 @@ def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM r WHERE share > 30),
     a AS (SELECT *, min(tick) OVER (PARTITION BY kind, island) AS active_at FROM h)
     SELECT 'shop' AS namespace, 'mix-watch' AS rule, 'mix_watch' AS alert_name, 'searchrule_hot_share' AS metric,
-           tick, kind, round(share, 6) AS value, active_at,
+           tick, kind, round(share, 9) AS value, active_at,
            CASE WHEN epoch_us(tick) - epoch_us(active_at) >= 7200000000 THEN 'firing' ELSE 'pending' END AS state,
            'page' AS severity, 'renamed' AS owner, 'r1' AS runbook, 2 AS n_annotations
     FROM a""",
@@ -249,7 +249,7 @@ def series_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "metric",
         "tick",
         F.col("labels")["kind"].alias("kind"),
-        F.round("value", 6).alias("value"),
+        F.round("value", 9).alias("value"),
         "active_at",
         "state",
         F.col("labels")["severity"].alias("severity"),

@@ -67,8 +67,8 @@ def bool_must_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "avg_metric",
     "WITH" + grid_sql(60) + """
-    SELECT g.tick, count(e.event_id) AS hits, round(avg(e.value), 6) AS raw_value,
-           round(coalesce(avg(e.value), 0), 6) AS value
+    SELECT g.tick, count(e.event_id) AS hits, round(avg(e.value), 9) AS raw_value,
+           round(coalesce(avg(e.value), 0), 9) AS value
     FROM grid g LEFT JOIN events e
       ON e.event_type = 'purchase' AND e.ts >= g.tick - INTERVAL 1 HOUR AND e.ts < g.tick
     GROUP BY g.tick""",
@@ -80,7 +80,7 @@ def avg_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = search.tick_values(table(spark, sf_dir, "events"), [rule])
     return out.select(
-        "tick", "hits", F.round("raw_value", 6).alias("raw_value"), F.round("value", 6).alias("value")
+        "tick", "hits", F.round("raw_value", 9).alias("raw_value"), F.round("value", 9).alias("value")
     )
 
 
@@ -126,12 +126,12 @@ def date_range_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     "error_pct_by_key",
     """
     SELECT user_id AS key, count(*) AS doc_count, count(*) FILTER (WHERE event_type = 'error') AS part_count,
-           round(100.0::DOUBLE * count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS percentage
+           round(100.0::DOUBLE * count(*) FILTER (WHERE event_type = 'error') / count(*), 9) AS percentage
     FROM events GROUP BY user_id""",
 )
 def error_pct_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = search.ratio_by_key(table(spark, sf_dir, "events"), F.col("user_id"), F.col("event_type") == "error")
-    return out.withColumn("percentage", F.round("percentage", 6))
+    return out.withColumn("percentage", F.round("percentage", 9))
 
 
 _EXTREME = Search(window="6h", metric="max", field="value", group_by="event_type")

@@ -15,58 +15,58 @@ from tickwatch.sources.sinks import materialize
 
 @register(
     "rule_state",
-    STATE_SQL + " SELECT namespace, rule, tick, round(value, 6) AS value, firing, run_start, state FROM st",
+    STATE_SQL + " SELECT namespace, rule, tick, round(value, 9) AS value, firing, run_start, state FROM st",
 )
 def rule_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = state.states(evaluated(spark, sf_dir))
     return rows.select(
-        "namespace", "rule", "tick", F.round("value", 6).alias("value"), "firing", "run_start", "state"
+        "namespace", "rule", "tick", F.round("value", 9).alias("value"), "firing", "run_start", "state"
     )
 
 
 @register(
     "rule_state_times",
     STATE_SQL + """ SELECT namespace, rule, tick, state, firing_time, resolving_time, alert_tick,
-      round(alert_value, 6) AS alert_value FROM times""",
+      round(alert_value, 9) AS alert_value FROM times""",
 )
 def rule_state_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_rows(spark, sf_dir).select(
         "namespace", "rule", "tick", "state", "firing_time", "resolving_time", "alert_tick",
-        F.round("alert_value", 6).alias("alert_value"),
+        F.round("alert_value", 9).alias("alert_value"),
     )
 
 
 @register(
     "rule_state_latest",
     STATE_SQL + """ SELECT namespace, rule, max(tick) AS tick, arg_max(state, tick) AS state,
-      round(arg_max(value, tick), 6) AS value FROM st GROUP BY namespace, rule""",
+      round(arg_max(value, tick), 9) AS value FROM st GROUP BY namespace, rule""",
 )
 def rule_state_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = state.states(evaluated(spark, sf_dir)).select("namespace", "rule", "tick", "state", "value")
-    return state.latest(rows).withColumn("value", F.round("value", 6))
+    return state.latest(rows).withColumn("value", F.round("value", 9))
 
 
 @register(
     "state_transitions",
     STATE_SQL + """,
     p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY namespace, rule ORDER BY tick), 'Normal') AS from_state FROM st)
-    SELECT namespace, rule, tick, from_state, state AS to_state, round(value, 6) AS value
+    SELECT namespace, rule, tick, from_state, state AS to_state, round(value, 9) AS value
     FROM p WHERE from_state <> state""",
 )
 def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = state.transitions(state.states(evaluated(spark, sf_dir)))
-    return out.withColumn("value", F.round("value", 6))
+    return out.withColumn("value", F.round("value", 9))
 
 
 @register(
     "alert_intervals",
     STATE_SQL + """ SELECT a.namespace, a.rule, r.action AS action_name, opened_at, closed_at, last_active_at,
-      last_firing_at, round(value, 6) AS value
+      last_firing_at, round(value, 9) AS value
     FROM alerts a JOIN rules r USING (namespace, rule) WHERE r.action IS NOT NULL""",
 )
 def alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = state.alert_intervals(state_rows(spark, sf_dir), rules(spark))
-    return out.drop("payload", "action_namespace").withColumn("value", F.round("value", 6))
+    return out.drop("payload", "action_namespace").withColumn("value", F.round("value", 9))
 
 
 @register(
@@ -87,13 +87,13 @@ def firing_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     span AS (SELECT namespace, rule, min(tick) AS lo, max(tick) AS hi FROM st GROUP BY namespace, rule),
     refresh AS (
       SELECT namespace, rule, unnest(generate_series(lo, hi, INTERVAL 10 MINUTE)) AS refresh_tick FROM span)
-    SELECT f.namespace, f.rule, f.refresh_tick, s.tick, s.state, round(s.value, 6) AS value
+    SELECT f.namespace, f.rule, f.refresh_tick, s.tick, s.state, round(s.value, 9) AS value
     FROM refresh f ASOF JOIN st s
       ON f.namespace = s.namespace AND f.rule = s.rule AND f.refresh_tick >= s.tick""",
 )
 def metric_refresh_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = state.states(evaluated(spark, sf_dir)).select("namespace", "rule", "tick", "state", "value")
-    return state.as_of(rows, "10m").withColumn("value", F.round("value", 6))
+    return state.as_of(rows, "10m").withColumn("value", F.round("value", 9))
 
 
 @register(
@@ -144,7 +144,7 @@ _RESPONSE = """
     WITH p AS (SELECT event_id, ts AS tick, event_type AS rule, user_id, json_extract_string(props, '$.k')::DOUBLE AS k FROM events),
     o AS (
       SELECT 'ops' AS namespace, *, CASE WHEN event_id % 23 = 0 THEN 'connection_error' WHEN event_id % 19 = 0 THEN 'query_error'
-        WHEN event_id % 8 IN (5, 6) THEN 'path_missing' WHEN rule = 'signup' THEN 'bad_condition' ELSE 'ok' END AS outcome,
+        WHEN event_id % 8 IN (5, 9) THEN 'path_missing' WHEN rule = 'signup' THEN 'bad_condition' ELSE 'ok' END AS outcome,
         CASE WHEN event_id % 8 = 2 THEN 0 ELSE k END AS value
       FROM p),
     good AS (SELECT *, CASE WHEN rule = 'view' THEN value <= 30 ELSE value > 40 END AS firing,
