@@ -353,7 +353,7 @@ _DURATION = """
 def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     texts = items.select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_DURATION).alias("text"))
-    return texts.withColumns({"nanos": duration_nanos(F.col("text")), "micros": duration_micros(F.col("text"))})
+    return texts.withColumns({"nanos": duration_nanos("text"), "micros": duration_micros("text")})
 
 
 @register(

@@ -45,7 +45,7 @@ def one(spark, value, kind, expr):
 
 def test_durations(spark):
     rows = spark.createDataFrame(DURATIONS, "text string, want bigint").select(
-        "text", "want", duration_nanos(F.col("text")).alias("got"), duration_micros(F.col("text")).alias("us")
+        "text", "want", duration_nanos("text").alias("got"), duration_micros("text").alias("us")
     )
     for r in rows.collect():
         assert r["got"] == r["want"], r

@@ -23,28 +23,29 @@ _PART = r"(\d+\.?\d*|\.\d+)(ns|us|µs|μs|ms|s|m|h)"
 _WHOLE = rf"^[-+]?(0|({_PART})+)$"
 
 
-def duration_nanos(text: Column) -> Column:
-    """Duration text to BIGINT nanoseconds; NULL when the text is not a duration."""
-    units = F.create_map(*[F.lit(x) for kv in UNIT_NANOS.items() for x in kv])
-    numbers = F.regexp_extract_all(text, F.lit(_PART), 1)
-    names = F.regexp_extract_all(text, F.lit(_PART), 2)
+def duration_nanos(text: str) -> Column:
+    """Duration text to BIGINT nanoseconds; NULL when the text is not a duration.
+
+    ``text`` is a column name or a SQL expression.
+    """
+    units = ", ".join(f"'{u}', {n}" for u, n in UNIT_NANOS.items())
     # each part is cut to whole nanoseconds before the parts are added
-    parts = F.zip_with(
-        numbers,
-        names,
-        lambda n, u: F.floor(n.try_cast("decimal(28,9)") * F.element_at(units, u).cast("decimal(14,0)")),
-    )
-    total = F.aggregate(
-        parts, F.lit(0).cast("decimal(38,0)"), lambda acc, x: (acc + x).cast("decimal(38,0)")
+    return F.expr(
+        f"""case when ({text}) rlike r'{_WHOLE}' then try_cast(
+            if(startswith({text}, '-'), -1, 1) * aggregate(
+                zip_with(
+                    regexp_extract_all({text}, r'{_PART}', 1),
+                    regexp_extract_all({text}, r'{_PART}', 2),
+                    (n, u) -> floor(try_cast(n as decimal(28, 9)) * cast(element_at(map({units}), u) as decimal(14, 0)))),
+                cast(0 as decimal(38, 0)),
+                (total, part) -> cast(total + part as decimal(38, 0)))
+            as bigint) end"""
     )
-    signed = F.when(text.startswith("-"), -total).otherwise(total)
-    return F.when(text.rlike(_WHOLE), signed.try_cast("bigint"))
 
 
-def duration_micros(text: Column) -> Column:
+def duration_micros(text: str) -> Column:
     """Duration text to BIGINT microseconds, cut toward zero; NULL when not a duration."""
-    nanos = duration_nanos(text)
-    return F.call_function("div", nanos, F.lit(1000).cast("bigint"))
+    return F.call_function("div", duration_nanos(text), F.lit(1000).cast("bigint"))
 
 
 def parse_micros(text: str) -> int:

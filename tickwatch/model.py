@@ -225,8 +225,8 @@ def resolve_rules(rules: DataFrame) -> DataFrame:
 
     return rules.withColumns(
         {
-            "check_us": duration_micros(F.col("check_interval")),
-            "for_us": duration_micros(F.col("condition")["for"]),
+            "check_us": duration_micros("check_interval"),
+            "for_us": duration_micros("condition.`for`"),
             "threshold_value": threshold_value(F.col("condition")["threshold"]),
         }
     )

@@ -35,9 +35,9 @@ def route(alerts: DataFrame, actions: DataFrame, match_namespace: bool = False)
     return out.drop("action_namespace").withColumnRenamed("_action_ns", "action_namespace")
 
 
-def sync_micros(text: Column) -> Column:
+def sync_micros(text: str = "sync_interval") -> Column:
     """An action's re-send period; the default when none is set."""
-    return duration_micros(F.coalesce(F.nullif(text, F.lit("")), F.lit(model.DEFAULT_ACTION_INTERVAL)))
+    return duration_micros(f"coalesce(nullif({text}, ''), '{model.DEFAULT_ACTION_INTERVAL}')")
 
 
 def outbox(
@@ -51,7 +51,7 @@ def outbox(
     first cut into days, so no task has to list a whole one, and no inequality join is
     needed.
     """
-    period = period_us if period_us is not None else sync_micros(F.col("sync_interval"))
+    period = period_us if period_us is not None else sync_micros()
     open_end = until if until is not None else F.col("last_active_at")
     last = F.coalesce(micros(F.col("closed_at")) - 1, micros(open_end))
     spans = (

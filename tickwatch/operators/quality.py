@@ -59,8 +59,8 @@ def lint(rules: DataFrame) -> DataFrame:
     checks = [
         _violation(~cond["operator"].isin(model.OPERATORS), "operator_unknown", cond["operator"]),
         _violation(threshold_value(cond["threshold"]).isNull(), "threshold_invalid", cond["threshold"]),
-        _violation(duration_micros(cond["for"]).isNull(), "for_invalid", cond["for"]),
-        _violation(duration_micros(F.col("check_interval")).isNull(), "check_interval_invalid", F.col("check_interval")),
+        _violation(duration_micros("condition.`for`").isNull(), "for_invalid", cond["for"]),
+        _violation(duration_micros("check_interval").isNull(), "check_interval_invalid", F.col("check_interval")),
         _violation(~_has_search() & ~_has_text_query(), "query_missing", F.lit("no query")),
         _violation(_has_search() & _has_text_query(), "query_twice", F.lit("two queries")),
         _violation(~has_output(), "output_missing", F.lit(model.MISSING_OUTPUT[1])),

@@ -32,7 +32,7 @@ from tickwatch.functions.timegrid import (
 from tickwatch.model import Rule, Search, local_frame
 
 # how each measure is merged; a plan carries only the ones its rules read
-MERGE = {"hits": F.sum, "part": F.sum, "n": F.sum, "total": F.sum, "low": F.min, "high": F.max}
+MERGE = {"hits": "sum", "part": "sum", "n": "sum", "total": "sum", "low": "min", "high": "max"}
 _READS = {"count": [], "avg": ["n", "total"], "sum": ["total"], "min": ["low"], "max": ["high"], "pct": ["part"]}
 _SPINE_CHUNK = 4096
 
@@ -246,7 +246,7 @@ def _zero_measures(measures: list[str]) -> list[Column]:
 
 
 def _merge(measures: list[str]) -> list[Column]:
-    return [MERGE[m](m).alias(m) for m in measures]
+    return [F.expr(f"{MERGE[m]}({m}) as {m}") for m in measures]
 
 
 def spine(plan: DataFrame) -> DataFrame:
@@ -283,20 +283,20 @@ def slide(panes: DataFrame, series: list[str], widths: list[int], measures: list
     )
     if set(widths) == {1}:
         return merged.select(*series, (F.col("p") + 1).alias("e"), *measures)
-    group = Window.partitionBy(*series, "block")
-    head = group.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = group.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = merged.select(
+    group = f"partition by {', '.join([*series, 'block'])} order by p"
+    running = merged.selectExpr(
         *series,
         "p",
-        *[MERGE[m](m).over(head).alias(f"h_{m}") for m in measures],
-        *[MERGE[m](m).over(tail).alias(f"t_{m}") for m in measures],
-    )
-    heads = F.struct((F.col("p") + 1).alias("e"), *[F.col(f"h_{m}").alias(m) for m in measures])
-    tails = F.struct((F.col("p") + k).alias("e"), *[F.col(f"t_{m}").alias(m) for m in measures])
-    # a block's full tail equals its full head, so it is sent once
-    sides = F.array_compact(F.array(heads, F.when(F.pmod(F.col("p"), k) != 0, tails)))
-    return running.select(*series, F.inline(sides)).groupBy(*series, "e").agg(*_merge(measures))
+        "struct(p + 1 as e, " + ", ".join(f"{MERGE[m]}({m}) over ({group} rows unbounded preceding) as {m}" for m in measures) + ") as head",
+        "struct(p, " + ", ".join(f"{MERGE[m]}({m}) over ({group} desc rows unbounded preceding) as {m}" for m in measures) + ") as tail",
+    ).withColumn("k", k)
+    sides = running.selectExpr(
+        *series,
+        "head",
+        # a block's full tail equals its full head, so it is sent once
+        "if(pmod(p, k) <> 0, struct(p + k as e, " + ", ".join(f"tail.{m} as {m}" for m in measures) + "), null) as tail",
+    ).selectExpr(*series, "inline(array_compact(array(head, tail)))")
+    return sides.groupBy(*series, "e").agg(*_merge(measures))
 
 
 def _to_ticks(windows: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:

@@ -69,22 +69,24 @@ def _past(start: Column) -> Column:
 
 def _runs(ticks: DataFrame, keys: list[str], seed: DataFrame | None) -> DataFrame:
     """Add ``run_start`` and ``fired_before`` (any true tick earlier in the history)."""
-    inside = Window.partitionBy(*keys, "chunk").orderBy("tick")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = F.lag("firing").over(inside)
-    local = (
-        ticks.withColumn("_breaks", prev.isNull() | (prev != F.col("firing")))
-        .withColumn("_start", F.last(F.when(F.col("_breaks"), F.col("tick")), ignorenulls=True).over(so_far))
-        .withColumn("_head", F.first("tick").over(so_far))
-        .withColumn("_fired", F.max(F.col("firing")).over(so_far))
+    group = ", ".join(keys)
+    inside = f"partition by {group}, chunk order by tick"
+    so_far = f"over ({inside} rows unbounded preceding)"
+    local = ticks.selectExpr(
+        "*", f"if(firing <=> lag(firing) over ({inside}), null, tick) as _break"
+    ).selectExpr(
+        "*",
+        f"last_value(_break) ignore nulls {so_far} as _start",
+        f"first_value(tick) {so_far} as _head",
+        f"max(firing) {so_far} as _fired",
     )
     # one row per chunk: how it begins, how it ends
     ends = local.groupBy(*keys, "chunk").agg(
-        F.min_by("firing", "tick").alias("first_firing"),
-        F.max_by("firing", "tick").alias("last_firing"),
-        F.max_by("_start", "tick").alias("last_start"),
-        F.min("tick").alias("head"),
-        F.max("firing").alias("any_fired"),
+        F.expr("min_by(firing, tick) as first_firing"),
+        F.expr("max_by(firing, tick) as last_firing"),
+        F.expr("max_by(_start, tick) as last_start"),
+        F.expr("min(tick) as head"),
+        F.expr("max(firing) as any_fired"),
     )
     if seed is not None:
         ends = ends.unionByName(
@@ -100,31 +102,26 @@ def _runs(ticks: DataFrame, keys: list[str], seed: DataFrame | None) -> DataFram
                 (F.col("state") != model.NORMAL).alias("any_fired"),
             )
         )
-    across = Window.partitionBy(*keys).orderBy("chunk")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.lag("last_firing").over(across)
-    opens = (
-        F.col("head").isNull()
-        | (F.col("last_start") > F.col("head"))
-        | before.isNull()
-        | (before != F.col("first_firing"))
-    )
-    carry = (
-        ends.withColumn("_own", F.when(opens, F.col("last_start")))
-        .select(
-            *keys,
-            "chunk",
-            before.alias("_prev_firing"),
-            F.last("_own", ignorenulls=True).over(earlier).alias("_prev_start"),
-            F.max("any_fired").over(earlier).alias("_prev_fired"),
-        )
+    across = f"partition by {group} order by chunk"
+    earlier = f"over ({across} rows between unbounded preceding and 1 preceding)"
+    carry = ends.selectExpr("*", f"lag(last_firing) over ({across}) as _prev_firing").selectExpr(
+        "*",
+        """if(head is null or last_start > head or _prev_firing is null or _prev_firing <> first_firing,
+           last_start, null) as _own""",
+    ).selectExpr(
+        *keys,
+        "chunk",
+        "_prev_firing",
+        f"last_value(_own) ignore nulls {earlier} as _prev_start",
+        f"max(any_fired) {earlier} as _prev_fired",
     )
-    continues = (F.col("_start") == F.col("_head")) & (F.col("_prev_firing") == F.col("firing"))
-    return (
-        local.join(carry, [*keys, "chunk"], "left")
-        .withColumn("run_start", F.when(continues, F.col("_prev_start")).otherwise(F.col("_start")))
-        .withColumn("fired_before", F.col("_fired") | F.coalesce(F.col("_prev_fired"), F.lit(False)))
-        .drop("_breaks", "_start", "_head", "_fired", "_prev_firing", "_prev_start", "_prev_fired")
+    kept = [c for c in ticks.columns if c not in (*keys, "chunk")]
+    return local.join(carry, [*keys, "chunk"], "left").selectExpr(
+        *keys,
+        "chunk",
+        *kept,
+        "if(_start = _head and _prev_firing = firing, _prev_start, _start) as run_start",
+        "_fired or coalesce(_prev_fired, false) as fired_before",
     )
 
 
@@ -142,29 +139,27 @@ def carry_last(
     the current row counts or only earlier rows; ``seeds`` holds ``_e_<name>`` columns
     from before the first row.
     """
-    inside = Window.partitionBy(*keys, "chunk").orderBy(*order)
-    position = F.struct(*order)
+    group = ", ".join(keys)
+    until = {True: "current row", False: "1 preceding"}
     marked = rows.withColumns({f"_m_{n}": c for n, c in marks.items()})
-    local = marked.withColumns(
-        {
-            f"_l_{n}": F.last(f"_m_{n}", ignorenulls=True).over(
-                inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if up_to_now[n] else -1)
-            )
+    local = marked.selectExpr(
+        "*",
+        *[
+            f"""last_value(_m_{n}) ignore nulls over (partition by {group}, chunk order by {', '.join(order)}
+                rows between unbounded preceding and {until[up_to_now[n]]}) as _l_{n}"""
             for n in marks
-        }
+        ],
     )
     ends = marked.groupBy(*keys, "chunk").agg(
-        *[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), position)).alias(f"_e_{n}") for n in marks]
+        *[F.expr(f"max_by(_m_{n}, if(_m_{n} is null, null, struct({', '.join(order)}))) as _e_{n}") for n in marks]
     )
     if seeds is not None:
         ends = ends.unionByName(seeds.withColumn("chunk", F.lit(-(2**62))))
-    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(
-        *keys, "chunk", *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in marks]
-    )
-    joined = local.join(carry, [*keys, "chunk"], "left")
-    return joined.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in marks}).drop(
-        *[f"{p}_{n}" for n in marks for p in ("_m", "_l", "_c")]
+    earlier = f"over (partition by {group} order by chunk rows between unbounded preceding and 1 preceding)"
+    carry = ends.selectExpr(*keys, "chunk", *[f"last_value(_e_{n}) ignore nulls {earlier} as _c_{n}" for n in marks])
+    kept = [c for c in rows.columns if c not in (*keys, "chunk")]
+    return local.join(carry, [*keys, "chunk"], "left").selectExpr(
+        *keys, "chunk", *kept, *[f"coalesce(_l_{n}, _c_{n}) as {n}" for n in marks]
     )
 
 
