@@ -88,7 +88,7 @@ def test_cap_comes_before_the_skip_rules(spark):
     assert (got, flags) == ([(2.0, (("host", "a"),))], [True])
 
 
-NAMES = [("akamai_5xx_by_host", True), ("a", True), ("_underscore", True), ("value", False), ("state", False), ("", False),
+NAMES = [("cdn_5xx_by_host", True), ("a", True), ("_underscore", True), ("value", False), ("state", False), ("", False),
          ("with-hyphen", False), ("123leading", False), ("with:colon", False), ("with space", False), (None, False)]
 
 

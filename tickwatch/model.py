@@ -49,7 +49,6 @@ RESERVED_LABELS = ["searchrule_namespace", "rule"]
 IDENTIFIER = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
 
 DEFAULT_ACTION_INTERVAL = "5s"
-DEFAULT_SOURCE_INTERVAL = "1m"
 DEFAULT_REFRESH = "10s"
 DEFAULT_VALUE_PATH = "doc_count"
 BUCKET_CAP = 1000
@@ -84,6 +83,17 @@ MISSING_OUTPUT = (
     "The rule has neither an action nor a series alert; at least one is required",
 )
 
+# reasons of a rule's series alert, worst first
+METRICS_INVALID = "CustomMetricsInvalid"
+DEFINITION_ERROR = "PrometheusRuleError"
+METRICS_HIDDEN = "MetricsNotExposed"
+NAME_MISMATCH = "MetricNameMismatch"
+DEFINITION_SYNCED = "Synced"
+
+# reasons why a custom metric has no samples
+NO_TREE = "NoAggregations"
+NO_PATH = "PathNotFound"
+
 FIRING_NOTE = "Rule is in firing state. Current value is "
 FIRING_ACTION = "AlertFiring"
 

@@ -43,12 +43,13 @@ def basic_samples(state_rows: DataFrame) -> DataFrame:
 
 
 def declared_metrics(rules: DataFrame) -> DataFrame:
-    """One row per (rule, custom metric): full name, ordered label names, definition, validity."""
+    """One row per (rule, custom metric): full name, help, ordered label names, definition, validity."""
     m = rules.select("namespace", F.col("name").alias("rule"), F.posexplode("custom_metrics").alias("metric_pos", "cm"))
     return m.select(
         *KEYS,
         "metric_pos",
         F.concat(F.lit(model.METRIC_PREFIX), F.col("cm.name")).alias("metric"),
+        F.expr("coalesce(nullif(cm.help, ''), concat('Custom metric ', cm.name))").alias("help"),
         F.transform("cm.labels", lambda x: x["name"]).alias("label_names"),
         "cm",
         valid_metric_name(F.col("cm.name")).alias("name_ok"),
@@ -187,9 +188,9 @@ def missing_maps(trees: DataFrame, metrics: DataFrame) -> DataFrame:
     absent = F.col("aggregations").isNull() | F.coalesce(F.is_variant_null("aggregations"), F.lit(False))
     path = F.col("map_text")
     at_path = F.try_variant_get(F.col("aggregations"), F.col("map_path"), "variant")
-    reason = F.when(absent, "NoAggregations").when(at_path.isNull(), "PathNotFound")
+    reason = F.when(absent, model.NO_TREE).when(at_path.isNull(), model.NO_PATH)
     hint = F.when(
-        (F.col("reason") == "PathNotFound") & path.startswith("aggregations."), "drop the aggregations. prefix"
+        (F.col("reason") == model.NO_PATH) & path.startswith("aggregations."), "drop the aggregations. prefix"
     )
     return (
         trees.join(extraction_plan(metrics).select(*KEYS, "metric", "map_text", "map_path"), KEYS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch import model
@@ -91,19 +91,19 @@ def output_reason(rules: DataFrame, metrics_exposed: bool = True) -> DataFrame:
     broken = F.col("threshold_value").isNull() | F.col("for_us").isNull() | ~F.col("condition.operator").isin(model.OPERATORS)
     hidden = F.lit(not metrics_exposed)
     reason = (
-        F.when(bad_metric, "CustomMetricsInvalid")
-        .when(F.coalesce(broken, F.lit(True)), "PrometheusRuleError")
-        .when(hidden, "MetricsNotExposed")
-        .when(mismatch.isNotNull(), "MetricNameMismatch")
-        .otherwise("Synced")
+        F.when(bad_metric, model.METRICS_INVALID)
+        .when(F.coalesce(broken, F.lit(True)), model.DEFINITION_ERROR)
+        .when(hidden, model.METRICS_HIDDEN)
+        .when(mismatch.isNotNull(), model.NAME_MISMATCH)
+        .otherwise(model.DEFINITION_SYNCED)
     )
     message = F.when(
-        reason.isin("MetricsNotExposed"), F.concat_ws("; additionally, ", F.lit("metrics are not exposed"), mismatch)
-    ).when(reason == "MetricNameMismatch", mismatch)
+        reason == model.METRICS_HIDDEN, F.concat_ws("; additionally, ", F.lit("metrics are not exposed"), mismatch)
+    ).when(reason == model.NAME_MISMATCH, mismatch)
     return rules.where(F.coalesce("series_alert.enabled", F.lit(False))).select(
         "namespace",
         F.col("name").alias("rule"),
-        (~reason.isin("CustomMetricsInvalid", "PrometheusRuleError")).alias("status"),
+        (~reason.isin(model.METRICS_INVALID, model.DEFINITION_ERROR)).alias("status"),
         reason.alias("reason"),
         message.alias("message"),
     )

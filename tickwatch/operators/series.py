@@ -51,7 +51,7 @@ def series_rules(rules: DataFrame) -> DataFrame:
         ),
     )
     selector = F.format_string(
-        '%s{searchrule_namespace="%s",rule="%s"} %s %s',
+        f'%s{{{model.NAMESPACE_LABEL}="%s",{model.RULE_LABEL}="%s"}} %s %s',
         metric, F.col("namespace"), F.col("name"), symbol, number_text(F.col("threshold_value")),
     )
     return (

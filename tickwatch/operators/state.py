@@ -420,7 +420,12 @@ def with_lives(
     )
 
 
-def as_of(state_rows: DataFrame, refresh: str, keys: list[str] | None = None, chunk: str = DEFAULT_CHUNK) -> DataFrame:
+def as_of(
+    state_rows: DataFrame,
+    refresh: str = model.DEFAULT_REFRESH,
+    keys: list[str] | None = None,
+    chunk: str = DEFAULT_CHUNK,
+) -> DataFrame:
     """The state each refresh tick sees: the last row at or before it, per rule.
 
     Refresh ticks are multiples of ``refresh`` from a rule's first row to its last.
