@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickwatch.llm import exact_search, near_search, packing, sharding, token_files
+from tickwatch.llm import exact_search, near_search, packing, setsketch, sharding, speculative_bpe, token_files
 from tickwatch.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,15 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.search(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = setsketch.near_duplicates(read(spark, sf_dir, "documents"), threshold=75)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speculative_bpe.encode(read(spark, sf_dir, "documents"), WORD_BPE, digests=True)
+
+
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
@@ -38,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pack_sum_of_squares": packed,
     "op5_shard_histogram_sort": sharded,
     "op6_exact_top_k": exact_top_k,
+    "op7_setsketch": near_duplicates,
+    "op8_speculative_bpe": bpe_round_trip,
     "op9_token_files": token_spans,
     "op10_multiprobe_lsh": near_neighbours,
 }
