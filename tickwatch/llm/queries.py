@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickwatch.llm import exact_search, near_search, packing, setsketch, sharding, speculative_bpe, token_files
+from tickwatch.llm import exact_search, near_search, packing, recompression, setsketch, sharding, speculative_bpe, token_files
 from tickwatch.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.removed(read(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), BYTE_BPE, end_id=2, capacity=1024)
 
@@ -44,6 +50,7 @@ def near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_recompression": substring_dedup,
     "op4_pack_sum_of_squares": packed,
     "op5_shard_histogram_sort": sharded,
     "op6_exact_top_k": exact_top_k,
