@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwatch.llm import exact_search, near_search, packing, recompression, setsketch, sharding, speculative_bpe, token_files
+from tickwatch.llm import exact_search, link_trust, near_search, packing, quality, recompression, setsketch, sharding, speculative_bpe, token_files
 from tickwatch.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "host", "path", "low", "toxic", "low_rate", "toxic_rate", "low_posterior", "toxic_posterior", "rejected", (~F.col("rejected")).alias("kept"))
+
+
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(read(spark, sf_dir, "pages"), RULES)
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recompression.removed(read(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -50,6 +62,8 @@ def near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_empirical_bayes": quality_verdicts,
+    "op2_link_trust": url_verdicts,
     "op3_recompression": substring_dedup,
     "op4_pack_sum_of_squares": packed,
     "op5_shard_histogram_sort": sharded,
