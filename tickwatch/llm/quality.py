@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from tickwatch.llm.common import materialise
 
 MAX_LABELLED = 20_000
-VOCABULARY = 20_000
+VOCABULARY = 50_000
 MIN_DOCS = 5
-PENALTY = 0.001
+#: Weight of the absolute coefficients against the likelihood of the whole sample.
+PENALTY = 0.5
+STEMS = (6, 4)
 SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]+")
 QUESTIONS = ("low", "toxic")
@@ -45,7 +48,7 @@ def step(name: str, share: float, steps: int) -> str:
 
 
 def features(text: str | None) -> set[str]:
-    """The distinct words of a whole text, without the punctuation around them, and its shape."""
+    """The distinct words of a whole text, without the punctuation around them, their beginnings, and its shape."""
     if not text:
         return set()
     words = text.lower().split()
@@ -54,6 +57,11 @@ def features(text: str | None) -> set[str]:
     lines = [x for x in text.split("\n") if x]
     out = {w.strip(SYMBOLS) for w in kinds}
     out.discard("")
+    # beginnings of words stand for their inflections and compounds; many different words with one count more
+    plain = list(out)
+    for size in STEMS:
+        stems = Counter([w[:size] for w in plain if len(w) > size])
+        out |= {f"{s}*" for s in stems} | {f"{s}**" for s, n in stems.items() if n >= 3}
     out |= {
         step("symbols", sum(map(text.count, SYMBOLS)) / chars, 40),
         step("digits", sum(map(text.count, "0123456789")) / chars, 20),
@@ -86,12 +94,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
     words = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=VOCABULARY, minDF=MIN_DOCS, binary=True)
     known = words.fit(sample)
     ready = known.transform(sample)
+    n = sample.count()
     for question in QUESTIONS:
         train = ready.where(F.col(question).isNotNull()).select(F.col(question).alias("label"), "features")
         if train.select("label").distinct().count() < 2 or not known.vocabulary:
             out[question] = {}
             continue
-        model = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, maxIter=60, standardization=False).fit(train)
+        model = LogisticRegression(regParam=PENALTY / n, elasticNetParam=1.0, maxIter=100, standardization=False).fit(train)
         out[question] = {known.vocabulary[i]: float(model.coefficients[int(i)]) for i in model.coefficients.toArray().nonzero()[0]}
         out[question][BIAS] = float(model.intercept)
     return out
