@@ -38,6 +38,9 @@ SAMPLE = 128
 CELL = 8192
 MAX_PROBES = 4096
 U = np.uint64
+#: Lists of candidates that are merged in one task's group.
+MERGED = 30_000
+LISTS = "query long, ids binary, scores binary"
 FOUND = "query long, vec_id long, score double"
 
 
@@ -248,12 +251,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = 8
                 many = hi - lo
                 col = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - lo, many)
                 row, hit, score = best_of(q, ids, v, np.repeat(row, many), col, k + 1)
-                found.append(pd.DataFrame({"query": piece["query"].to_numpy()[row], "vec_id": hit, "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({"query": [], "vec_id": [], "score": []}).astype({"query": "int64", "vec_id": "int64"})
-
-    hits = visits.groupBy("in_cell", "in_split").cogroup(placed.groupBy("cell", "split")).applyInPandas(search_cell, FOUND)
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = hits.dropDuplicates(["query", "vec_id"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+                edges = np.flatnonzero(np.diff(row, prepend=-1))
+                for a, b in zip(edges, [*edges[1:], len(row)]):
+                    found.append((piece["query"].iloc[row[a]], hit[a:b].astype("<i8").tobytes(), score[a:b].astype("<f8").tobytes()))
+        return pd.DataFrame(found, columns=["query", "ids", "scores"])
+
+    def merge(lists: pd.DataFrame) -> pd.DataFrame:
+        row = np.repeat(lists["query"].to_numpy(), lists["ids"].map(len).to_numpy() // 8)
+        ids, score = np.frombuffer(b"".join(lists["ids"]), "<i8"), np.frombuffer(b"".join(lists["scores"]), "<f8")
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        # one candidate from several tables has the same score in all
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+        row, ids, score = row[new], ids[new], score[new]
+        top = np.arange(len(row)) - np.searchsorted(row, row) <= k
+        return pd.DataFrame({"query": row[top], "vec_id": ids[top], "score": score[top]})
+
+    lists = visits.groupBy("in_cell", "in_split").cogroup(placed.groupBy("cell", "split")).applyInPandas(search_cell, LISTS)
+    # as many groups of queries as keep a group at MERGED lists
+    groups = max(1, -(-alike.count() * tables * min(probes, cells) // MERGED))
+    top = lists.groupBy(F.pmod(F.xxhash64("query"), F.lit(groups))).applyInPandas(merge, FOUND)
     named = asked.join(alike, "v").select(F.col("vec_id").alias("query_id"), "query")
     answers = named.join(top, "query").where(F.col("vec_id") != F.col("query_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
