@@ -10,16 +10,18 @@ can differ. For each edge of a symbol we keep how far to the left and right its
 
 Each window is represented by an anchor: of the symbols it is certain of at the highest round that has any,
 the one with the smallest hash. Equal windows choose equal anchors, and neighbouring windows mostly share one, so there is
-a record for each twenty words or so: (doc_id, first and last window, symbol, fingerprint of all words that these
-windows cover).
+a record for each fifteen words or so: its windows, and the cover, all words that these windows hold.
 
-Verification goes from large to small. (1) Symbols that occur once in the corpus are of no interest. (2) Of records
-with equal symbol and covered words all but those of the smallest doc_id are repeats as a whole. (3) Only where one
-symbol has records with different words, at the edges of passages and around edits, are the windows themselves
-compared, by a fingerprint each. (4) All words of repeated windows are removed. Groups are joined and pre-aggregated,
-never gathered, so a passage in a third of all documents is no hot task.
+Verification goes from large to small. (1) Each record is keyed by its cover, and by its anchor with the words
+before it, and with those after it, up to half a window: of two equal windows' records one of these halves is equal. One
+pre-aggregation finds the covers that occur in several documents, and the halves that occur in several covers.
+(2) A second pass emits the records of such covers, and, only for records with such a half, the edges of passages and
+surroundings of edits, the windows one by one. Which keys matter is looked up in a bit filter of fixed size
+(``FILTER_BITS``); what it lets through too much finds no partner. (3) Of equal covers, and of equal windows, all but those of the
+smallest doc_id are repeats; their words are removed. Keys are pre-aggregated and joined, never gathered, so a passage in
+a third of all documents is no hot task.
 
-Fingerprints: a symbol's has 64 bits, the covered words' 64 more under equal symbols; windows' have 128.
+Fingerprints that decide have 128 bits.
 
 Defined results: null, empty and short texts lose no word; a row without doc_id loses none and is no source; rows with one
 doc_id and different texts are judged each by its own text, and are no source for each other; repeated rows give repeated rows;
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +43,10 @@ from tickwatch.llm.common import BASES, U, Sequences, chunks, hashed_words, mate
 WINDOW = 50
 ROUNDS = 4
 FAR = 1 << 40
-ANCHORS = "doc_id long, thash long, first int, last int, symbol long, cover long"
-WINDOWS = "doc_id long, thash long, at int, w1 long, w2 long"
-KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
+#: Size of the filter that is sent to all executors: 16 MB, whatever the input.
+FILTER_BITS = 1 << 27
+KEYS = "k1 long, k2 long, value long"
+PLACES = "k1 long, k2 long, doc_id long, thash long, first int, last int"
 
 
 class Level:
@@ -76,37 +80,60 @@ def next_level(level: Level, prints: Sequences, turn: int) -> Level:
     return Level(start, end, prints.of(start, end), doc, left, right)
 
 
-def anchored(names: np.ndarray, first: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window starts, anchor's number, anchor's symbol) for all windows of all texts; neighbouring windows of one
-    text with the same anchor have the same number."""
-    counts = np.diff(first)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    begins = np.flatnonzero(np.arange(len(names)) + window <= np.repeat(first[1:], counts)) if len(names) else np.zeros(0, np.int64)
-    anchor, symbol = np.full(len(begins), -1), np.zeros(len(begins), U)
-    if not len(begins):
-        return begins, anchor, symbol
-    prints = Sequences(names)
-    levels = [words_level(names, doc)]
-    for turn in range(rounds):
-        levels.append(next_level(levels[-1], prints, turn))
-    todo = np.arange(len(begins))
-    for number in range(rounds, -1, -1):
-        level = levels[number]
-        # a window is certain of a symbol if it starts at ``low`` to ``high``
-        usable = np.flatnonzero(level.right - level.left <= window)
-        if not len(usable):
-            continue
-        low, high = level.right[usable] - window, level.left[usable]
-        rank = mix(level.name[usable] ^ U(number))
-        from_ = np.searchsorted(high, begins[todo])
-        to = np.searchsorted(low, begins[todo], "right")
-        some = to > from_
-        hit, from_, to = todo[some], from_[some], to[some]
-        best = usable[leftmost_least(rank, from_, to)]
-        anchor[hit] = best * (rounds + 1) + number
-        symbol[hit] = mix(level.name[best] + U(number + 1))
-        todo = todo[~some]
-    return begins, anchor, symbol
+class Records:
+    """The stretches of windows with one anchor, over all texts of a chunk; ``begin`` and ``end`` are the anchor's words,
+    ``first`` and ``last`` the windows' first words, all counted through the chunk."""
+
+    def __init__(self, names: np.ndarray, texts: np.ndarray, window: int, rounds: int) -> None:
+        """``names`` of all words, and where each text begins, with one entry more than texts."""
+        counts = np.diff(texts)
+        stops = np.repeat(texts[1:], counts)
+        starts = np.flatnonzero(np.arange(len(names)) + window <= stops)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        begin, end, kind = (np.zeros(len(starts), np.int64) for _ in range(3))
+        self.prints = Sequences(names)
+        self.covers = Sequences(names, 1)
+        todo = np.arange(len(starts))
+        levels = [words_level(names, doc)]
+        for turn in range(rounds if len(starts) else 0):
+            levels.append(next_level(levels[-1], self.prints, turn))
+        for number, level in reversed(list(enumerate(levels))):
+            # a window is certain of a symbol if it starts at ``low`` to ``high``
+            usable = np.flatnonzero(level.right - level.left <= window)
+            if not len(usable) or not len(todo):
+                continue
+            low, high = level.right[usable] - window, level.left[usable]
+            rank = mix(level.name[usable] ^ U(number))
+            from_, to = np.searchsorted(high, starts[todo]), np.searchsorted(low, starts[todo], "right")
+            some = to > from_
+            hit = todo[some]
+            best = usable[leftmost_least(rank, from_[some], to[some])]
+            begin[hit], end[hit], kind[hit] = level.start[best], level.end[best], number
+            todo = todo[~some]
+        own = doc[starts] if len(starts) else starts
+        new = np.ones(len(starts), bool)
+        new[1:] = (begin[1:] != begin[:-1]) | (kind[1:] != kind[:-1]) | (own[1:] != own[:-1])
+        head = np.flatnonzero(new)
+        tail = np.concatenate([head[1:] - 1, [len(starts) - 1]]).astype(np.int64)[: len(head)]
+        self.window, self.doc = window, own[head]
+        self.first, self.last, self.begin, self.end = starts[head], starts[tail], begin[head], end[head]
+        self.text, self.stop = texts[self.doc], texts[self.doc + 1]
+
+    def cover(self) -> tuple[np.ndarray, np.ndarray]:
+        """The key of all words of a record's windows. Its second part is odd, that of a half is 0."""
+        to = self.last + self.window
+        return self.prints.of(self.first, to), self.covers.of(self.first, to) | U(1)
+
+    def halves(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        """(records, key) of the anchors with the words before them, and with those after them: any window that holds
+        the anchor holds one of the two whole."""
+        reach = (self.window - (self.end - self.begin) + 1) // 2
+        before = np.flatnonzero(self.begin - reach >= self.text)
+        after = np.flatnonzero(self.end + reach <= self.stop)
+        return (
+            (before, self.prints.of(self.begin[before] - reach[before], self.end[before])),
+            (after, self.prints.of(self.begin[after], self.end[after] + reach[after])),
+        )
 
 
 def leftmost_least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -133,71 +160,87 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("thash"), text.alias("text"))
 
 
-def anchors(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """A record for each stretch of windows with one anchor; ``first`` and ``last`` count words from the text's start."""
+def keys(docs: DataFrame, window: int, rounds: int) -> DataFrame:
+    """The keys of all records: covers with their doc_id, halves with their cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column(0), batch.column(1)
+            ids = batch.column(0).to_numpy()
             for at, texts in chunks(batch.column(2)):
-                names, first = hashed_words(texts)
-                begins, anchor, symbol = anchored(names, first, window, rounds)
-                if not len(begins):
-                    continue
-                doc = np.searchsorted(first, begins, "right") - 1
-                new = np.ones(len(begins), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                head = np.flatnonzero(new)
-                tail = np.concatenate([head[1:] - 1, [len(begins) - 1]])
-                cover = Sequences(names, 1).of(begins[head], begins[tail] + window)
-                own, base = pa.array(doc[head] + at), first[doc[head]]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(own), hashes.take(own), pa.array((begins[head] - base).astype(np.int32)), pa.array((begins[tail] - base).astype(np.int32)), pa.array(symbol[head].view(np.int64)), pa.array(cover.view(np.int64))],
-                    names=["doc_id", "thash", "first", "last", "symbol", "cover"],
-                )
+                r = Records(*hashed_words(texts), window, rounds)
+                c1, c2 = r.cover()
+                (before, b1), (after, a1) = r.halves()
+                none = np.zeros(len(before) + len(after), U)
+                columns = [np.concatenate([c1, b1, a1]), np.concatenate([c2, none]), np.concatenate([ids[r.doc + at].view(U), c1[before], c1[after]])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["k1", "k2", "value"])
+
+    return keyed(docs).where("doc_id is not null and text is not null").mapInArrow(run, KEYS)
+
+
+def spots(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of a key in the filter."""
+    return [((key >> U(s)) % U(bits)).astype(np.int64) for s in (0, 17, 34)]
 
-    return keyed(docs).where("doc_id is not null and text is not null").mapInArrow(run, ANCHORS)
 
+def bit_filter(ties: DataFrame, bits: int) -> np.ndarray:
+    """The filter of all keys ``k1``: its 64-bit words are made by the executors; the driver gets ``bits`` bits at most."""
+    places = [F.pmod(F.shiftrightunsigned("k1", s), F.lit(bits)) for s in (17, 34)]
+    # the unsigned remainder, for keys that are negative as signed numbers
+    places.append(F.pmod(F.pmod("k1", F.lit(bits)) + F.when(F.col("k1") < 0, F.lit((1 << 64) % bits)).otherwise(F.lit(0)), F.lit(bits)))
+    set_ = ties.select(F.explode(F.array(*places)).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+    words = set_.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(U)
 
-def windows(texts: DataFrame, window: int) -> DataFrame:
-    """The fingerprints of chosen windows of texts: rows (doc_id, thash, text, spans), spans being [(first, last)]."""
+
+def places(docs: DataFrame, window: int, rounds: int, bits: int, filter_: Broadcast, singles: bool) -> DataFrame:
+    """(k1, k2, doc_id, thash, first, last): of windows whose record has a tied half (``singles``), or of these and all
+    records with a tied cover. ``first`` and ``last`` count words from the text's start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = filter_.value
+
+        def tied(key: np.ndarray) -> np.ndarray:
+            out = np.ones(len(key), bool)
+            for spot in spots(key, bits):
+                out &= (table[spot >> 6] >> (spot & 63).astype(U)) & U(1) == U(1)
+            return out
+
         for batch in batches:
-            for at, texts_ in chunks(batch.column(2)):
-                names, first = hashed_words(texts_)
-                spans = batch.column(3).slice(at, len(texts_))
-                doc = np.repeat(np.arange(len(texts_)), spans.value_lengths().to_numpy(zero_copy_only=False))
-                flat = spans.flatten()
-                lo, hi = (np.asarray(flat.field(c)) for c in (0, 1))
-                n = hi - lo + 1
-                begin = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)
-                doc = np.repeat(doc, n)
-                start = begin + first[doc]
-                w1, w2 = (Sequences(names, lane).of(start, start + window) for lane in (0, 1))
-                own = pa.array(doc + at)
+            for at, texts in chunks(batch.column(2)):
+                r = Records(*hashed_words(texts), window, rounds)
+                wanted = np.zeros(len(r.first), bool)
+                for some, key in r.halves():
+                    wanted[some[tied(key)]] = True
+                wanted = np.flatnonzero(wanted)
+                n = r.last[wanted] - r.first[wanted] + 1
+                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - r.first[wanted], n)
+                found = [(r.prints.of(start, start + window), r.covers.of(start, start + window) | U(1), np.repeat(wanted, n), start, start)]
+                if not singles:
+                    c1, c2 = r.cover()
+                    own = np.flatnonzero(tied(c1))
+                    found.append((c1[own], c2[own], own, r.first[own], r.last[own]))
+                k1, k2, own, first, last = map(np.concatenate, zip(*found))
+                doc = pa.array(r.doc[own] + at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(begin.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))],
-                    names=["doc_id", "thash", "at", "w1", "w2"],
+                    [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array((first - r.text[own]).astype(np.int32)), pa.array((last - r.text[own]).astype(np.int32))],
+                    names=["k1", "k2", "doc_id", "thash", "first", "last"],
                 )
 
-    return texts.select("doc_id", "thash", "text", "spans").mapInArrow(run, WINDOWS)
+    return keyed(docs).where("doc_id is not null and text is not null").mapInArrow(run, PLACES)
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, thash, first, last): stretches of windows that also start in a document with a smaller doc_id."""
-    records = materialise(anchors(docs, window, rounds), "anchors")
-    symbols = records.groupBy("symbol").agg(F.count("*").alias("n"), F.min("cover").alias("c1"), F.max("cover").alias("c2")).where("n > 1")
-    shared = materialise(records.join(symbols.select("symbol", (F.col("c1") != F.col("c2")).alias("varied")), "symbol"), "shared")
-    sources = shared.groupBy("symbol", "cover").agg(F.min("doc_id").alias("source"))
-    judged = materialise(shared.join(sources, ["symbol", "cover"]).where("varied or doc_id > source"), "judged")
-    whole = judged.where("doc_id > source").select("doc_id", "thash", "first", "last")
-    # what is left are the first documents of each stretch; their windows are compared one by one
-    varied = judged.where("varied and doc_id = source").groupBy("doc_id", "thash").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    single = materialise(windows(keyed(docs).join(varied, ["doc_id", "thash"]), window), "windows")
-    least = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("latest")).where("source < latest")
-    found = single.join(least.select("w1", "w2", "source"), ["w1", "w2"]).where("doc_id > source")
-    return whole.union(found.select("doc_id", "thash", F.col("at").alias("first"), F.col("at").alias("last")))
+    ties = keys(docs, window, rounds).groupBy("k1", "k2").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
+    ties = materialise(ties.select("k1", "k2", F.col("low").alias("source")), "ties")
+    filter_ = docs.sparkSession.sparkContext.broadcast(bit_filter(ties, bits))
+    # texts are parsed again rather than kept: a scan costs less than shuffling what it makes
+    windows = places(docs, window, rounds, bits, filter_, singles=True).groupBy("k1", "k2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last_doc"))
+    sources = ties.where("k2 != 0").union(windows.where("source < last_doc").select("k1", "k2", "source"))
+    found = places(docs, window, rounds, bits, filter_, singles=False).join(sources, ["k1", "k2"])
+    return found.where("doc_id > source").select("doc_id", "thash", "first", "last")
 
 
 def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
