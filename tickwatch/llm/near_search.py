@@ -148,6 +148,8 @@ def fitted(index: DataFrame, queries: DataFrame, k: int, hashes: Hashes, largest
     """The number of probes: the sample's exact neighbours, and how many probes would have found each."""
     spark = index.sparkSession
     sample = queries.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()
+    if sample.empty:
+        return 1
     q, own = stacked(sample["v"]), sample["vec_id"].to_numpy()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
