@@ -10,12 +10,13 @@ Steps: (1) sets that are equal are one class, named by its smallest doc_id, so t
 that agree, win and lose give the likelihood of each similarity: pairs whose estimate lies ``SLACK`` standard
 errors under the threshold are dropped; (4) the rest is confirmed on the full sets.
 
-Buckets never emit all their pairs. First every class meets the smallest class of the bucket it shares most often.
-Linked classes form components, and from then on only buckets that hold several components matter: their
-members outside the bucket's largest component ("pivots"), at most ``8 ** round`` of a bucket at a time, meet the
-members of other components, until no bucket has an unmet pair across components. So no link that a band has
-revealed is lost, and a bucket of n alike documents costs n pairs. With the parameters here a pair at the threshold
-shares no band with a probability below 1e-7.
+Buckets never emit all their pairs. A class that meets many others over all its buckets is likely their origin: the one that
+meets most is the bucket's head. First every class meets the head of the bucket it shares most often. Linked classes
+form components, and from then on only buckets that hold several components matter: there, the head of the
+bucket's largest component meets all outside it; then members outside it ("pivots"), at most ``8 ** round`` of a bucket
+at a time, meet the members of other components, until no bucket has an unmet pair across components. So no link that a
+band has revealed is lost, and a bucket of n alike documents costs n pairs. With the parameters here a pair at
+the threshold shares no band, or is dropped by its estimate, with a probability below 1e-6.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; a row without doc_id counts its
 shingles and has no component, and is kept; rows with equal doc_id count as one document each by its own text; repeated rows
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,9 @@ BANDS, ROWS = 45, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 TOP = (1 << 16) - 1
-SLACK = 6.0
+SLACK = 5.0
+#: Bytes of text that are compared at once.
+COMPARED = 1 << 21
 SKETCH = "doc_id long, thash long, n_shingles long, f1 long, f2 long, registers binary"
 
 
@@ -160,8 +164,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                p = batch.slice(at, 256)
+            ends = np.cumsum(sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3)))
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED, "right"))
+                p = batch.slice(at, max(1, to - at))
+                at += p.num_rows
                 (x, fx), (y, fy) = shingles(p.column(2).cast(pa.large_string())), shingles(p.column(3).cast(pa.large_string()))
                 # equal (pair, shingle) of both sides, by one sort
                 px, py = np.repeat(np.arange(p.num_rows), np.diff(fx)), np.repeat(np.arange(p.num_rows), np.diff(fy))
@@ -213,42 +221,54 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
     spark = docs.sparkSession
     nodes = classes.select("id", "n", "registers")
     rows = banded(nodes)
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).where(F.col("head") < F.col("last"))
-    rows = materialise(rows.join(shared.select("bucket", "head"), "bucket"), "buckets")
-    members = rows.select("id").distinct()
-    wanted = materialise(classes.select("id", "thash").join(members, "id"), "contenders")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    rows = materialise(rows.join(shared, "bucket"), "buckets")
+    degrees = rows.groupBy("id").agg(F.sum("size").alias("degree"))
+    rows = materialise(rows.select("bucket", "id").join(degrees, "id"), "members")
+    wanted = materialise(classes.select("id", "thash").join(degrees.select("id"), "id"), "contenders")
     texts = keyed(docs).join(wanted.withColumnRenamed("id", "doc_id"), ["doc_id", "thash"], "left_semi").dropDuplicates(["doc_id", "thash"])
     texts = materialise(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
 
-    meets = rows.where("id > head").groupBy("id", "head").count().groupBy("id").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("head"))
-    pairs = meets.select(F.col("head").alias("a"), F.col("id").alias("b"))
+    best = F.max(F.struct("degree", (-F.col("id")).alias("first"))).alias("best")
+    heads = rows.groupBy("bucket").agg(best).select("bucket", (-F.col("best.first")).alias("head"), F.col("best.degree").alias("head_degree"))
+    meets = rows.join(heads, "bucket").where("id != head").groupBy("id", "head").agg(F.count("*").alias("often"), F.max("head_degree").alias("head_degree"))
+    meets = meets.groupBy("id").agg(F.max_by("head", F.struct("often", "head_degree", "head")).alias("head"))
+    pairs = ordered(meets, "id", "head")
+
     links = spark.createDataFrame([], "a long, b long")
-    tried = met = pivots = links
-    state, most = rows.select("bucket", "id"), 1
-    pairs = materialise(pairs, "pairs")
+    tried = met = links
+    state, most = rows, 0
     while not state.isEmpty():
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            links = links.union(materialise(confirmed(likely(pairs, nodes, threshold), texts, threshold), "links"))
+            near = materialise(likely(pairs, nodes, threshold), "likely")
+            links = links.union(materialise(confirmed(near, texts, threshold), "links"))
             tried = tried.union(pairs)
             # only buckets with several components are still open
-            labels = components(links)
-            state = state.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-            main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("kinds"))
-            state = materialise(state.join(main.where("kinds > 1").select("bucket", "main"), "bucket"), "open")
-        pivots = state.where("component != main").join(met, (state["bucket"] == met["a"]) & (state["id"] == met["b"]), "left_anti")
-        pivots = pivots.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("slot")).agg(F.min(F.struct("id", "component")).alias("p"))
+            state = state.select("bucket", "id", "degree").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), best)
+            main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component", "best")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+            main = main.select("bucket", F.col("main.component").alias("main"), (-F.col("main.best.first")).alias("hub"))
+            state = materialise(state.join(main, "bucket"), "open")
+        outside = state.where("component != main")
+        if most == 0:
+            pairs, most = ordered(outside, "id", "hub"), 1
+            continue
+        pivots = outside.join(met, (outside["bucket"] == met["a"]) & (outside["id"] == met["b"]), "left_anti")
+        pivots = pivots.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("slot")).agg(F.max(F.struct("degree", "id", "component")).alias("p"))
         pivots = materialise(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
         if pivots.isEmpty():
             break
         met = met.union(pivots.select("bucket", "pivot"))
-        across = state.join(pivots, "bucket").where("component != pivot_component")
-        pairs = across.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = ordered(state.join(pivots, "bucket").where("component != pivot_component"), "id", "pivot")
         most *= 8
     return links, components(links)
 
 
+def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def survivors(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one document of each group."""
     found = near_duplicates(docs, threshold)
