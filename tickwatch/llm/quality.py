@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from tickwatch.llm.common import materialise
 
-MAX_LABELLED = 20_000
-VOCABULARY = 50_000
-MIN_DOCS = 5
+MAX_LABELLED = 12_000
+VOCABULARY = 30_000
+MIN_DOCS = 8
 #: Weight of the absolute coefficients against the likelihood of the whole sample.
 PENALTY = 0.5
 STEMS = (6, 4)
@@ -60,8 +60,9 @@ def features(text: str | None) -> set[str]:
     # beginnings of words stand for their inflections and compounds; many different words with one count more
     plain = list(out)
     for size in STEMS:
-        stems = Counter([w[:size] for w in plain if len(w) > size])
-        out |= {f"{s}*" for s in stems} | {f"{s}**" for s, n in stems.items() if n >= 3}
+        stems = Counter([w[:size] + "*" for w in plain if len(w) > size])
+        out.update(stems)
+        out.update([s + "*" for s, n in stems.items() if n >= 3])
     out |= {
         step("symbols", sum(map(text.count, SYMBOLS)) / chars, 40),
         step("digits", sum(map(text.count, "0123456789")) / chars, 20),
@@ -93,16 +94,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
         return {q: {} for q in QUESTIONS}
     words = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=VOCABULARY, minDF=MIN_DOCS, binary=True)
     known = words.fit(sample)
-    ready = known.transform(sample)
     n = sample.count()
+    # a round of the fit is short, so few tasks for the bounded sample
+    ready = known.transform(sample).coalesce(4).cache()
     for question in QUESTIONS:
         train = ready.where(F.col(question).isNotNull()).select(F.col(question).alias("label"), "features")
         if train.select("label").distinct().count() < 2 or not known.vocabulary:
             out[question] = {}
             continue
-        model = LogisticRegression(regParam=PENALTY / n, elasticNetParam=1.0, maxIter=100, standardization=False).fit(train)
+        model = LogisticRegression(regParam=PENALTY / n, elasticNetParam=1.0, maxIter=60, standardization=False).fit(train)
         out[question] = {known.vocabulary[i]: float(model.coefficients[int(i)]) for i in model.coefficients.toArray().nonzero()[0]}
         out[question][BIAS] = float(model.intercept)
+    ready.unpersist()
     return out
 
 
