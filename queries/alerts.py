@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from queries import register
 from queries.common import STATE_SQL, backtest, machine_sql, table
 from queries.metrics import _BUCKETS_SQL, _CUSTOM
-from tickwatch.functions.timegrid import HOUR
 from tickwatch.operators import notify, search, state
 from tickwatch.plans.backtest import Backtest
 
@@ -86,10 +85,10 @@ def raw_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     "alertmanager_payload",
     STATE_SQL + """,
     hours AS (
-      SELECT a.namespace, a.rule, a.value,
-        unnest(generate_series(((epoch_us(opened_at) + 3599999999) // 3600000000) * 3600000000,
-               coalesce(epoch_us(closed_at) - 1, epoch_us(last_active_at)), 3600000000)) AS us, ns AS action_namespace
-      FROM alerts a JOIN rules r USING (namespace, rule) CROSS JOIN (VALUES (''), ('ops')) n(ns)
+      SELECT a.namespace, a.rule, a.value, period,
+        unnest(generate_series(((epoch_us(opened_at) + period - 1) // period) * period,
+               coalesce(epoch_us(closed_at) - 1, epoch_us(last_active_at)), period)) AS us, ns AS action_namespace
+      FROM alerts a JOIN rules r USING (namespace, rule) CROSS JOIN (VALUES ('', 600000000), ('ops', 3600000000)) n(ns, period)
       WHERE r.action = 'pager')
     SELECT namespace, rule, action_namespace, make_timestamp(us) AS sent_at, rule AS alertname, 'high' AS severity, namespace AS team,
       rule || ' is at ' || regexp_replace(value::VARCHAR, '[.]0$', '') AS summary,
@@ -99,7 +98,7 @@ def raw_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM hours""",
 )
 def alertmanager_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = backtest(spark, sf_dir).payloads(period_us=F.lit(HOUR).cast("bigint"))
+    rows = backtest(spark, sf_dir).payloads()
     return rows.select(
         "namespace",
         "rule",

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queries import register
-from queries.common import FIRING_SQL, STATE_SQL, VALUES_SQL, backtest, machine_sql, table
-from tickwatch.model import CUSTOM_METRICS_TYPE, SEARCH_TYPE, resolve_rules
+from queries.common import FIRING_SQL, STATE_SQL, VALUES_SQL, backtest, grid_sql, machine_sql, table
+from tickwatch.model import CUSTOM_METRICS_TYPE, RULE_DDL, SEARCH_TYPE, SOURCE_DDL, Rule, Search, load_rules, local_frame, resolve_rules
 from tickwatch.operators import quality, state
+from tickwatch.plans.catalog import plan_catalog
+from tickwatch.sources.sinks import run_dir
 
 
 @register(
@@ -43,18 +45,71 @@ def source_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rule", F.col("source_path").isNotNull().alias("found"), F.col("source_path").alias("path"))
 
 
+_EVERY_KIND = [
+    Rule("ops", "error-burst", Search(filter="event_type = 'error'", window="60m"), "greaterThan", "3", "60m", "30m", source=("events", ""), index="events"),
+    Rule("shop", "large-orders", Search(filter="o_totalprice > 200000", window="24h"), "greaterThan", "5", "0s", "24h", source=("orders", ""), index="orders"),
+    Rule("bad", "threshold", Search(), threshold="x", source=("events", ""), index="events"),
+    Rule("bad", "for", Search(), for_="abc", source=("events", ""), index="events"),
+    Rule("bad", "interval", Search(), check_interval="0s", source=("events", ""), index="events"),
+    Rule("bad", "operator", Search(), operator="near", source=("events", ""), index="events"),
+    Rule("bad", "source", Search(), source=("nowhere", ""), index="events"),
+    Rule("bad", "secret", Search(), source=("locked", ""), index="events"),
+    Rule("bad", "index", Search(), source=("events", ""), index="no_such_index"),
+    Rule("bad", "window", Search(window="abc"), source=("events", ""), index="events"),
+    Rule("bad", "round", Search(round="w"), source=("events", ""), index="events"),
+    Rule("bad", "metric", Search(metric="median", field="value"), source=("events", ""), index="events"),
+    Rule("bad", "field", Search(metric="avg"), source=("events", ""), index="events"),
+    Rule("bad", "column", Search(filter="no_such_column = 1"), source=("orders", ""), index="orders"),
+    Rule("bad", "filter", Search(filter="value"), source=("events", ""), index="events"),
+]
+
+
+@register(
+    "catalog_outcomes",
+    "WITH" + grid_sql(30) + """,
+    err AS (SELECT g.tick, count(e.event_id) AS n FROM grid g LEFT JOIN events e
+            ON e.ts >= g.tick - INTERVAL 60 MINUTE AND e.ts < g.tick AND e.event_type = 'error' GROUP BY g.tick),
+    days AS (SELECT unnest(generate_series(min(o_orderdate) + INTERVAL 1 DAY, max(o_orderdate) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS tick FROM orders),
+    big AS (SELECT d.tick, count(o.o_orderkey) AS n FROM days d LEFT JOIN orders o
+            ON o.o_orderdate = d.tick - INTERVAL 1 DAY AND o.o_totalprice > 200000 GROUP BY d.tick)
+    SELECT 'ops' AS namespace, 'error-burst' AS rule, 'ok' AS outcome, count(*) AS n_ticks, sum(n)::BIGINT AS hits, count(*) FILTER (WHERE n > 3) AS n_firing FROM err
+    UNION ALL SELECT 'shop', 'large-orders', 'ok', count(*), sum(n)::BIGINT, count(*) FILTER (WHERE n > 5) FROM big
+    UNION ALL SELECT 'bad', rule, outcome, 0, NULL, NULL FROM (VALUES ('threshold', 'bad_condition'), ('for', 'bad_for'),
+      ('interval', 'bad_interval'), ('operator', 'bad_condition'), ('source', 'source_not_found'), ('secret', 'no_credentials'),
+      ('index', 'query_error'), ('window', 'query_error'), ('round', 'query_error'), ('metric', 'query_error'),
+      ('field', 'query_error'), ('column', 'query_error'), ('filter', 'query_error')) b(rule, outcome)""",
+)
+def catalog_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of documents over two logs, with every kind of broken rule."""
+    path = run_dir(spark, "rules")
+    rules = local_frame(spark, [r.row() for r in _EVERY_KIND], RULE_DDL)
+    rules.agg(F.to_json(F.collect_list(F.struct("*"))).alias("documents")).write.text(path)
+    names = [c.split()[0] for c in SOURCE_DDL.split(", ")]
+    known = [("", "events", sf_dir, "parquet", "ts", True), ("", "orders", sf_dir, "parquet", "o_orderdate", True), ("", "locked", sf_dir, "parquet", "ts", False)]
+    plan = plan_catalog(spark, load_rules(spark, path), local_frame(spark, [dict(zip(names, s)) for s in known], SOURCE_DDL))
+    counts = plan.states.groupBy("namespace", "rule").agg(
+        F.count(F.lit(1)).alias("n_ticks"), F.sum("hits").alias("hits"), F.count_if("firing").alias("n_firing")
+    )
+    return plan.outcomes.drop("detail").join(counts, ["namespace", "rule"], "left").withColumn("n_ticks", F.coalesce("n_ticks", F.lit(0).cast("bigint")))
+
+
 @register(
     "unresolved_sources",
     """
-    SELECT c_custkey AS rule FROM customer c
-    WHERE c_custkey % 3 = 2 AND NOT EXISTS (
-      SELECT 1 FROM supplier s WHERE s_suppkey % 2 = 1 AND 'src-' || (s_nationkey % 8) = 'src-' || (c_nationkey % 10)
-        AND 'region-' || (s_nationkey % 5) = 'region-' || (c_custkey % 7))""",
+    WITH r AS (
+      SELECT c_custkey AS rule, 'src-' || (c_nationkey % 10) AS name,
+             CASE WHEN c_custkey % 3 = 2 THEN 'region-' || (c_custkey % 7) ELSE '' END AS namespace
+      FROM customer),
+    s AS (SELECT 'src-' || (s_nationkey % 8) AS name,
+                 CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'region-' || (s_nationkey % 5) END AS namespace FROM supplier)
+    SELECT rule FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.name = r.name AND s.namespace = r.namespace)""",
 )
 def unresolved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = table(spark, sf_dir, "customer").where("c_custkey % 3 = 2").selectExpr(
+    # cluster scope is written as NULL or as an empty namespace
+    rules = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey as rule",
-        "named_struct('name', 'src-' || cast(c_nationkey % 10 as string), 'namespace', 'region-' || cast(c_custkey % 7 as string)) as source",
+        """named_struct('name', 'src-' || cast(c_nationkey % 10 as string), 'namespace',
+           case c_custkey % 3 when 0 then null when 1 then '' else 'region-' || cast(c_custkey % 7 as string) end) as source""",
     )
     sources = table(spark, sf_dir, "supplier").selectExpr(
         "if(s_suppkey % 2 = 0, '', 'region-' || cast(s_nationkey % 5 as string)) as namespace",

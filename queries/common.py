@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tickwatch.model import ACTION_DDL, Rule, Search, local_frame, rules_frame
@@ -75,6 +77,13 @@ def backtest(spark: SparkSession, sf_dir: str) -> Backtest:
     return Backtest(table(spark, sf_dir, "events"), RULES, actions(spark))
 
 
+def incremental(spark: SparkSession, sf_dir: str) -> list[Backtest]:
+    """The same history in three runs, each continuing the one before."""
+    first = replace(backtest(spark, sf_dir), end="2024-01-11 00:10:00")
+    second = first.after("2024-01-20 12:00:00")
+    return [first, second, second.after()]
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest(spark, sf_dir).evaluated
 

@@ -136,6 +136,54 @@ def truncation_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.truncation_counter(flags, ["l_returnflag"], "l_shipdate")
 
 
+_BY_USER = Rule(
+    "shop", "user-watch", Search(window="360h", metric="count", group_by="user_id"), operator="greaterThan", threshold="0",
+    for_="0s", check_interval="12h",
+    custom_metrics=[{"name": "per_user", "aggregation_map": "by_key.buckets", "labels": [{"name": "user", "value": "key"}]}],
+)
+# event numbers make more buckets than a metric may list
+_BY_EVENT = Rule(
+    "shop", "event-watch", Search(window="360h", metric="count", group_by="event_id % 1300"), operator="greaterThan", threshold="0",
+    for_="0s", check_interval="12h",
+    custom_metrics=[{"name": "per_slot", "aggregation_map": "by_key.buckets", "labels": [{"name": "slot", "value": "key"}]}],
+)
+
+
+def _wide_sql(key: str) -> str:
+    return "WITH" + grid_sql(720) + f""",
+    b AS (
+      SELECT g.tick, CAST({key} AS VARCHAR) AS key, count(*) AS n
+      FROM grid g JOIN events e ON e.ts >= g.tick - INTERVAL 15 DAY AND e.ts < g.tick GROUP BY g.tick, {key}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY n DESC, key) AS rn FROM b)"""
+
+
+@register(
+    "wide_metric_samples",
+    _wide_sql("user_id") + """
+    SELECT tick, 'searchrule_per_user' AS metric, key AS "user", n::DOUBLE AS value FROM r WHERE rn <= 1000
+    UNION ALL SELECT tick, 'searchrule_state', s.state, CASE s.state WHEN 'Firing' THEN 1 ELSE 0 END FROM grid
+    CROSS JOIN (VALUES ('Normal'), ('Firing'), ('PendingFiring'), ('PendingResolving')) s(state)
+    UNION ALL SELECT tick, 'searchrule_value', NULL, count(e.event_id) FROM grid
+    LEFT JOIN events e ON e.ts >= tick - INTERVAL 15 DAY AND e.ts < tick GROUP BY tick""",
+)
+def wide_metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic and custom samples in one table, with far more buckets than a search lists."""
+    rows = Backtest(table(spark, sf_dir, "events"), [_BY_USER]).samples()
+    label = F.coalesce(F.col("labels")["user"], F.col("labels")["state"])
+    return rows.select("tick", "metric", label.alias("user"), "value")
+
+
+@register(
+    "capped_metric_totals",
+    _wide_sql("event_id % 1300") + """,
+    t AS (SELECT tick, max(rn) > 1000 AS truncated FROM r GROUP BY tick)
+    SELECT tick, truncated, sum(truncated::INT) OVER (ORDER BY tick)::BIGINT AS total FROM t""",
+)
+def capped_metric_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Backtest(table(spark, sf_dir, "events"), [_BY_EVENT]).truncations()
+    return rows.select("tick", "truncated", "total")
+
+
 def _user_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One gauge per (user, kind) and hour in which it has events."""
     hour = F.window("ts", "1 hour").end.alias("tick")
@@ -175,9 +223,9 @@ def stale_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT d.metric, t.tick, t.i, t.nxt,
                  t.i - row_number() OVER (PARTITION BY d.metric ORDER BY t.tick) AS island
           FROM d JOIN t USING (tick))
-    SELECT metric, min(tick) AS registered_at, arg_max(nxt, i) AS dropped_at0,
+    SELECT metric, min(tick) AS registered_at,
            CASE WHEN max(i) = (SELECT max(i) FROM t) THEN NULL ELSE (SELECT tick FROM t WHERE t.i = max(g.i) + 1) END AS dropped_at
-    FROM g GROUP BY metric, island""".replace("arg_max(nxt, i) AS dropped_at0,\n           ", ""),
+    FROM g GROUP BY metric, island""",
 )
 def metric_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.window("ts", "1 day").start.alias("tick")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queries import register
-from queries.common import FIRING_SQL, STATE_SQL, VALUES_SQL, evaluated, machine_sql, rules, state_rows, table
+from queries.common import FIRING_SQL, STATE_SQL, VALUES_SQL, evaluated, incremental, machine_sql, rules, state_rows, table
 from tickwatch.model import Rule, Search, rules_frame
 from tickwatch.operators import state
 from tickwatch.operators.responses import response_ticks
@@ -69,6 +71,44 @@ def alert_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("payload", "action_namespace").withColumn("value", F.round("value", 9))
 
 
+@register(
+    "incremental_states",
+    STATE_SQL + """ SELECT namespace, rule, tick, hits, state, firing_time, resolving_time, alert_tick,
+      round(alert_value, 9) AS alert_value FROM times""",
+)
+def incremental_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = incremental(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [r.states for r in runs]).select(
+        "namespace", "rule", "tick", "hits", "state", "firing_time", "resolving_time", "alert_tick",
+        F.round("alert_value", 9).alias("alert_value"),
+    )
+
+
+@register(
+    "incremental_transitions",
+    STATE_SQL + """,
+    p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY namespace, rule ORDER BY tick), 'Normal') AS from_state FROM st)
+    SELECT namespace, rule, tick, from_state, state AS to_state, round(value, 9) AS value
+    FROM p WHERE from_state <> state""",
+)
+def incremental_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reduce(DataFrame.unionByName, [r.transitions for r in incremental(spark, sf_dir)])
+    return out.withColumn("value", F.round("value", 9))
+
+
+@register(
+    "incremental_alerts",
+    STATE_SQL + """ SELECT a.namespace, a.rule, r.action AS action_name, opened_at, closed_at, last_active_at,
+      last_firing_at, round(value, 9) AS value
+    FROM alerts a JOIN rules r USING (namespace, rule) WHERE r.action IS NOT NULL""",
+)
+def incremental_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    *earlier, last = [r.alerts for r in incremental(spark, sf_dir)]
+    # an alert that is open at the end of a run is listed by the next
+    rows = reduce(DataFrame.unionByName, [a.where("closed_at is not null") for a in earlier] + [last])
+    return rows.drop("payload", "action_namespace").withColumn("value", F.round("value", 9))
+
+
 @register(
     "firing_event_log",
     STATE_SQL + """ SELECT namespace, rule, tick, 'AlertFiring' AS reason,

@@ -96,8 +96,10 @@ def test_rolling_values(spark):
 def test_literal_bounds_prune_and_agree(spark):
     rows, df = log(spark, seed=2)
     start, end = T0 + timedelta(minutes=100), T0 + timedelta(minutes=400)
-    inside = [r for r in rows if start <= r[0] < end]
-    expect = brute(RULES[:4], inside, TESTS, us(start), us(end) - 1)
+    # ticks after the start up to the end, each with its whole window
+    lo, hi = min(us(r[0]) for r in rows), max(us(r[0]) for r in rows)
+    whole = brute(RULES[:4], [r for r in rows if r[0] < end], TESTS, min(lo, us(start)), max(hi, us(end)))
+    expect = {k: v for k, v in whole.items() if us(start) < k[1] <= us(end)}
     got = search.tick_values(df, RULES[:4], start=str(start), end=str(end))
     seen = collect(got)
     same(seen, expect)

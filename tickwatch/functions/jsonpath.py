@@ -41,9 +41,31 @@ def path_text(path: str) -> str:
     return "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in steps)
 
 
+def key_path(path: Column) -> Column:
+    """:func:`variant_path` with numbers as object keys; NULL when the path has none."""
+    quoted = F.transform(F.split(path, r"\."), lambda s: F.concat(F.lit("['"), s, F.lit("']")))
+    return F.when(path_is_plain(path) & path.rlike(r"(^|\.)\d+(\.|$)"), F.concat(F.lit("$"), F.array_join(quoted, "")))
+
+
+def lookup(v: Column, path: Column, keys: Column) -> Column:
+    """The value at a translated path: numbers are positions, or else keys."""
+    return F.coalesce(F.try_variant_get(v, path, "variant"), F.try_variant_get(v, keys, "variant"))
+
+
 def extract(doc: Column, path: str) -> Column:
-    """The value at a dotted path, as VARIANT; SQL NULL when there is nothing at the path."""
-    return F.try_variant_get(doc, path_text(path), "variant")
+    """The value at a dotted path, as VARIANT; SQL NULL when there is nothing at the path.
+
+    A number is a position in an array, or else a key of an object.
+    """
+    path_text(path)
+    out, plain = doc, "$"
+    for step in path.split("."):
+        if step.isdigit():
+            at = out if plain == "$" else F.try_variant_get(out, plain, "variant")
+            out, plain = F.coalesce(F.try_variant_get(at, f"$[{step}]", "variant"), F.try_variant_get(at, f"$['{step}']", "variant")), "$"
+        else:
+            plain += f"['{step}']"
+    return out if plain == "$" else F.try_variant_get(out, plain, "variant")
 
 
 def variant_kind(v: Column) -> Column:

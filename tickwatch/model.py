@@ -246,8 +246,8 @@ def rules_from_frame(rules: DataFrame) -> list[Rule]:
     """Catalog rows that can be evaluated, as Python values for planning searches.
 
     A catalog is configuration written by people; only the fields that shape a search come
-    to the driver.  Rows with an interval, ``for`` or threshold that does not parse are left
-    out: the lint report names them.
+    to the driver.  Rows that cannot be planned are left out: the lint report and
+    :func:`tickwatch.plans.catalog.plan_catalog` name them.
     """
     usable = rules.where(
         "search is not null and check_us > 0 and for_us is not null and threshold_value is not null"

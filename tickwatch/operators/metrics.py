@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwatch import model
-from tickwatch.functions.jsonpath import as_double, as_label, variant_kind, variant_path
+from tickwatch.functions.jsonpath import as_double, as_label, key_path, lookup, variant_kind, variant_path
 from tickwatch.functions.maps import labels_key
 from tickwatch.functions.timegrid import floor_div
 from tickwatch.operators.state import unbroken
@@ -105,13 +105,16 @@ def extraction_plan(metrics: DataFrame) -> DataFrame:
         "metric_pos",
         F.col("cm.aggregation_map").alias("map_text"),
         variant_path(F.col("cm.aggregation_map")).alias("map_path"),
+        key_path(F.col("cm.aggregation_map")).alias("map_keys"),
         variant_path(value_path).alias("value_path"),
+        key_path(value_path).alias("value_keys"),
         F.transform(labels, lambda x: x["name"]).alias("label_names"),
         F.transform(
             labels,
             lambda x: F.struct(
                 F.when(F.coalesce(x["static"], F.lit(False)), x["value"]).alias("text"),
                 variant_path(x["value"]).alias("path"),
+                key_path(x["value"]).alias("keys"),
             ),
         ).alias("label_sources"),
     )
@@ -125,7 +128,7 @@ def bucket_samples(trees: DataFrame, metrics: DataFrame, cap: int = model.BUCKET
     ``cap`` buckets of a list are listed, and ``truncated`` tells that there were more; the
     skip rules come after that: a missing label, then a missing or non-number value.
     """
-    root = F.try_variant_get(F.col("aggregations"), F.col("map_path"), "variant")
+    root = lookup(F.col("aggregations"), F.col("map_path"), F.col("map_keys"))
     as_list = F.try_variant_get(F.col("root"), F.lit("$"), "array<variant>")
     buckets = F.when(F.col("root").isNotNull(), F.coalesce(as_list, F.array("root")))
     found = (
@@ -142,6 +145,7 @@ def bucket_samples(trees: DataFrame, metrics: DataFrame, cap: int = model.BUCKET
             "label_names",
             "label_sources",
             "value_path",
+            "value_keys",
             (F.size("all_buckets") > cap).alias("truncated"),
             F.posexplode(F.slice("all_buckets", 1, cap)).alias("pos", "bucket"),
         )
@@ -149,9 +153,9 @@ def bucket_samples(trees: DataFrame, metrics: DataFrame, cap: int = model.BUCKET
     # find every label and value first, then give them their text and number forms
     label_found = F.transform(
         "label_sources",
-        lambda x: F.struct(x["text"].alias("text"), F.try_variant_get(F.col("bucket"), x["path"], "variant").alias("v")),
+        lambda x: F.struct(x["text"].alias("text"), lookup(F.col("bucket"), x["path"], x["keys"]).alias("v")),
     )
-    value = F.try_variant_get(F.col("bucket"), F.col("value_path"), "variant")
+    value = lookup(F.col("bucket"), F.col("value_path"), F.col("value_keys"))
     return found.select(
         *KEYS, "tick", "metric", "metric_pos", "pos", "truncated", "label_names",
         label_found.alias("label_found"), value.alias("found"),
@@ -187,13 +191,13 @@ def missing_maps(trees: DataFrame, metrics: DataFrame) -> DataFrame:
     """Why a metric has no samples at a tick: ``NoAggregations`` or ``PathNotFound``, with a hint."""
     absent = F.col("aggregations").isNull() | F.coalesce(F.is_variant_null("aggregations"), F.lit(False))
     path = F.col("map_text")
-    at_path = F.try_variant_get(F.col("aggregations"), F.col("map_path"), "variant")
+    at_path = lookup(F.col("aggregations"), F.col("map_path"), F.col("map_keys"))
     reason = F.when(absent, model.NO_TREE).when(at_path.isNull(), model.NO_PATH)
     hint = F.when(
         (F.col("reason") == model.NO_PATH) & path.startswith("aggregations."), "drop the aggregations. prefix"
     )
     return (
-        trees.join(extraction_plan(metrics).select(*KEYS, "metric", "map_text", "map_path"), KEYS)
+        trees.join(extraction_plan(metrics).select(*KEYS, "metric", "map_text", "map_path", "map_keys"), KEYS)
         .withColumn("reason", reason)
         .where(F.col("reason").isNotNull())
         .select(*KEYS, "tick", "metric", "reason", hint.alias("hint"))

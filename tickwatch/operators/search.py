@@ -181,7 +181,7 @@ def plan_frame(spark: SparkSession, rules: list[Rule], first_us: Column, last_us
         "*",
         "(first_tick - pmod(first_tick, round_us) - pmod(first_tick - pmod(first_tick, round_us), g)) div g - k as first_p",
         "(last_tick - pmod(last_tick, g)) div g - 1 as last_p",
-    )
+    ).where("first_tick <= last_tick")
 
 
 def measures_of(rules: list[Rule]) -> list[str]:
@@ -197,14 +197,14 @@ def _per_rule(values: list[int]) -> Column:
 
 
 def _matches(rows: DataFrame, rules: list[Rule], ts_col: str, keyed: bool) -> DataFrame:
-    """``pane, rid, [bucket], x, part`` for every (row, rule) whose filter holds."""
-    pane = gcd(*[pane_micros(r) for r in rules])
+    """``rid, p, [bucket], x, part`` for every (row, rule) whose filter holds; ``p`` counts the rule's own panes."""
     filters = [F.expr(r.search.filter) for r in rules]
     hits = []
     for i, r in enumerate(rules):
         s = r.search
         fields = [
             F.lit(i).alias("rid"),
+            floor_div(F.col("__us"), F.lit(pane_micros(r)).cast("bigint")).alias("p"),
             F.expr(s.field if s.field else "null").cast("double").alias("x"),
             F.expr(s.part if s.part else "false").alias("part"),
         ]
@@ -214,8 +214,7 @@ def _matches(rows: DataFrame, rules: list[Rule], ts_col: str, keyed: bool) -> Da
     if all(r.search.filter != "true" for r in rules):
         # reaches the parquet reader
         rows = rows.where(reduce(lambda a, b: a | b, filters))
-    slot = F.window(F.col(ts_col), f"{pane} microseconds").start
-    out = rows.select(slot.alias("pane"), F.inline(F.array_compact(F.array(*hits))))
+    out = rows.withColumn("__us", micros(F.col(ts_col))).select(F.inline(F.array_compact(F.array(*hits))))
     return out.where(F.col("bucket").isNotNull()) if keyed else out
 
 
@@ -231,13 +230,8 @@ def pane_counts(events: DataFrame, rules: list[Rule], ts_col: str, keyed: bool =
         "high": F.max("x"),
     }
     measures = measures_of(rules)
-    counted = (
-        _matches(events, rules, ts_col, keyed)
-        .groupBy(*keys, "pane")
-        .agg(*[first[m].alias(m) for m in measures])
-    )
-    g = _per_rule([pane_micros(r) for r in rules])
-    return counted.select(*keys, floor_div(micros(F.col("pane")), g).alias("p"), *measures)
+    matched = _matches(events, rules, ts_col, keyed)
+    return matched.groupBy(*keys, "p").agg(*[first[m].alias(m) for m in measures])
 
 
 def _zero_measures(measures: list[str]) -> list[Column]:
@@ -328,14 +322,25 @@ def _value(rules: list[Rule]) -> Column:
     return out
 
 
-def _bounds(events: DataFrame, ts_col: str, start, end) -> tuple[DataFrame, Column, Column]:
-    """Rows to evaluate and the evaluated time; literal bounds prune the scan."""
-    if start is None and end is None:
-        first, last = time_bounds(events, ts_col)
-        return events, first, last
+def _bounds(events: DataFrame, rules: list[Rule], ts_col: str, start, end) -> tuple[DataFrame, Column, Column]:
+    """Rows to evaluate and the evaluated time.
+
+    Without bounds that is the log's whole time.  With bounds the ticks are those in ``(start, end]``, so
+    that adjacent runs share none, and rows are read from the first window's start on, so that no window is
+    cut.  Literal bounds prune the scan.
+    """
+    first, last = time_bounds(events, ts_col) if start is None or end is None else (None, None)
     ts = F.col(ts_col)
-    start, end = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    return events.where((ts >= start) & (ts < end)), micros(start), micros(end) - 1
+    if start is not None:
+        reach = max((parse_micros(r.search.window) + ROUND_MICROS.get(r.search.round, 0) for r in rules), default=0)
+        first = micros(F.lit(start).cast("timestamp_ntz"))
+        events = events.where(ts >= F.lit(start).cast("timestamp_ntz") - F.expr(f"make_dt_interval(0, 0, 0, {reach} / 1000000.0bd)"))
+    if end is not None:
+        end = F.lit(end).cast("timestamp_ntz")
+        events = events.where(ts < end)
+        # the plan takes the tick after its last instant; the last tick here is at the end or before it
+        last = micros(end) - F.col("step")
+    return events, first, last
 
 
 def bucket_values(
@@ -347,7 +352,7 @@ def bucket_values(
     """
     rules = [r for r in rules if r.search.group_by]
     measures = measures_of(rules)
-    events, first_us, last_us = _bounds(events, ts_col, start, end)
+    events, first_us, last_us = _bounds(events, rules, ts_col, start, end)
     plan = plan_frame(events.sparkSession, rules, first_us, last_us)
     widths = [parse_micros(r.search.window) // pane_micros(r) for r in rules]
     panes = pane_counts(events, rules, ts_col, keyed=True)
@@ -391,7 +396,7 @@ def tick_values(
     :func:`bucket_values` where they are already at hand.
     """
     measures = measures_of(rules)
-    rows, first_us, last_us = _bounds(events, ts_col, start, end)
+    rows, first_us, last_us = _bounds(events, rules, ts_col, start, end)
     plan = plan_frame(events.sparkSession, rules, first_us, last_us)
     widths = [parse_micros(r.search.window) // pane_micros(r) for r in rules]
     panes = pane_counts(rows, rules, ts_col).unionByName(

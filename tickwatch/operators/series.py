@@ -66,6 +66,7 @@ def series_rules(rules: DataFrame) -> DataFrame:
             F.col("condition.operator").alias("operator"),
             "threshold_value",
             "for_us",
+            "check_us",
             selector.alias("expr"),
             merge_maps(labels, F.col("series_alert.labels")).alias("alert_labels"),
             merge_maps(described, F.col("series_alert.annotations")).alias("alert_annotations"),
@@ -73,14 +74,16 @@ def series_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def series_states(samples: DataFrame, definitions: DataFrame, refresh_us: int) -> DataFrame:
+def series_states(samples: DataFrame, definitions: DataFrame, refresh_us: int | None = None) -> DataFrame:
     """``pending`` / ``firing`` per series and tick, only while the condition holds.
 
     A tick where the condition is false or the sample is missing ends the run at once; a
     series fires when its run has lasted ``for``.  ``refresh_us`` is the period of the
-    sample grid: two samples further apart than that have a gap between them.
+    sample grid, by default each rule's interval: two samples further apart than that have a gap
+    between them.
     """
-    d = definitions.select("namespace", "rule", "metric", "operator", "threshold_value", "for_us")
+    period = F.col("check_us") if refresh_us is None else F.lit(refresh_us).cast("bigint")
+    d = definitions.withColumn("period", period).select("namespace", "rule", "metric", "operator", "threshold_value", "for_us", "period")
     labelled = samples.select(
         F.col("labels")[model.NAMESPACE_LABEL].alias("namespace"),
         F.col("labels")[model.RULE_LABEL].alias("rule"),
@@ -95,13 +98,13 @@ def series_states(samples: DataFrame, definitions: DataFrame, refresh_us: int) -
         .where(compare(F.col("value"), F.col("operator"), F.col("threshold_value")))
         .withColumns({"chunk": chunk_of(), "tick_us": micros(F.col("tick"))})
     )
-    runs = unbroken(held, keys, "tick_us", refresh_us)
+    runs = unbroken(held, keys, "tick_us", F.col("period"))
     lasted = F.col("tick_us") - F.col("run_from")
     state = F.when(lasted >= F.col("for_us"), "firing").otherwise("pending")
     return runs.select(*keys, "tick", "value", from_micros(F.col("run_from")).alias("active_at"), state.alias("state"))
 
 
-def series_alerts(samples: DataFrame, definitions: DataFrame, refresh_us: int) -> DataFrame:
+def series_alerts(samples: DataFrame, definitions: DataFrame, refresh_us: int | None = None) -> DataFrame:
     """Alert rows per series and tick with merged labels (the sample's labels under the
     alert's own) and annotations."""
     rows = series_states(samples, definitions, refresh_us)

@@ -43,7 +43,8 @@ SEED_COLUMNS = [
 
 
 def evaluate_conditions(ticks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add ``for_us`` and ``firing`` from the rule catalog; ``firing`` is NULL on a bad condition."""
+    """Add ``for_us`` and ``firing`` from the rule catalog; ``firing`` is NULL on a bad condition,
+    and a duration that cannot be read is one."""
     r = rules.select(
         "namespace",
         F.col("name").alias("rule"),
@@ -53,7 +54,10 @@ def evaluate_conditions(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     )
     return (
         ticks.join(r, KEYS)
-        .withColumn("firing", compare(F.col("value"), F.col("operator"), F.col("threshold_value")))
+        .withColumn(
+            "firing",
+            F.when(F.col("for_us").isNotNull(), compare(F.col("value"), F.col("operator"), F.col("threshold_value"))),
+        )
         .drop("operator", "threshold_value")
     )
 
@@ -241,25 +245,26 @@ def state_times(
     )
 
 
-def unbroken(rows: DataFrame, keys: list[str], position: str, gap: int) -> DataFrame:
+def unbroken(rows: DataFrame, keys: list[str], position: str, gap: int | Column) -> DataFrame:
     """Add ``run_from``: the first ``position`` of the gapless run a row lies in.
 
-    Two rows further apart than ``gap`` are in different runs.  ``rows`` is cut into chunks
+    Two rows further apart than ``gap``, the same for all rows of a key, are in different runs.  ``rows`` is cut into chunks
     by its ``chunk`` column; a one-row summary per chunk tells whether its first run
     continues the last run of the chunk before.
     """
+    rows = rows.withColumn("_gap", F.lit(gap).cast("bigint") if isinstance(gap, int) else gap)
     inside = Window.partitionBy(*keys, "chunk").orderBy(position)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev = F.lag(position).over(inside)
     here = F.col(position)
-    local = rows.select("*", F.when(prev.isNull() | (here - prev > gap), here).alias("_break")).select(
+    local = rows.select("*", F.when(prev.isNull() | (here - prev > F.col("_gap")), here).alias("_break")).select(
         "*", F.last("_break", ignorenulls=True).over(so_far).alias("_start"), F.first(position).over(so_far).alias("_head")
     )
     ends = local.groupBy(*keys, "chunk").agg(
-        F.min(position).alias("head"), F.max(position).alias("tail"), F.max("_start").alias("last_start")
+        F.min(position).alias("head"), F.max(position).alias("tail"), F.max("_start").alias("last_start"), F.max("_gap").alias("_gap")
     )
     across = Window.partitionBy(*keys).orderBy("chunk")
-    joined = F.coalesce(F.col("head") - F.lag("tail").over(across) <= gap, F.lit(False))
+    joined = F.coalesce(F.col("head") - F.lag("tail").over(across) <= F.col("_gap"), F.lit(False))
     linked = ends.select(
         *keys,
         "chunk",
@@ -272,7 +277,7 @@ def unbroken(rows: DataFrame, keys: list[str], position: str, gap: int) -> DataF
     return (
         local.join(carry, [*keys, "chunk"])
         .withColumn("run_from", F.when(continues, F.col("_carried")).otherwise(F.col("_start")))
-        .drop("_break", "_start", "_head", "_joined", "_carried")
+        .drop("_break", "_start", "_head", "_joined", "_carried", "_gap")
     )
 
 
@@ -291,13 +296,16 @@ def latest(state_rows: DataFrame, keys: list[str] | None = None, order: str = "t
     return state_rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("s")).select(*keys, "s.*")
 
 
-def transitions(state_rows: DataFrame, keys: list[str] | None = None, chunk: str = DEFAULT_CHUNK) -> DataFrame:
+def transitions(
+    state_rows: DataFrame, keys: list[str] | None = None, chunk: str = DEFAULT_CHUNK, seed: DataFrame | None = None
+) -> DataFrame:
     """Rows at which the state differs from the rule's row before; the first row counts
-    when it is not ``Normal``.  Columns ``keys, tick, from_state, to_state, value``."""
+    when it differs from the state in ``seed``, the last rows of an earlier run, or else from
+    ``Normal``.  Columns ``keys, tick, from_state, to_state, value``."""
     keys = keys or KEYS
     rows = state_rows.select(*keys, "tick", "state", "value").withColumn("chunk", chunk_of(chunk))
     # the state before a row: inside the chunk by lag, at its head from the chunk before
-    prev = carry_last(rows, keys, {"from_state": F.col("state")}, {"from_state": False}, None)
+    prev = carry_last(rows, keys, {"from_state": F.col("state")}, {"from_state": False}, None if seed is None else seed.select(*keys, F.col("state").alias("_e_from_state")))
     before = F.coalesce("from_state", F.lit(model.NORMAL))
     return prev.where(before != F.col("state")).select(
         *keys, "tick", before.alias("from_state"), F.col("state").alias("to_state"), "value"

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch.functions.text import number_text
-from tickwatch.model import Rule, rules_frame
+from tickwatch.model import BUCKET_CAP, Rule, rules_frame
 from tickwatch.operators import metrics, notify, quality, search, series, state
 from tickwatch.sources.sinks import materialize
 
@@ -20,8 +20,11 @@ class Backtest:
 
     Give ``start`` and ``end`` when the log is large: they prune the scan, and the log is
     then read exactly once.  ``ticks`` is written to the shared folder the first time it
-    is needed, because every other table starts from it.  ``seed`` continues an earlier
-    run (:func:`tickwatch.operators.state.seed_of`).
+    is needed, because every other table starts from it.
+
+    A run covers the ticks in ``(start, end]``.  :meth:`after` continues it: states, transitions and
+    alerts go on from its last rows (``seed``) and its open alerts, so that any split of a history gives the
+    rows of one long run.
     """
 
     events: DataFrame
@@ -31,10 +34,12 @@ class Backtest:
     start: object = None
     end: object = None
     seed: DataFrame | None = None
+    open_alerts: DataFrame | None = None
+    rule_rows: DataFrame | None = None
 
     @cached_property
     def catalog(self) -> DataFrame:
-        return rules_frame(self.events.sparkSession, self.rules)
+        return rules_frame(self.events.sparkSession, self.rules) if self.rule_rows is None else self.rule_rows
 
     @cached_property
     def ticks(self) -> DataFrame:
@@ -58,29 +63,53 @@ class Backtest:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        return state.alert_intervals(self.states, self.catalog)
+        return state.alert_intervals(self.states, self.catalog, still_open=self.open_alerts)
+
+    @property
+    def transitions(self) -> DataFrame:
+        return state.transitions(self.states, seed=self.seed)
+
+    def after(self, end=None) -> Backtest:
+        """The run that follows this one, up to ``end``.  What it continues is written, so that runs do not
+        pile up plans."""
+        seed = state.seed_of(self.states)
+        if self.seed is not None:
+            # rules without a tick in this run keep the row they had
+            seed = seed.unionByName(self.seed.join(seed.select("namespace", "rule"), ["namespace", "rule"], "left_anti"))
+        alerts = state.alert_intervals(self.states, still_open=self.open_alerts).where("closed_at is null")
+        if self.open_alerts is not None:
+            seen = self.states.select("namespace", "rule").distinct()
+            alerts = alerts.unionByName(self.open_alerts.select(alerts.columns).join(seen, ["namespace", "rule"], "left_anti"))
+        return replace(self, start=self.end, end=end, seed=materialize(seed, "seed"), open_alerts=materialize(alerts, "open-alerts"))
 
     @cached_property
     def buckets(self) -> DataFrame:
         rows = search.bucket_values(self.events, self.rules, self.ts_col, self.start, self.end)
         return materialize(rows, "buckets")
 
-    def trees(self, size: int = 10, agg: str = "by_key") -> DataFrame:
-        """Aggregation trees of the grouped rules, one per (rule, tick)."""
+    def trees(self, size: int = BUCKET_CAP + 1, agg: str = "by_key") -> DataFrame:
+        """Aggregation trees of the grouped rules, one per (rule, tick): every bucket up to the cap of
+        custom metrics, and one more that tells that there were more."""
         bodies = search.responses(self.buckets, self.ticks, size, agg)
         doc = F.try_parse_json("body")
         tree = F.try_variant_get(doc, F.lit("$.aggregations"), "variant")
         return bodies.select("namespace", "rule", "tick", tree.alias("aggregations"))
 
-    def samples(self, size: int = 10, agg: str = "by_key") -> DataFrame:
+    def samples(self, size: int = BUCKET_CAP + 1, agg: str = "by_key") -> DataFrame:
         basic = metrics.basic_samples(self.rule_states)
         if not any(r.custom_metrics for r in self.rules):
             return basic
         custom = metrics.custom_samples(self.trees(size, agg), metrics.accepted_metrics(self.catalog))
         return basic.unionByName(custom)
 
-    def series_alerts(self, refresh_us: int, size: int = 10, agg: str = "by_key") -> DataFrame:
-        """Per-series alerts, from the samples of the rules that ask for them."""
+    def truncations(self, agg: str = "by_key") -> DataFrame:
+        """Running number of ticks at which a custom metric went over the bucket cap."""
+        found = metrics.bucket_samples(self.trees(agg=agg), metrics.accepted_metrics(self.catalog))
+        return metrics.truncation_counter(found, ["namespace", "rule", "metric"])
+
+    def series_alerts(self, refresh_us: int | None = None, size: int = BUCKET_CAP + 1, agg: str = "by_key") -> DataFrame:
+        """Per-series alerts, from the samples of the rules that ask for them.  A gap is a missing
+        refresh, by default of the rule's own interval."""
         asked = [r for r in self.rules if r.series_alert and r.series_alert.get("enabled")]
         parts = []
         if any(not r.custom_metrics for r in asked):

@@ -1,14 +1,24 @@
-"""Evaluate a whole catalog: rules grouped by the log they read."""
+"""Evaluate a whole catalog: rules grouped by the log they read, with an outcome for every rule."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickwatch.model import Rule, rules_from_frame
-from tickwatch.operators import search
-from tickwatch.sources.logs import open_source
+from tickwatch.functions.durations import parse_micros
+from tickwatch.functions.timegrid import ROUND_MICROS
+from tickwatch.model import OK, OPERATORS, Rule, Search, local_frame, resolve_rules, rules_frame, rules_from_frame
+from tickwatch.operators import quality, search
+from tickwatch.plans.backtest import Backtest
+from tickwatch.sources.logs import open_row, registry
+
+OUTCOME_DDL = "namespace string, rule string, outcome string, detail string"
+METRICS = ("count", "avg", "sum", "min", "max", "pct")
+PICKS = ("top", "max_bucket", "min_bucket")
 
 
 def by_log(rules: list[Rule]) -> dict[tuple[str, str, str], list[Rule]]:
@@ -19,15 +29,137 @@ def by_log(rules: list[Rule]) -> dict[tuple[str, str, str], list[Rule]]:
     return groups
 
 
+def search_problem(s: Search, events: DataFrame) -> str | None:
+    """Why a search cannot be planned over its log, or None."""
+    try:
+        if parse_micros(s.window) <= 0:
+            return f"window {s.window!r} is not positive"
+    except ValueError as e:
+        return str(e)
+    if s.round is not None and s.round not in ROUND_MICROS:
+        return f"unknown rounding {s.round!r}"
+    if s.metric not in METRICS:
+        return f"unknown metric {s.metric!r}"
+    if s.metric in ("avg", "sum", "min", "max") and not s.field:
+        return f"metric {s.metric!r} without a field"
+    if s.metric == "pct" and not s.part:
+        return "metric 'pct' without a part"
+    if s.pick is not None and (s.pick not in PICKS or not s.group_by):
+        return f"cannot pick a bucket by {s.pick!r}"
+    asked = {"filter": s.filter, "part": s.part, "field": s.field, "group_by": s.group_by}
+    for name, text in asked.items():
+        if text is None:
+            continue
+        try:
+            kind = events.select(F.expr(text).alias("x")).schema[0].dataType.simpleString()
+        except (AnalysisException, ParseException) as e:
+            return f"{name}: {e.getCondition() or 'not a valid expression'}"
+        if name in ("filter", "part") and kind != "boolean":
+            return f"{name} is {kind}, not boolean"
+    return None
+
+
+@dataclass
+class Catalog:
+    """A planned catalog: a run per log for the rules that can be evaluated, and an outcome for every rule."""
+
+    runs: list[Backtest] = field(default_factory=list)
+    outcomes: DataFrame | None = None
+
+    def _all(self, name: str) -> DataFrame | None:
+        parts = [getattr(r, name) for r in self.runs]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    @property
+    def ticks(self) -> DataFrame | None:
+        return self._all("ticks")
+
+    @property
+    def states(self) -> DataFrame | None:
+        return self._all("states")
+
+    @property
+    def alerts(self) -> DataFrame | None:
+        return self._all("alerts")
+
+    def deliveries(self) -> DataFrame | None:
+        parts = [r.deliveries() for r in self.runs if r.actions is not None]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def status(self) -> DataFrame:
+        """Latest conditions of all rules; a rule that cannot be evaluated has those of its failure, without a time."""
+        failed = self.outcomes.where(F.col("outcome") != OK).withColumn("tick", F.lit(None).cast("timestamp_ntz"))
+        rows = quality.outcome_rows(failed)
+        for run in self.runs:
+            rows = rows.unionByName(quality.latest_status(quality.condition_rows(run.rule_states)))
+        return rows
+
+
+def plan_catalog(spark: SparkSession, rules: DataFrame, sources: DataFrame, actions: DataFrame | None = None, start=None, end=None) -> Catalog:
+    """Plan every rule of a catalog.  A rule that cannot be evaluated is an outcome row with the reason; it
+    neither stops the others nor disappears.  Both tables are configuration and are read once."""
+    rules = resolve_rules(rules.drop("check_us", "for_us", "threshold_value"))
+    known = registry(sources)
+    outcomes: list[tuple[str, str, str, str | None]] = []
+    good: dict[tuple[str, str], Rule] = {}
+    able = {(r.namespace, r.name): r for r in rules_from_frame(rules)}
+    listed = rules.select(
+        "namespace", "name", "source", "index", "condition", "check_interval", "query_json", F.col("search").isNotNull().alias("searches"), "check_us", "for_us", "threshold_value"
+    )
+    logs: dict[tuple[str, str, str], DataFrame | str] = {}
+    for r in listed.toLocalIterator():
+        where = ((r["source"]["namespace"] or "") if r["source"] else "", r["source"]["name"] if r["source"] else None)
+        row, rule = known.get(where), able.get((r["namespace"], r["name"]))
+        log = (*where, r["index"])
+        if row is not None and log not in logs:
+            try:
+                logs[log] = open_row(spark, row, r["index"])
+            except AnalysisException as e:
+                logs[log] = e.getCondition() or "cannot be read"
+        if row is None:
+            found = ("source_not_found", where[1])
+        elif not row["has_credentials"]:
+            found = ("no_credentials", where[1])
+        elif r["for_us"] is None:
+            found = ("bad_for", r["condition"]["for"] if r["condition"] else None)
+        elif r["searches"] == bool(r["query_json"]):
+            found = ("no_query", None)
+        elif not (r["check_us"] or 0) > 0:
+            found = ("bad_interval", r["check_interval"])
+        elif isinstance(logs[log], str):
+            found = ("query_error", logs[log])
+        elif r["threshold_value"] is None or r["condition"]["operator"] not in OPERATORS:
+            found = ("bad_condition", f"{r['condition']['operator']} {r['condition']['threshold']}")
+        elif rule is None:
+            found = ("no_query", "query text is not evaluated here")
+        elif problem := search_problem(rule.search, logs[log]):
+            found = ("query_error", problem)
+        else:
+            found = (OK, None)
+            good[r["namespace"], r["name"]] = rule
+        outcomes.append((r["namespace"], r["name"], *found))
+    runs = []
+    for key, group in by_log(list(good.values())).items():
+        names = rules_frame(spark, group).select("namespace", "name")
+        # the whole catalog rows, with their actions and metrics
+        runs.append(Backtest(logs[key], group, actions, "ts", start, end, rule_rows=rules.join(names, ["namespace", "name"])))
+    table = local_frame(spark, [dict(zip(("namespace", "rule", "outcome", "detail"), o)) for o in outcomes], OUTCOME_DDL)
+    return Catalog(runs, table)
+
+
 def catalog_ticks(spark: SparkSession, rules: DataFrame, sources: DataFrame, start=None, end=None) -> DataFrame | None:
     """Tick values of every rule whose source exists, one scan per log.
 
     Rules without a source are in :func:`tickwatch.operators.quality.unresolved`, rules that
-    cannot be planned in the lint report.  None when no rule is left.
+    cannot be planned in the outcomes of :func:`plan_catalog`.  None when no rule is left.
     """
     parts = []
+    known = registry(sources)
     for (namespace, name, index), group in by_log(rules_from_frame(rules)).items():
-        events = open_source(spark, sources, namespace, name, index)
-        if events is not None:
+        if (namespace, name) not in known:
+            continue
+        events = open_row(spark, known[namespace, name], index)
+        group = [r for r in group if search_problem(r.search, events) is None]
+        if group:
             parts.append(search.tick_values(events, group, "ts", start, end))
     return reduce(DataFrame.unionByName, parts) if parts else None

@@ -5,8 +5,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
 
@@ -42,10 +41,17 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "par
 def open_source(spark: SparkSession, sources: DataFrame, namespace: str | None, name: str, index: str) -> DataFrame | None:
     """The log index of a registered source, its time column named ``ts``; NULL namespace or
     "" means cluster scope.  None when there is no such source."""
-    row = sources.where(
-        (F.coalesce("namespace", F.lit("")) == (namespace or "")) & (F.col("name") == name)
-    ).first()
-    if row is None:
-        return None
+    row = registry(sources).get((namespace or "", name))
+    return None if row is None else open_row(spark, row, index)
+
+
+def registry(sources: DataFrame) -> dict[tuple[str, str], Row]:
+    """The registered sources by (namespace, name), read once; of equal keys the first by path."""
+    rows = sorted(sources.collect(), key=lambda r: str(r["path"]), reverse=True)
+    return {(r["namespace"] or "", r["name"]): r for r in rows}
+
+
+def open_row(spark: SparkSession, row: Row, index: str) -> DataFrame:
+    """A log index of one registered source, its time column named ``ts``."""
     rows = scan_index(spark, row["path"], index, row["format"] or "parquet")
     return rows.withColumnRenamed(row["ts_col"], "ts") if row["ts_col"] else rows

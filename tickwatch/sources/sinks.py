@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str | None:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    A local session that names none (tests) gets a temporary folder; a cluster that names
-    none has no shared folder.
+    A local session that names none (tests) gets one temporary folder, set as its checkpoint folder;
+    a cluster that names none has no shared folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    return tempfile.mkdtemp(prefix="tickwatch-")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tickwatch-"))
+        named = context.getCheckpointDir()
+    return named
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
