@@ -13,8 +13,8 @@ errors under the threshold are dropped; (4) the rest is confirmed on the full se
 Buckets never emit all their pairs. A class that meets many others over all its buckets is likely their origin: the one that
 meets most is the bucket's head. First every class meets the head of the bucket it shares most often. Linked classes
 form components, and from then on only buckets that hold several components matter: there, the head of the
-bucket's largest component meets all outside it; then members outside it ("pivots"), at most ``8 ** round`` of a bucket
-at a time, meet the members of other components, until no bucket has an unmet pair across components. So no link that a
+bucket's largest component meets all outside it; then members outside it ("pivots"), 4 of a bucket, then 64, then 1024
+and so on, meet the members of other components, until no bucket has an unmet pair across components. So no link that a
 band has revealed is lost, and a bucket of n alike documents costs n pairs. With the parameters here a pair at
 the threshold shares no band, or is dropped by its estimate, with a probability below 1e-6.
 
@@ -237,22 +237,24 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
 
     links = spark.createDataFrame([], "a long, b long")
     tried = met = links
-    state, most = rows, 0
+    state, labels, most = rows, None, 0
     while not state.isEmpty():
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            near = materialise(likely(pairs, nodes, threshold), "likely")
-            links = links.union(materialise(confirmed(near, texts, threshold), "links"))
-            tried = tried.union(pairs)
+        near = materialise(likely(pairs, nodes, threshold), "likely")
+        fresh = materialise(confirmed(near, texts, threshold), "links")
+        tried = tried.union(pairs)
+        if labels is None or not fresh.isEmpty():
+            links = links.union(fresh)
+            labels = components(links)
             # only buckets with several components are still open
-            state = state.select("bucket", "id", "degree").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            state = state.select("bucket", "id", "degree").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), best)
             main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component", "best")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
             main = main.select("bucket", F.col("main.component").alias("main"), (-F.col("main.best.first")).alias("hub"))
             state = materialise(state.join(main, "bucket"), "open")
         outside = state.where("component != main")
         if most == 0:
-            pairs, most = ordered(outside, "id", "hub"), 1
+            pairs, most = ordered(outside, "id", "hub"), 4
             continue
         pivots = outside.join(met, (outside["bucket"] == met["a"]) & (outside["id"] == met["b"]), "left_anti")
         pivots = pivots.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("slot")).agg(F.max(F.struct("degree", "id", "component")).alias("p"))
@@ -261,8 +263,8 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
             break
         met = met.union(pivots.select("bucket", "pivot"))
         pairs = ordered(state.join(pivots, "bucket").where("component != pivot_component"), "id", "pivot")
-        most *= 8
-    return links, components(links)
+        most *= 16
+    return links, components(links) if labels is None else labels
 
 
 def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
