@@ -43,6 +43,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, name: str, rows_per_task: int = 200_000) -> DataFrame:
+    """``df`` written and read back in as many tasks as its rows ask for.  What fits one task is then grouped and joined
+    there, without a shuffle; iterations over a shrinking table need this, for their rounds cost little else."""
+    out = materialise(df, name)
+    return out.coalesce(max(1, -(-out.count() // rows_per_task)))
+
+
 def chunks(texts: pa.Array, max_bytes: int = 2 << 20, max_docs: int = 4096) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) pieces of a string column, each of bounded size; a longer text is its own piece."""
     texts = texts.cast(pa.large_string())

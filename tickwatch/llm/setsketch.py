@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwatch.llm.common import U, Sequences, chunks, hashed_words, materialise, mix
+from tickwatch.llm.common import U, Sequences, chunks, hashed_words, materialise, mix, sized
 from tickwatch.llm.components import components
 
 WORDS = 5
@@ -222,9 +222,9 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
     nodes = classes.select("id", "n", "registers")
     rows = banded(nodes)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = materialise(rows.join(shared, "bucket"), "buckets")
+    rows = sized(rows.join(shared, "bucket"), "buckets")
     degrees = rows.groupBy("id").agg(F.sum("size").alias("degree"))
-    rows = materialise(rows.select("bucket", "id").join(degrees, "id"), "members")
+    rows = sized(rows.select("bucket", "id").join(degrees, "id"), "members")
     wanted = materialise(classes.select("id", "thash").join(degrees.select("id"), "id"), "contenders")
     texts = keyed(docs).join(wanted.withColumnRenamed("id", "doc_id"), ["doc_id", "thash"], "left_semi").dropDuplicates(["doc_id", "thash"])
     texts = materialise(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
@@ -239,10 +239,10 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
     tried = met = links
     state, labels, most = rows, None, 0
     while not state.isEmpty():
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        near = materialise(likely(pairs, nodes, threshold), "likely")
-        fresh = materialise(confirmed(near, texts, threshold), "links")
-        tried = tried.union(pairs)
+        pairs = sized(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        near = sized(likely(pairs, nodes, threshold), "likely")
+        fresh = sized(confirmed(near, texts, threshold), "links")
+        tried = sized(tried.union(pairs), "tried")
         if labels is None or not fresh.isEmpty():
             links = links.union(fresh)
             labels = components(links)
@@ -251,17 +251,17 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
             sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), best)
             main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component", "best")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
             main = main.select("bucket", F.col("main.component").alias("main"), (-F.col("main.best.first")).alias("hub"))
-            state = materialise(state.join(main, "bucket"), "open")
+            state = sized(state.join(main, "bucket"), "open")
         outside = state.where("component != main")
         if most == 0:
             pairs, most = ordered(outside, "id", "hub"), 4
             continue
         pivots = outside.join(met, (outside["bucket"] == met["a"]) & (outside["id"] == met["b"]), "left_anti")
         pivots = pivots.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("slot")).agg(F.max(F.struct("degree", "id", "component")).alias("p"))
-        pivots = materialise(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
+        pivots = sized(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
         if pivots.isEmpty():
             break
-        met = met.union(pivots.select("bucket", "pivot"))
+        met = sized(met.union(pivots.select("bucket", "pivot")), "met")
         pairs = ordered(state.join(pivots, "bucket").where("component != pivot_component"), "id", "pivot")
         most *= 16
     return links, components(links) if labels is None else labels
