@@ -63,25 +63,9 @@ STATE_REASON = {
     "PendingResolving": ("PendingAlertResolved", "Pending alert resolved"),
 }
 
-# condition reason and message by failed tick outcome
-OUTCOME_REASON = {
-    "source_not_found": ("QueryConnectorNotFound", "Source not found"),
-    "no_credentials": ("NoCredsFound", "No credentials found in secret"),
-    "no_query": ("NoQueryFound", "No query found in the rule"),
-    "connection_error": ("ConnectionError", "Connection error"),
-    "query_error": ("QueryError", "Error executing the query"),
-    "path_missing": ("QueryError", "Error executing the query"),
-    "bad_condition": ("QueryError", "Error executing the query"),
-}
-
 STATE_TYPE = "State"
 SYNCED_TYPE = "ResourceSynced"
 SYNCED = ("TargetSynced", "Target was successfully synced")
-SYNC_FAILED = ("KubernetesApiCallError", "A call failed. More info in logs.")
-MISSING_OUTPUT = (
-    "MissingOutput",
-    "The rule has neither an action nor a series alert; at least one is required",
-)
 
 # reasons of a rule's series alert, worst first
 METRICS_INVALID = "CustomMetricsInvalid"
@@ -103,6 +87,24 @@ HINT_NO_NAME = "label 'alertname' not found"
 HINT_NO_START = "field 'startsAt' not found"
 # --- end of fixed values --------------------------------------------------------
 
+# --- own wording: reasons are fixed, their messages are not -----------------------
+# condition reason and message by failed tick outcome
+OUTCOME_REASON = {
+    "source_not_found": ("QueryConnectorNotFound", "Source not found"),
+    "no_credentials": ("NoCredsFound", "No credentials found in secret"),
+    "no_query": ("NoQueryFound", "No query found in the rule"),
+    "connection_error": ("ConnectionError", "Connection error"),
+    "query_error": ("QueryError", "Error executing the query"),
+    "path_missing": ("QueryError", "Error executing the query"),
+    "bad_condition": ("QueryError", "Error executing the query"),
+}
+
+SYNC_FAILED = ("KubernetesApiCallError", "A call failed. More info in logs.")
+MISSING_OUTPUT = (
+    "MissingOutput",
+    "The rule has neither an action nor a series alert; at least one is required",
+)
+
 OK = "ok"
 
 SEARCH_TYPE = (
