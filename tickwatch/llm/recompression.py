@@ -252,14 +252,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, le
     """The rows of ``docs`` with their other columns; texts without their repeated words. A text that loses none stays
     as it is, and so does a null text. A column named ``length`` follows the text."""
     text, doc = docs["text"].cast("string"), docs["doc_id"].cast("long")
-    packed = docs.select(doc.alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("thash"), text.alias("text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    # the text travels once, and beside it all other columns
+    others = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
+    packed = docs.select(doc.alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("thash"), text.alias("text"), F.struct(*others).alias("row"))
     out = cut(packed, docs, window, rounds)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kinds = dict(docs.dtypes)
     new = {"text": text}
     if length in docs.columns:
         new[length] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kinds[length])).otherwise(F.col(f"row.`{length}`"))
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def cut(rows: DataFrame, docs: DataFrame, window: int, rounds: int) -> DataFrame:
