@@ -23,16 +23,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch.llm.common import materialise
 
 MAX_LABELLED = 12_000
-VOCABULARY = 30_000
+#: Features per question that the model may use.
+SCREENED = 2_000
 MIN_DOCS = 8
 #: Weight of the absolute coefficients against the likelihood of the whole sample.
 PENALTY = 0.5
@@ -77,8 +77,8 @@ def features(text: str | None) -> set[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
-    """Weights of the features for each question; the driver holds the non-zero ones of VOCABULARY at most."""
-    spark = docs.sparkSession
+    """Weights of the features for each question; the driver sees SCREENED features a question and the
+    MAX_LABELLED rows as numbers of these."""
     usable = labels.select(F.col("doc_id").cast("long").alias("l_id"), (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic"))
     chosen = materialise(usable.where("l_id is not null").orderBy(F.xxhash64("l_id"), "low", "toxic").limit(MAX_LABELLED), "labels")
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -89,26 +89,87 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
             yield pd.DataFrame({"tokens": [sorted(features(t)) for t in batch["text"]], "low": batch["low"], "toxic": batch["toxic"]})
 
     sample = materialise(rows.mapInPandas(tokens, "tokens array<string>, low double, toxic double"), "sample")
+    known = {t: i for i, t in enumerate(screened(sample))}
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.array(sorted(known[t] for t in row if t in known), "<i4").tobytes() for row in batch["tokens"]]
+            yield pd.DataFrame({"found": found, "low": batch["low"], "toxic": batch["toxic"]})
+
+    # MAX_LABELLED rows at most, each with the few of the screened features that it has
+    matrix = sample.mapInPandas(numbered, "found binary, low double, toxic double").toPandas()
     out: dict[str, dict[str, float]] = {}
-    if sample.isEmpty():
-        return {q: {} for q in QUESTIONS}
-    words = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=VOCABULARY, minDF=MIN_DOCS, binary=True)
-    known = words.fit(sample)
-    n = sample.count()
-    # a round of the fit is short, so few tasks for the bounded sample
-    ready = known.transform(sample).coalesce(4).cache()
     for question in QUESTIONS:
-        train = ready.where(F.col(question).isNotNull()).select(F.col(question).alias("label"), "features")
-        if train.select("label").distinct().count() < 2 or not known.vocabulary:
+        usable_rows = matrix[matrix[question].notna()]
+        y = usable_rows[question].to_numpy(float)
+        if not known or len(set(y)) < 2:
             out[question] = {}
             continue
-        model = LogisticRegression(regParam=PENALTY / n, elasticNetParam=1.0, maxIter=60, standardization=False).fit(train)
-        out[question] = {known.vocabulary[i]: float(model.coefficients[int(i)]) for i in model.coefficients.toArray().nonzero()[0]}
-        out[question][BIAS] = float(model.intercept)
-    ready.unpersist()
+        bias, weights = lasso([np.frombuffer(f, "<i4") for f in usable_rows["found"]], y, len(known))
+        out[question] = {t: float(weights[i]) for t, i in known.items() if weights[i]} | {BIAS: bias}
     return out
 
 
+def screened(sample: DataFrame) -> list[str]:
+    """The features that say most about one of the questions, by the likelihood ratio of their counts."""
+    sums = [F.sum(q).alias(q) for q in QUESTIONS]
+    counts = sample.select(F.explode("tokens").alias("token"), *QUESTIONS).groupBy("token").agg(F.count("*").alias("n"), *sums)
+    counts = materialise(counts.where(F.col("n") >= MIN_DOCS), "counts")
+    totals = sample.agg(F.count("*").alias("n"), *sums).first()
+    found: set[str] = set()
+    for q in QUESTIONS:
+        share = (totals[q] or 0) / max(1, totals["n"])
+        if not 0 < share < 1:
+            continue
+
+        def part(seen: Column, expected: Column) -> Column:
+            return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+        ratio = part(F.col(q), F.col("n") * share) + part(F.col("n") - F.col(q), F.col("n") * (1 - share))
+        best = counts.where(F.col(q).isNotNull()).orderBy(ratio.desc(), "token").limit(SCREENED)
+        found |= {r["token"] for r in best.select("token").collect()}
+    return sorted(found)
+
+
+def lasso(found: list[np.ndarray], y: np.ndarray, features: int, rounds: int = 40) -> tuple[float, np.ndarray]:
+    """(bias, weights) of a logistic model of rows of features, with PENALTY on absolute weights: one weight after
+    the other takes a Newton step, cut to 1, from where the penalty lets it."""
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    col = np.concatenate(found) if found else np.zeros(0, np.int32)
+    order = np.argsort(col, kind="stable")
+    edges = np.searchsorted(col[order], np.arange(features + 1))
+    rows = [row[order[a:b]] for a, b in zip(edges, edges[1:])]
+    weights, bias = np.zeros(features), 0.0
+    margin = np.zeros(len(y))
+
+    def step(at: np.ndarray | slice) -> tuple[float, float]:
+        p = 1 / (1 + np.exp(-margin[at]))
+        return float((p - y[at]).sum()), float((p * (1 - p)).sum()) + 1e-3
+
+    active = range(features)
+    for turn in range(rounds):
+        g, h = step(slice(None))
+        move = float(np.clip(-g / h, -1, 1))
+        bias += move
+        margin += move
+        most = abs(move)
+        for j in active:
+            g, h = step(rows[j])
+            old = weights[j]
+            aim = old - g / h
+            new = np.sign(aim) * max(abs(aim) - PENALTY / h, 0.0)
+            new = old + float(np.clip(new - old, -1, 1))
+            if new != old:
+                weights[j] = new
+                margin[rows[j]] += new - old
+                most = max(most, abs(new - old))
+        if most < 1e-3:
+            break
+        # between full rounds only weights that are not zero move
+        active = range(features) if turn % 8 == 7 else np.flatnonzero(weights).tolist()
+    return bias, weights
+
+
 def evidence(docs: DataFrame, model: dict[str, dict[str, float]], host: str = "source", path: str = "lang") -> DataFrame:
     """``docs`` as a column ``row``, the host and path of each, and the log odds that its text alone gives."""
     sites = [F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in (host, path)]
