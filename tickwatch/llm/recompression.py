@@ -43,8 +43,9 @@ from tickwatch.llm.common import BASES, U, Sequences, chunks, hashed_words, mate
 WINDOW = 50
 ROUNDS = 4
 FAR = 1 << 40
-#: Size of the filter that is sent to all executors: 16 MB, whatever the input.
-FILTER_BITS = 1 << 27
+#: Size of the filter that is sent to all executors: 4 MB, whatever the input. A larger corpus wants a larger one: it
+#: only decides how many records are looked at in vain, not the result.
+FILTER_BITS = 1 << 25
 KEYS = "k1 long, k2 long, value long"
 PLACES = "k1 long, k2 long, doc_id long, thash long, first int, last int"
 
@@ -188,9 +189,9 @@ def bit_filter(ties: DataFrame, bits: int) -> np.ndarray:
     # the unsigned remainder, for keys that are negative as signed numbers
     places.append(F.pmod(F.pmod("k1", F.lit(bits)) + F.when(F.col("k1") < 0, F.lit((1 << 64) % bits)).otherwise(F.lit(0)), F.lit(bits)))
     set_ = ties.select(F.explode(F.array(*places)).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-    words = set_.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    words = set_.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits >> 6, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(U)
 
 
