@@ -41,7 +41,7 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 ODD = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")} | set("\x1c\x1d\x1e\x1f\x85\u180e")
 ODD_LATIN = re.compile("[" + "".join(c for c in sorted(ODD) if c < "\u0100") + "]")
 #: Words and pairs kept per process. A full table starts anew, which changes no result.
-MAX_WORDS = 500_000
+MAX_WORDS = 800_000
 MAX_PAIRS = 2_000_000
 #: Up to so many symbols a plain search for the next merge beats a heap.
 SHORT = 48
