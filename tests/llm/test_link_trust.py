@@ -104,3 +104,18 @@ def test_links_carry_trust_and_distrust(pages):
         rows.append((i, f"https://{r.choice(hosts)}/{r.choice(['fr', 'de', 'es', 'x'])}/{i}", links + "<a href='/own'>"))
     got = check(pages, rows)
     assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
+
+
+def page(i, host, path, links=()):
+    return i, f"http://{host}/{path}", "".join(f"<a href='//{x}/'>" for x in links)
+
+
+def test_unrelated_blocked_pages_leave_verdicts_unchanged(pages):
+    # c4 -> c3 -> c2 -> c1 -> bad.com, and 40 hosts that link to all of these
+    chain = ["bad.com", "c1.net", "c2.net", "c3.net", "c4.net"]
+    rows = [page(0, "bad.com", "de/")] + [page(i, chain[i], "", [chain[i - 1]]) for i in range(1, 5)] + [page(10 + i, f"o{i}.net", "", chain[:-1]) for i in range(40)]
+    more = [page(100 + i, "other.com", f"de/{i}") for i in range(300)]
+    for given in (rows, rows + more):
+        got = {r["page_id"]: r for r in link_trust.judge(pages(given), RULES).collect()}
+        assert [got[i]["verdict"] for i in (1, 2, 3, 4, 10)] == ["block"] * 5, (len(given), got[4])
+        assert got[4]["trust"] == 0 < got[4]["distrust"]

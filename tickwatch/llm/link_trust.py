@@ -3,7 +3,8 @@
 A rule names a host with its subdomains and the beginning of a path; the longest rule that fits decides. Pages that
 no rule judges get their host's verdict. Trust is personalised PageRank from the hosts of allowed pages, in proportion to
 their number; distrust is the same on reversed links from the hosts of blocked pages, for who links to bad
-hosts is suspect. A host is blocked if its distrust exceeds ``ratio`` times its trust and is not negligible.
+hosts is suspect. A host is blocked if its distrust exceeds ``ratio`` times its trust, however small both are: ranks add up to 1
+over the corpus, so a least distrust would mean something else on every table.
 
 Links are the ``href``s of the pages' html that name a host; there is one edge per pair of hosts, weighted by the pages that
 have it. Links within a host say nothing and are left out. Edges and ranks stay tables; minima of work per round
@@ -82,7 +83,7 @@ def seeds_of(pages: DataFrame, verdict: str) -> DataFrame:
     return found.select("host", (F.col("n") / F.lit(float(total))).alias("seed"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], ratio: float = 1.0, negligible: float = 1e-9) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     host, path = split_url(F.col("url").cast("string"))
     named = pages.select("page_id", F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
@@ -94,5 +95,5 @@ def judge(pages: DataFrame, rules: Sequence[Rule], ratio: float = 1.0, negligibl
     scores = materialise(scores.select(F.col("host").alias("s_host"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "scores")
     out = ruled.drop("html").join(scores, F.col("host") == F.col("s_host"), "left")
     trust_, distrust_ = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    spread_ = F.when((distrust_ > trust_ * ratio) & (distrust_ > negligible), "block").otherwise("allow")
+    spread_ = F.when(distrust_ > trust_ * ratio, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", spread_).alias("verdict"), trust_.alias("trust"), distrust_.alias("distrust"))
