@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -119,3 +120,29 @@ def test_unrelated_blocked_pages_leave_verdicts_unchanged(pages):
         got = {r["page_id"]: r for r in link_trust.judge(pages(given), RULES).collect()}
         assert [got[i]["verdict"] for i in (1, 2, 3, 4, 10)] == ["block"] * 5, (len(given), got[4])
         assert got[4]["trust"] == 0 < got[4]["distrust"]
+
+
+def test_ranks_are_converged(pages):
+    n = 14
+    chain = [page(0, "bad.com", "de/")] + [page(i, f"c{i}.net", "", ["bad.com" if i == 1 else f"c{i - 1}.net"]) for i in range(1, n)]
+    got = link_trust.judge(pages(chain), RULES).collect()
+    assert {r["verdict"] for r in got} == {"block"} and min(r["distrust"] for r in got) > 0
+
+    r = random.Random(6)
+    hosts = [f"h{i}.{t}" for i in range(10) for t in ("org", "net", "com")]
+    rows = [page(i, x, r.choice(["fr/", "de/", "x"]), r.sample([y for y in hosts if y != x], 1 + i % 2)) for i, x in enumerate(hosts)]
+    judged = {i: (*parts(u), *rule_of(*parts(u))) for i, u, _ in rows}
+    links = np.zeros((30, 30))
+    for i, _, html in rows:
+        for x in re.findall("//([^/]+)/", html):
+            links[i, hosts.index(x)] = 1
+    solved = []
+    for verdict, m in (("allow", links), ("block", links.T)):
+        seeds = np.array([judged[i][3] == verdict for i in range(30)], float)
+        shares = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
+        y = np.linalg.solve(np.eye(30) - 0.85 * shares.T, seeds / seeds.sum())
+        solved.append(y / y.sum())
+    for row in link_trust.judge(pages(rows), RULES).collect():
+        t, d = (x[row["page_id"]] for x in solved)
+        assert (row["trust"], row["distrust"]) == pytest.approx((t, d), rel=1e-7)
+        assert row["verdict"] == (judged[row["page_id"]][3] or ("block" if d > t else "allow"))
