@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from tickwatch.llm import exact_search, near_search
+from tickwatch.llm.vectors import finite_vectors
 
 from .conftest import SF
 
@@ -125,3 +126,11 @@ def test_near_awkward_rows(embeddings):
 def test_probes_come_cheapest_first():
     sets = near_search.probe_sets(4, 1000)
     assert sets[0] == () and sets[1] == (0,) and len(sets) == len(set(sets)) == 81
+
+
+def test_near_meets_its_recall_when_probes_run_out(embeddings, monkeypatch):
+    rows = random_vectors(600, 12, 5)
+    monkeypatch.setattr(near_search, "MAX_PROBES", 1)
+    assert recall(near_search.search(embeddings(rows)), rows) >= 0.96
+    v = finite_vectors(embeddings(rows))
+    assert recall(near_search.nearest(v.where("vec_id % 20 = 0"), v, recall=1.0), rows) == 1

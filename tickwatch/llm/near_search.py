@@ -7,8 +7,9 @@ bucket and then perturbed ones (steps up or down by one), in the order of their
 squared distances to the step borders it would have to cross.
 
 The number of probes is fitted, not guessed: ``SAMPLE`` queries are answered exactly, and the smallest number of
-probes is taken with which their neighbours would have been found with ``recall`` (0.96 by default). All rows are
-indexed. Candidates from all tables are ranked by the inner product of the original vectors in double precision,
+probes is taken with which their neighbours would have been found with ``recall`` (0.96 by default). If not even
+MAX_PROBES reach it, K is lowered by one and the probes are fitted anew; K = 0 is one bucket with all rows, an exact
+search, so the target is always met on the sample. All rows are indexed. Candidates from all tables are ranked by the inner product of the original vectors in double precision,
 added from the first component to the last.
 
 Scale: buckets are dealt to cells of about ``CELL`` rows; larger cells are split by row, so a hot bucket is many
@@ -53,7 +54,7 @@ def probe_sets(k: int, most: int) -> list[tuple[int, ...]]:
     near = [j * (j + 1) / (4 * (k + 1) * (k + 2)) for j in range(1, k + 1)]
     cost = near + [1 - 2 * (j / (2 * (k + 1))) + c for j, c in zip(range(k, 0, -1), reversed(near))]
     out: list[tuple[int, ...]] = [()]
-    heap = [(cost[0], (0,))]
+    heap = [(cost[0], (0,))] if k else []
     while heap and len(out) < most:
         _, made = heapq.heappop(heap)
         if len({min(j, 2 * k - 1 - j) for j in made}) == len(made):
@@ -144,12 +145,11 @@ def best_of(q: np.ndarray, ids: np.ndarray, v: np.ndarray, row: np.ndarray, col:
     return row[top], ids[col[top]], score[top]
 
 
-def fitted(index: DataFrame, queries: DataFrame, k: int, hashes: Hashes, largest: float, recall: float) -> int:
-    """The number of probes: the sample's exact neighbours, and how many probes would have found each."""
-    spark = index.sparkSession
+def sampled(index: DataFrame, queries: DataFrame, k: int) -> tuple[np.ndarray, pd.DataFrame]:
+    """The sample's queries, and their exact neighbours (query, vec_id, score, v), the query being its row."""
     sample = queries.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()
     if sample.empty:
-        return 1
+        return np.zeros((0, 1)), pd.DataFrame({"query": [], "v": []})
     q, own = stacked(sample["v"]), sample["vec_id"].to_numpy()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +165,11 @@ def fitted(index: DataFrame, queries: DataFrame, k: int, hashes: Hashes, largest
 
     lists = index.mapInPandas(nearest, f"{FOUND}, v array<double>")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    true = lists.withColumn("r", rank).where(F.col("r") <= k).toPandas()  # SAMPLE * k rows
+    return q, lists.withColumn("r", rank).where(F.col("r") <= k).toPandas()  # SAMPLE * k rows
+
+
+def fitted(q: np.ndarray, true: pd.DataFrame, hashes: Hashes, largest: float, recall: float) -> int | None:
+    """How many probes find the neighbours ``true`` of the sample ``q`` with ``recall``; None if MAX_PROBES are too few."""
     if true.empty:
         return 1
     sets = probe_sets(hashes.k, MAX_PROBES)
@@ -179,7 +183,8 @@ def fitted(index: DataFrame, queries: DataFrame, k: int, hashes: Hashes, largest
                 hit = np.flatnonzero(probes[who[n] - at] == home[n])
                 if len(hit):
                     need[n] = min(need[n], hit[0])
-    return min(len(sets), int(np.sort(need)[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1)
+    last = int(np.sort(need)[min(len(need) - 1, int(np.ceil(recall * len(need))))])
+    return last + 1 if last < len(sets) else None
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = 8, recall: float = 0.96) -> DataFrame:
@@ -196,8 +201,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = 8
     asked = queries.where(usable).groupBy("vec_id").agg(F.min("v").alias("v"))
     alike = materialise(asked.groupBy("v").agg(F.min("vec_id").alias("query")), "queries")
     largest = float(largest or 1.0)
-    hashes = Hashes(dim + 1, tables, max(3, round(np.log2(max(n, 2)) / 2)), 2 * largest)
-    probes = fitted(index, alike.select(F.col("query").alias("vec_id"), "v"), k, hashes, largest, recall)
+    q, true = sampled(index, alike.select(F.col("query").alias("vec_id"), "v"), k)
+    probes, cuts = None, max(3, round(np.log2(max(n, 2)) / 2)) + 1
+    while probes is None:
+        cuts -= 1
+        tables = tables if cuts else 1  # without projections one table holds all
+        hashes = Hashes(dim + 1, tables, cuts, 2 * largest)
+        probes = fitted(q, true, hashes, largest, recall)
     sets = probe_sets(hashes.k, probes)
     cells = max(1, -(-n // CELL))
 
@@ -212,7 +222,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = 8
                     yield pd.DataFrame({"cell": (t * cells + (code % U(cells)).astype(np.int64)), "code": code.view(np.int64), "vec_id": piece["vec_id"].to_numpy(), "v": raw})
 
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = max(1, (1 << 20) // (len(sets) * hashes.k))
+        step = max(1, (1 << 20) // (len(sets) * max(1, hashes.k)))
         for batch in batches:
             for at in range(0, len(batch), step):
                 piece = batch.iloc[at : at + step]
@@ -272,7 +282,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = 8
 
     lists = visits.groupBy("in_cell", "in_split").cogroup(placed.groupBy("cell", "split")).applyInPandas(search_cell, LISTS)
     # as many groups of queries as keep a group at MERGED lists
-    groups = max(1, -(-alike.count() * tables * min(probes, cells) // MERGED))
+    visited = min(probes, cells) if hashes.k else -(-n // (2 * CELL))
+    groups = max(1, -(-alike.count() * tables * visited // MERGED))
     top = lists.groupBy(F.pmod(F.xxhash64("query"), F.lit(groups))).applyInPandas(merge, FOUND)
     named = asked.join(alike, "v").select(F.col("vec_id").alias("query_id"), "query")
     answers = named.join(top, "query").where(F.col("vec_id") != F.col("query_id"))
