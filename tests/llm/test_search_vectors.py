@@ -134,3 +134,8 @@ def test_near_meets_its_recall_when_probes_run_out(embeddings, monkeypatch):
     assert recall(near_search.search(embeddings(rows)), rows) >= 0.96
     v = finite_vectors(embeddings(rows))
     assert recall(near_search.nearest(v.where("vec_id % 20 = 0"), v, recall=1.0), rows) == 1
+
+
+def test_near_repeated_rows_leave_room_for_other_ids(embeddings):
+    rows = [(0, [1, 0.1, 0])] + [(1, [1, 0, 0])] * 25 + [(i, [1, 0, 0]) for i in range(2, 8)] + [(8, [0, 1, 0])]
+    assert recall(near_search.search(embeddings(rows)), rows) == 1

@@ -13,8 +13,8 @@ search, so the target is always met on the sample. All rows are indexed. Candida
 added from the first component to the last.
 
 Scale: buckets are dealt to cells of about ``CELL`` rows; larger cells are split by row, so a hot bucket is many
-cells. Of equal vectors only the k + 1 smallest ids enter the index, as no query can return more, and equal
-queries are answered once. A query goes to a cell once, with all its probes there.
+cells. Of equal vectors only the k + 1 smallest ids enter the index, as no query can return more, repeated rows count
+once, and equal queries are answered once. A query goes to a cell once, with all its probes there.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do
 rows without vec_id or with another length than most. Rows with the query's vec_id are no candidates for it; a
@@ -194,7 +194,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = 8
     usable = (F.size("v") == dim) & F.exists("v", lambda x: x != 0)
     vectors = vectors.where(usable)
     copies = Window.partitionBy("v").orderBy("vec_id")
-    index = vectors.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + 1).drop("r")
+    index = vectors.select("vec_id", "v").distinct().withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + 1).drop("r")
     index = materialise(index, "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, largest = index.agg(F.count("*"), F.max(norm)).first()
