@@ -105,3 +105,13 @@ def test_shingles_of_texts():
     texts = pa.array(["a b c d e f", None, "", "a a a a a a a", "x Y"], pa.large_string())
     _, first = setsketch.shingles(texts)
     assert np.diff(first).tolist() == [2, 0, 0, 1, 1]
+
+
+def test_one_id_with_several_texts(documents):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a + " tail"), (5, a), (5, b), (9, b + " end"), (9, "a third text of its own")]
+    assert got(setsketch.near_duplicates(documents(rows))) == expected(rows)
+    left = sorted((r["doc_id"], r["text"]) for r in setsketch.survivors(documents(rows)).collect())
+    assert left == [(3, a + " tail"), (5, b), (9, "a third text of its own")]
+    rows = [(i % 40, t) for i, t in near_copies(4, 120, 12, 4)]
+    assert got(setsketch.near_duplicates(documents(rows))) == expected(rows)

@@ -5,7 +5,8 @@ of a Poisson process onto ``REGISTERS`` registers; a register keeps its smallest
 ``floor(1 - log_b(x))``, cut to 16 bits. Equal sets give equal registers, the sketch of a union is the maximum, and
 registers of two sets agree with a probability close to their similarity.
 
-Steps: (1) sets that are equal are one class, named by its smallest doc_id, so thousands of copies cost one sketch;
+Steps: (1) sets that are equal are one class, named by its smallest doc_id, so thousands of copies cost one sketch; if
+classes have that doc_id in common, all but one are linked by keys of their own, and components get their names at the end;
 (2) registers are banded, and classes that share a band meet in a bucket; (3) the two cardinalities and the registers
 that agree, win and lose give the likelihood of each similarity: pairs whose estimate lies ``SLACK`` standard
 errors under the threshold are dropped; (4) the rest is confirmed on the full sets.
@@ -204,8 +205,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """doc_id, thash, n_shingles, component_id, kept and n_links (links found with the document's class) per row."""
     sets = materialise(sketches(docs), "sketches")
     own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = materialise(sets.where(own).groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.min_by("thash", "doc_id").alias("thash")), "classes")
+    classes = materialise(sets.where(own).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.min_by("thash", "doc_id").alias("thash")), "classes")
+    classes, shared = numbered(classes)
     links, labels = linked(docs, classes, threshold)
+    if shared:
+        # a component's smallest key may belong to a class of a larger doc_id
+        doc = labels.join(classes.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("doc"))
+        single = classes.where("id != doc").join(labels, "id", "left_anti").select(F.col("id").alias("component"), "doc")
+        other = materialise(doc.where("doc != component").union(single), "names").withColumnRenamed("component", "named")
+        all_ = classes.select("id").join(labels, "id", "left").withColumn("named", F.coalesce("component", "id"))
+        labels = all_.join(other, "named", "left").select("id", F.coalesce("doc", "named").alias("component"))
     named = classes.select("f1", "f2", "id").join(labels, "id", "left")
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     named = named.join(degree, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -216,6 +225,25 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     )
 
 
+def numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """``classes`` with a key ``id`` of their own, and whether any differs from doc, the smallest doc_id.
+
+    Of the classes with the same doc the one with the smallest fingerprint keeps it as its key; the others' keys are hashes,
+    drawn again until no two classes share one.
+    """
+    shared = classes.groupBy("doc").agg(F.count("*").alias("n_sets"), F.min(F.struct("f1", "f2")).alias("least")).where("n_sets > 1")
+    shared = materialise(shared.select("doc", F.col("least.f1").alias("least1"), F.col("least.f2").alias("least2")), "shared-ids")
+    if shared.isEmpty():
+        return classes.withColumn("id", F.col("doc")), False
+    salt, own = 0, F.col("least1").isNull() | ((F.col("f1") == F.col("least1")) & (F.col("f2") == F.col("least2")))
+    while True:
+        key = F.when(own, F.col("doc")).otherwise(F.xxhash64("doc", "f1", "f2", F.lit(salt)))
+        out = materialise(classes.join(shared, "doc", "left").withColumn("id", key).drop("least1", "least2"), "classes")
+        if out.groupBy("id").count().where("count > 1").isEmpty():
+            return out, True
+        salt += 1
+
+
 def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Links between classes that join their components, and (id, component) of all linked classes."""
     spark = docs.sparkSession
@@ -225,9 +253,9 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
     rows = sized(rows.join(shared, "bucket"), "buckets")
     degrees = rows.groupBy("id").agg(F.sum("size").alias("degree"))
     rows = sized(rows.select("bucket", "id").join(degrees, "id"), "members")
-    wanted = materialise(classes.select("id", "thash").join(degrees.select("id"), "id"), "contenders")
-    texts = keyed(docs).join(wanted.withColumnRenamed("id", "doc_id"), ["doc_id", "thash"], "left_semi").dropDuplicates(["doc_id", "thash"])
-    texts = materialise(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
+    wanted = materialise(classes.select("id", F.col("doc").alias("doc_id"), "thash").join(degrees.select("id"), "id"), "contenders")
+    texts = keyed(docs).join(wanted, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"])
+    texts = materialise(texts.select("id", "text"), "texts")
 
     best = F.max(F.struct("degree", (-F.col("id")).alias("first"))).alias("best")
     heads = rows.groupBy("bucket").agg(best).select("bucket", (-F.col("best.first")).alias("head"), F.col("best.degree").alias("head_degree"))
