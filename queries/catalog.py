@@ -93,6 +93,65 @@ def catalog_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.outcomes.drop("detail").join(counts, ["namespace", "rule"], "left").withColumn("n_ticks", F.coalesce("n_ticks", F.lit(0).cast("bigint")))
 
 
+def _runtime(name: str, namespace: str = "bad", **asked) -> Rule:
+    return Rule(namespace, name, Search(window="60m", **asked), threshold="3", for_="60m", check_interval="30m", source=("events", ""), index="events")
+
+
+_FAIL_LATE = [
+    _runtime("error-burst", "ops", filter="event_type = 'error'"),
+    _runtime("error-share", "ops", filter="true", metric="pct", part="event_type = 'error'"),
+    _runtime("cast", filter="cast(if(event_id % 97 = 0, 'x', '7') as int) = 7 and event_type = 'view'"),
+    _runtime("same-cast", filter="cast(if(event_id % 97 = 0, 'x', '7') as int) < 9 and event_type = 'error'"),
+    _runtime("text-average", filter="event_type = 'purchase'", metric="avg", field="event_type"),
+    _runtime("division", filter="event_type = 'view'", metric="sum", field="value / (user_id % 50)"),
+    _runtime("assertion", filter="event_type = 'error'", metric="pct", part="assert_true(user_id % 40 <> 0) is null"),
+    _runtime("bucket", filter="event_type = 'signup'", group_by="element_at(array('a', 'b', 'c'), cast(user_id % 4 as int))", pick="top"),
+]
+
+
+@register(
+    "catalog_runtime_errors",
+    "WITH" + grid_sql(30) + """,
+    e AS (
+      SELECT ts, rule, event_type = 'error' AND rule = 'error-share' AS part,
+        CASE rule WHEN 'cast' THEN event_id % 97 = 0 WHEN 'same-cast' THEN event_id % 97 = 0 WHEN 'text-average' THEN true
+          WHEN 'division' THEN user_id % 50 = 0 WHEN 'assertion' THEN user_id % 40 = 0 WHEN 'bucket' THEN user_id % 4 = 0 ELSE false END AS bad,
+        CASE rule WHEN 'division' THEN value / nullif(user_id % 50, 0) END AS x, user_id % 4 AS bucket
+      FROM events, (VALUES ('error-burst', 'error'), ('error-share', NULL), ('cast', 'view'), ('same-cast', 'error'), ('text-average', 'purchase'),
+        ('division', 'view'), ('assertion', 'error'), ('bucket', 'signup')) r(rule, kind)
+      WHERE kind IS NULL OR event_type = kind OR (rule IN ('cast', 'same-cast') AND event_id % 97 = 0)),
+    rules AS (SELECT DISTINCT rule, CASE WHEN rule LIKE 'error-%' THEN 'ops' ELSE 'bad' END AS namespace,
+      CASE rule WHEN 'cast' THEN 'filter' WHEN 'same-cast' THEN 'filter' WHEN 'text-average' THEN 'field' WHEN 'division' THEN 'field'
+        WHEN 'assertion' THEN 'part' ELSE 'group_by' END AS kind FROM e),
+    v AS (
+      SELECT r.namespace, r.rule, r.kind, g.tick, count(*) FILTER (WHERE bad) AS n_bad, count(*) FILTER (WHERE NOT bad) AS hits,
+        CASE r.rule WHEN 'error-share' THEN coalesce(100.0::DOUBLE * count(*) FILTER (WHERE part) / nullif(count(*) FILTER (WHERE NOT bad), 0), 0)
+          WHEN 'assertion' THEN CASE WHEN count(*) FILTER (WHERE NOT bad) > 0 THEN 100.0 ELSE 0 END
+          WHEN 'text-average' THEN 0 WHEN 'division' THEN coalesce(sum(x), 0)
+          WHEN 'bucket' THEN greatest(count(*) FILTER (WHERE bucket = 1), count(*) FILTER (WHERE bucket = 2), count(*) FILTER (WHERE bucket = 3))
+          ELSE count(*) FILTER (WHERE NOT bad) END AS value
+      FROM rules r CROSS JOIN grid g LEFT JOIN e ON e.rule = r.rule AND e.ts >= g.tick - INTERVAL 60 MINUTE AND e.ts < g.tick
+      GROUP BY r.namespace, r.rule, r.kind, g.tick)
+    SELECT namespace, rule, count(*) AS n_ticks, count(*) FILTER (WHERE n_bad > 0) AS n_failed,
+      CASE WHEN arg_max(n_bad, tick) > 0 THEN 'query_error' ELSE 'ok' END AS outcome,
+      CASE WHEN arg_max(n_bad, tick) > 0 THEN any_value(kind) || ' fails on ' || arg_max(n_bad, tick) || ' rows' END AS detail,
+      arg_max(n_bad, tick) = 0 AS synced, coalesce(sum(hits) FILTER (WHERE n_bad = 0), 0)::BIGINT AS hits,
+      count(*) FILTER (WHERE n_bad = 0 AND value > 3) AS n_firing
+    FROM v GROUP BY namespace, rule""",
+)
+def catalog_runtime_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose expressions fail on some rows, beside good ones: each fails alone, at the ticks that see such rows."""
+    rules = local_frame(spark, [r.row() for r in _FAIL_LATE], RULE_DDL)
+    names = [c.split()[0] for c in SOURCE_DDL.split(", ")]
+    sources = local_frame(spark, [dict(zip(names, ("", "events", sf_dir, "parquet", "ts", True)))], SOURCE_DDL)
+    plan = plan_catalog(spark, rules, sources)
+    keys = ["namespace", "rule"]
+    synced = plan.status().where("type = 'ResourceSynced'").select(*keys, F.col("status").alias("synced"))
+    good = plan.states.groupBy(*keys).agg(F.sum("hits").alias("hits"), F.count_if("firing").alias("n_firing"))
+    out = plan.run_outcomes().join(synced, keys, "left").join(good, keys, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("hits", "n_firing")})
+
+
 @register(
     "unresolved_sources",
     """

@@ -154,3 +154,27 @@ def test_zone_guard(spark):
             require_utc(spark)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_expressions_that_cannot_fail(spark):
+    from tickwatch.functions.attempt import cannot_fail
+
+    log = spark.createDataFrame([], "k string, n int, v double, b boolean, ts timestamp_ntz")
+    safe = ["true", "k = 'a'", "k <> 'a' and v > 50", "n in (1, 2) or not (k = 'x')", "v >= n", "b", "b and k is not null", "K = 'a'", "(k = 'a' or v < 1.5) and n <=> 3"]
+    unsafe = ["k > 5", "n = 'x'", "n / 2 > 1", "cast(k as int) = 1", "upper(k) = 'A'", "n % 2 = 0", "raise_error('x')", "ts > '2024-01-01'", "missing = 1", "k like 'a%'",
+              "n -1 > 0", "date 'x' = ts", "k = 'it\\'s'", "v > -n", "k = 'a' || 'b'", "b = k", ""]
+    assert [t for t in safe if not cannot_fail(t, log)] == []
+    assert [t for t in unsafe if cannot_fail(t, log)] == [""]
+
+
+def test_attempts_share_parts(spark):
+    """Parts that several attempts have in common are not evaluated ahead of them."""
+    from tickwatch.functions.attempt import attempt
+
+    rows = spark.createDataFrame([("1",), ("x",), (None,), ("7",)], "k string")
+    asked = {"a": attempt("cast(k as int) > 4", "boolean"), "b": attempt("cast(k as int) < 4", "boolean"), "c": attempt("10 / (cast(k as int) - 1)", "double"), "d": attempt("concat('v', k)", "string")}
+    got = rows.select("k", *[x for n, a in asked.items() for x in (a.value.alias(n), a.failed.alias(f"{n}_failed"))])
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {
+        "1": (False, False, True, False, None, True, "v1", False), "x": (None, True, None, True, None, True, "vx", False),
+        None: (None, False, None, False, None, False, None, False), "7": (True, False, False, False, 10 / 6, False, "v7", False),
+    }

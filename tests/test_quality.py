@@ -12,7 +12,7 @@ from tickwatch.model import Rule, Search, load_rules, resolve_rules, rules_frame
 from tickwatch.operators import quality, state
 from tickwatch.operators.responses import response_ticks
 from tickwatch.plans.backtest import Backtest
-from tickwatch.plans.catalog import by_log, catalog_ticks
+from tickwatch.plans.catalog import by_log, catalog_ticks, plan_catalog
 from tickwatch.sources import sinks
 from tickwatch.sources.logs import scan_index, union_logs
 
@@ -163,7 +163,7 @@ def test_backtest_tables_hang_together(spark):
     assert [s["sent_at"] for s in sent] == [T0 + timedelta(minutes=m) for m in range(60, 280, 30)]
     assert all(s["valid"] for s in sent) and json.loads(sent[0]["payload"])[0]["labels"] == {"alertname": "r", "v": "3"}
     assert run.listing().first()["state"] == "resolved"
-    assert run.status().first()["reason"] == "Normal"
+    assert {(r["type"], r["reason"]) for r in run.status().collect()} == {("State", "Normal"), ("ResourceSynced", "TargetSynced")}
     # the frozen value is the last firing tick's
     assert alert[0]["value"] == 3.0 or alert[0]["value"] == 4.0
     assert state.firing_events(run.rule_states, run.catalog).count() == run.rule_states.where("state = 'Firing'").count()
@@ -201,3 +201,35 @@ def test_stored_responses(spark):
     assert [(r["outcome"], r["value"], r["firing"], r["coerced"]) for r in got] == [d[2:] for d in docs]
     none = spark.createDataFrame([], model.SOURCE_DDL)
     assert {r["outcome"] for r in response_ticks(rows, rules_frame(spark, [rule]), none).collect()} == {"source_not_found"}
+
+
+def test_catalog_outlives_every_rule(spark, tmp_path):
+    """Rules that cannot be planned, that fail on some rows, and that are listed twice, beside one that is fine."""
+    rows = [(T0 + timedelta(minutes=i), "ab"[i % 2], str(i) if i < 30 else "x") for i in range(60)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, k string, n string").write.parquet(str(tmp_path / "app.parquet"))
+    spark.createDataFrame([("a",)], "k string").write.parquet(str(tmp_path / "timeless.parquet"))
+    sources = spark.createDataFrame([("", "main", str(tmp_path), None, "ts", True)], model.SOURCE_DDL)
+
+    def rule(name, index="app", threshold="2", **asked):
+        return Rule("n", name, Search(window="10m", **asked), threshold=threshold, for_="0s", check_interval="10m", index=index, source=("main", ""))
+
+    asked = [
+        rule("fine", filter="k = 'a'"), rule("fine", filter="k = 'a'"), rule("aggregate", filter="count(*) > 1"), rule("spread", filter="explode(array(true))"),
+        rule("time", filter="true", metric="avg", field="ts"), rule("timeless", "timeless", filter="k = 'a'"),
+        rule("late", filter="cast(n as int) >= 0"), rule("later", filter="cast(n as int) >= 40"), rule("text", filter="true", metric="avg", field="n"),
+        rule("inside", filter="k = 'b'", group_by="element_at(array('p', 'q'), cast(n as int) % 2 + 1)", pick="top"),
+    ]
+    plan = plan_catalog(spark, rules_frame(spark, asked), sources)
+    planned = [(r["rule"], r["outcome"]) for r in plan.outcomes.collect()]
+    bad = {"aggregate", "spread", "time", "timeless"}
+    assert sorted(planned) == sorted(
+        [("fine", "duplicate_rule")] + [(r, "query_error") for r in bad] + [(r, "ok") for r in ("fine", "late", "later", "text", "inside")]
+    )
+    found = {(r["rule"], r["n_ticks"], r["n_failed"], r["outcome"]) for r in plan.run_outcomes().collect()}
+    assert {x for x in found if x[1]} == {("fine", 6, 0, "ok")} | {(r, 6, 3, "query_error") for r in ("late", "later", "text", "inside")}
+    hits = {(r["rule"], r["tick"].minute, r["hits"], r["value"]) for r in plan.states.where("minute(tick) = 10").collect()}
+    assert hits == {("fine", 10, 5, 5.0), ("late", 10, 10, 10.0), ("later", 10, 0, 0.0), ("text", 10, 10, 4.5), ("inside", 10, 5, 5.0)}
+    status = {(r["rule"], r["type"]): r for r in plan.status().where("ts is not null").collect()}
+    assert status["fine", "State"]["reason"] == "AlertFiring" and status["fine", "ResourceSynced"]["status"]
+    assert status["late", "State"]["reason"] == "QueryError" and not status["late", "ResourceSynced"]["status"]
+    assert status["late", "State"]["message"].endswith("filter fails on 10 rows")

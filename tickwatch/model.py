@@ -97,6 +97,7 @@ OUTCOME_REASON = {
     "query_error": ("QueryError", "Error executing the query"),
     "path_missing": ("QueryError", "Error executing the query"),
     "bad_condition": ("QueryError", "Error executing the query"),
+    "duplicate_rule": ("QueryError", "Another row of the catalog has the rule's key"),
 }
 
 SYNC_FAILED = ("KubernetesApiCallError", "A call failed. More info in logs.")

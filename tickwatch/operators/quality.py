@@ -165,7 +165,7 @@ def condition_rows(state_rows: DataFrame) -> DataFrame:
 
 
 def outcome_rows(ticks: DataFrame) -> DataFrame:
-    """Sync conditions of all ticks, and state conditions of the failed ones."""
+    """Sync conditions of all ticks, and state conditions of the failed ones; a ``detail`` column ends their message."""
     failed = F.col("outcome") != model.OK
     synced = ticks.select(
         "namespace",
@@ -178,6 +178,8 @@ def outcome_rows(ticks: DataFrame) -> DataFrame:
     )
     reason = model.lookup({k: v[0] for k, v in model.OUTCOME_REASON.items()}, F.col("outcome"))
     message = model.lookup({k: v[1] for k, v in model.OUTCOME_REASON.items()}, F.col("outcome"))
+    if "detail" in ticks.columns:
+        message = F.concat_ws(": ", message, "detail")
     state = ticks.where(reason.isNotNull()).select(
         "namespace", "rule", F.lit(model.STATE_TYPE).alias("type"), F.lit(True).alias("status"),
         reason.alias("reason"), message.alias("message"), F.col("tick").alias("ts"),

@@ -20,6 +20,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickwatch.functions.attempt import Attempt, cannot_fail, label, number, predicate
 from tickwatch.functions.durations import parse_micros
 from tickwatch.functions.timegrid import (
     ROUND_MICROS,
@@ -29,10 +30,10 @@ from tickwatch.functions.timegrid import (
     require_utc,
     time_bounds,
 )
-from tickwatch.model import Rule, Search, local_frame
+from tickwatch.model import OK, Rule, Search, local_frame
 
 # how each measure is merged; a plan carries only the ones its rules read
-MERGE = {"hits": "sum", "part": "sum", "n": "sum", "total": "sum", "low": "min", "high": "max"}
+MERGE = {"hits": "sum", "part": "sum", "n": "sum", "total": "sum", "low": "min", "high": "max", "errors": "sum", "failed": "min"}
 _READS = {"count": [], "avg": ["n", "total"], "sum": ["total"], "min": ["low"], "max": ["high"], "pct": ["part"]}
 _SPINE_CHUNK = 4096
 
@@ -196,47 +197,79 @@ def _per_rule(values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("rid") + 1)
 
 
+def attempts(rule: Rule, events: DataFrame) -> dict[str, Attempt]:
+    """A rule's expressions over its log, in the order in which a row's first failure is named."""
+    s = rule.search
+    out = {"filter": predicate(s.filter, events), "part": predicate(s.part or "false", events), "field": number(s.field or "null", events)}
+    return out | ({"group_by": label(s.group_by, events)} if s.group_by else {})
+
+
+def can_fail(rules: list[Rule], events: DataFrame) -> bool:
+    """Whether an expression of any rule may raise on some row."""
+    return any(a.failed is not None for r in rules for a in attempts(r, events).values())
+
+
+def failure_measures(rules: list[Rule], events: DataFrame) -> list[str]:
+    return ["errors", "failed"] if can_fail(rules, events) else []
+
+
 def _matches(rows: DataFrame, rules: list[Rule], ts_col: str, keyed: bool) -> DataFrame:
-    """``rid, p, [bucket], x, part`` for every (row, rule) whose filter holds; ``p`` counts the rule's own panes."""
-    filters = [F.expr(r.search.filter) for r in rules]
+    """``rid, p, [bucket], x, part, failed`` for every (row, rule) whose filter holds or one of whose expressions fails;
+    ``p`` counts the rule's own panes, ``failed`` names the expression."""
     hits = []
     for i, r in enumerate(rules):
-        s = r.search
+        tried = attempts(r, rows)
+        failed = F.lit(None).cast("string")
+        for name, a in reversed(tried.items()):
+            if a.failed is not None:
+                failed = F.when(a.failed, F.lit(name)).otherwise(failed)
         fields = [
             F.lit(i).alias("rid"),
             floor_div(F.col("__us"), F.lit(pane_micros(r)).cast("bigint")).alias("p"),
-            F.expr(s.field if s.field else "null").cast("double").alias("x"),
-            F.expr(s.part if s.part else "false").alias("part"),
+            tried["field"].value.alias("x"),
+            tried["part"].value.alias("part"),
+            failed.alias("failed"),
         ]
         if keyed:
-            fields.append(F.expr(s.group_by).cast("string").alias("bucket"))
-        hits.append(F.when(filters[i], F.struct(*fields)))
-    if all(r.search.filter != "true" for r in rules):
+            fields.append(tried["group_by"].value.alias("bucket"))
+        holds = tried["filter"].value
+        if tried["filter"].failed is not None:
+            holds = holds | tried["filter"].failed
+        hits.append(F.when(holds, F.struct(*fields)))
+    if all(r.search.filter != "true" and cannot_fail(r.search.filter, rows) for r in rules):
         # reaches the parquet reader
-        rows = rows.where(reduce(lambda a, b: a | b, filters))
+        rows = rows.where(reduce(lambda a, b: a | b, [F.expr(r.search.filter) for r in rules]))
     out = rows.withColumn("__us", micros(F.col(ts_col))).select(F.inline(F.array_compact(F.array(*hits))))
-    return out.where(F.col("bucket").isNotNull()) if keyed else out
+    return out.where(F.col("bucket").isNotNull() & F.col("failed").isNull()) if keyed else out
 
 
 def pane_counts(events: DataFrame, rules: list[Rule], ts_col: str, keyed: bool = False) -> DataFrame:
-    """Measures per rule, (bucket) and pane number ``p``: the only pass over the log."""
+    """Measures per rule, (bucket) and pane number ``p``: the only pass over the log.
+
+    A row on which an expression fails is counted in ``errors`` and nowhere else.
+    """
     keys = ["rid", "bucket"] if keyed else ["rid"]
+    failing = [] if keyed else failure_measures(rules, events)
+    good = F.col("failed").isNull() if failing else F.lit(True)
+    x = F.when(good, F.col("x")) if failing else F.col("x")
     first = {
-        "hits": F.count(F.lit(1)),
-        "part": F.count_if(F.col("part")),
-        "n": F.count("x"),
-        "total": F.sum("x"),
-        "low": F.min("x"),
-        "high": F.max("x"),
+        "hits": F.count_if(good) if failing else F.count(F.lit(1)),
+        "part": F.count_if(good & F.col("part")),
+        "n": F.count(x),
+        "total": F.sum(x),
+        "low": F.min(x),
+        "high": F.max(x),
+        "errors": F.count("failed"),
+        "failed": F.min("failed"),
     }
-    measures = measures_of(rules)
+    measures = measures_of(rules) + failing
     matched = _matches(events, rules, ts_col, keyed)
     return matched.groupBy(*keys, "p").agg(*[first[m].alias(m) for m in measures])
 
 
 def _zero_measures(measures: list[str]) -> list[Column]:
-    none = F.lit(None).cast("double")
-    return [(F.lit(0).cast("bigint") if m in ("hits", "part", "n") else none).alias(m) for m in measures]
+    none = {True: F.lit(0).cast("bigint"), False: F.lit(None).cast("double")}
+    return [(F.lit(None).cast("string") if m == "failed" else none[m in ("hits", "part", "n", "errors")]).alias(m) for m in measures]
 
 
 def _merge(measures: list[str]) -> list[Column]:
@@ -389,13 +422,17 @@ def tick_values(
     end=None,
     buckets: DataFrame | None = None,
 ) -> DataFrame:
-    """``namespace, rule, tick, hits, raw_value, value``: one row per rule and tick.
+    """``namespace, rule, tick, hits, raw_value, value, outcome, detail``: one row per rule and tick.
 
     ``raw_value`` is NULL where the metric has no answer (an average over no rows);
     a condition reads that as 0, which is ``value``.  ``buckets`` are the rules'
     :func:`bucket_values` where they are already at hand.
+
+    A tick whose window holds a row on which an expression of the rule fails is a ``query_error`` without a
+    value; ``detail`` names the expression and the number of such rows.  Other rules do not notice.
     """
-    measures = measures_of(rules)
+    failing = failure_measures(rules, events)
+    measures = measures_of(rules) + failing
     rows, first_us, last_us = _bounds(events, rules, ts_col, start, end)
     plan = plan_frame(events.sparkSession, rules, first_us, last_us)
     widths = [parse_micros(r.search.window) // pane_micros(r) for r in rules]
@@ -404,7 +441,7 @@ def tick_values(
     )
     windows = slide(panes, ["rid"], widths, measures)
     ticks = _to_ticks(windows, plan, measures).select(
-        "namespace", "rule", from_micros(F.col("tick_us")).alias("tick"), "hits", "pick", _value(rules).alias("own")
+        "namespace", "rule", from_micros(F.col("tick_us")).alias("tick"), "hits", "pick", _value(rules).alias("own"), *failing
     )
     picked = [r for r in rules if r.search.group_by and r.search.pick]
     raw = F.col("own")
@@ -420,8 +457,17 @@ def tick_values(
         )
         ticks = ticks.join(best, keys, "left")
         raw = F.when(F.col("pick").isNotNull(), F.col("picked")).otherwise(F.col("own"))
+    keep = ["namespace", "rule", "tick", "hits"]
+    if not failing:
+        ok = [F.lit(OK).alias("outcome"), F.lit(None).cast("string").alias("detail")]
+        return ticks.select(*keep, raw.alias("raw_value"), F.coalesce(raw, F.lit(0.0)).alias("value"), *ok)
+    good = F.col("errors") == 0
     return ticks.select(
-        "namespace", "rule", "tick", "hits", raw.alias("raw_value"), F.coalesce(raw, F.lit(0.0)).alias("value")
+        *keep,
+        F.when(good, raw).alias("raw_value"),
+        F.when(good, F.coalesce(raw, F.lit(0.0))).alias("value"),
+        F.when(good, F.lit(OK)).otherwise("query_error").alias("outcome"),
+        F.when(~good, F.format_string("%s fails on %d rows", "failed", "errors")).alias("detail"),
     )
 
 

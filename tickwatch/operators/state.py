@@ -44,7 +44,7 @@ SEED_COLUMNS = [
 
 def evaluate_conditions(ticks: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``for_us`` and ``firing`` from the rule catalog; ``firing`` is NULL on a bad condition,
-    and a duration that cannot be read is one."""
+    and a duration that cannot be read is one.  A tick whose ``outcome`` is a failure has none either."""
     r = rules.select(
         "namespace",
         F.col("name").alias("rule"),
@@ -52,11 +52,14 @@ def evaluate_conditions(ticks: DataFrame, rules: DataFrame) -> DataFrame:
         "threshold_value",
         "for_us",
     )
+    able = F.col("for_us").isNotNull()
+    if "outcome" in ticks.columns:
+        able &= F.col("outcome") == model.OK
     return (
         ticks.join(r, KEYS)
         .withColumn(
             "firing",
-            F.when(F.col("for_us").isNotNull(), compare(F.col("value"), F.col("operator"), F.col("threshold_value"))),
+            F.when(able, compare(F.col("value"), F.col("operator"), F.col("threshold_value"))),
         )
         .drop("operator", "threshold_value")
     )

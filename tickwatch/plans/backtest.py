@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch.functions.text import number_text
-from tickwatch.model import BUCKET_CAP, Rule, rules_frame
+from tickwatch.model import BUCKET_CAP, OK, Rule, rules_frame
 from tickwatch.operators import metrics, notify, quality, search, series, state
 from tickwatch.sources.sinks import materialize
 
@@ -49,7 +49,21 @@ class Backtest:
 
     @cached_property
     def evaluated(self) -> DataFrame:
-        return state.evaluate_conditions(self.ticks, self.catalog)
+        return state.evaluate_conditions(self.ticks, self.catalog).drop("outcome", "detail")
+
+    @property
+    def good_ticks(self) -> DataFrame:
+        """Ticks whose search had an answer; samples come from these only."""
+        return self.ticks.where(F.col("outcome") == OK)
+
+    def outcomes(self) -> DataFrame:
+        """Per rule: ticks, failed ticks, and the outcome and detail of the last tick."""
+        return self.ticks.groupBy("namespace", "rule").agg(
+            F.count(F.lit(1)).alias("n_ticks"),
+            F.count_if(F.col("outcome") != OK).alias("n_failed"),
+            F.max_by("outcome", "tick").alias("outcome"),
+            F.max_by("detail", "tick").alias("detail"),
+        )
 
     @cached_property
     def rule_states(self) -> DataFrame:
@@ -90,7 +104,7 @@ class Backtest:
     def trees(self, size: int = BUCKET_CAP + 1, agg: str = "by_key") -> DataFrame:
         """Aggregation trees of the grouped rules, one per (rule, tick): every bucket up to the cap of
         custom metrics, and one more that tells that there were more."""
-        bodies = search.responses(self.buckets, self.ticks, size, agg)
+        bodies = search.responses(self.buckets, self.good_ticks, size, agg)
         doc = F.try_parse_json("body")
         tree = F.try_variant_get(doc, F.lit("$.aggregations"), "variant")
         return bodies.select("namespace", "rule", "tick", tree.alias("aggregations"))
@@ -113,7 +127,7 @@ class Backtest:
         asked = [r for r in self.rules if r.series_alert and r.series_alert.get("enabled")]
         parts = []
         if any(not r.custom_metrics for r in asked):
-            parts.append(metrics.value_samples(self.ticks))
+            parts.append(metrics.value_samples(self.good_ticks))
         if any(r.custom_metrics for r in asked):
             parts.append(metrics.custom_samples(self.trees(size, agg), metrics.accepted_metrics(self.catalog)))
         rows = materialize(reduce(DataFrame.unionByName, parts), "samples")
@@ -143,4 +157,6 @@ class Backtest:
         return quality.listing(state.latest(self.states.select("namespace", "rule", "tick", "state", "firing_time")), self.catalog)
 
     def status(self) -> DataFrame:
-        return quality.latest_status(quality.condition_rows(self.rule_states))
+        """Latest conditions per rule: the state of the last good tick or the reason of a later failure, and
+        whether the last tick was evaluated."""
+        return quality.latest_status(quality.condition_rows(self.rule_states).unionByName(quality.outcome_rows(self.ticks)))

@@ -6,11 +6,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickwatch.functions.durations import parse_micros
-from tickwatch.functions.timegrid import ROUND_MICROS
+from tickwatch.functions.timegrid import ROUND_MICROS, micros
 from tickwatch.model import OK, OPERATORS, Rule, Search, local_frame, resolve_rules, rules_frame, rules_from_frame
 from tickwatch.operators import quality, search
 from tickwatch.plans.backtest import Backtest
@@ -56,9 +56,24 @@ def search_problem(s: Search, events: DataFrame) -> str | None:
             return f"{name}: {e.getCondition() or 'not a valid expression'}"
         if name in ("filter", "part") and kind != "boolean":
             return f"{name} is {kind}, not boolean"
+    rule = Rule("", "", s)
+    if search.can_fail([rule], events):
+        try:
+            # where the expressions are used: no aggregates or generators there, and only kinds that can be counted
+            for keyed in {False, s.group_by is not None}:
+                _ = search.pane_counts(events.withColumn("__at", F.lit(None).cast("timestamp_ntz")), [rule], "__at", keyed).schema
+        except (AnalysisException, ParseException) as e:
+            return e.getCondition() or "cannot be evaluated over a log"
     return None
 
 
+def once(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules, each key once, and the rows that repeat a key; of rows with one key the first by its text is kept."""
+    place = Window.partitionBy("namespace", "name").orderBy(F.to_json(F.struct(*[c for c in rules.columns])))
+    numbered = rules.withColumn("_place", F.row_number().over(place))
+    return numbered.where("_place = 1").drop("_place"), numbered.where("_place > 1").drop("_place")
+
+
 @dataclass
 class Catalog:
     """A planned catalog: a run per log for the rules that can be evaluated, and an outcome for every rule."""
@@ -91,16 +106,27 @@ class Catalog:
         failed = self.outcomes.where(F.col("outcome") != OK).withColumn("tick", F.lit(None).cast("timestamp_ntz"))
         rows = quality.outcome_rows(failed)
         for run in self.runs:
-            rows = rows.unionByName(quality.latest_status(quality.condition_rows(run.rule_states)))
+            rows = rows.unionByName(run.status())
         return rows
 
+    def run_outcomes(self) -> DataFrame:
+        """Every rule with its outcome: of planning, else of its last tick; with the numbers of ticks and failed ticks."""
+        none = F.lit(0).cast("bigint")
+        planned = self.outcomes.where(F.col("outcome") != OK).select("*", none.alias("n_ticks"), none.alias("n_failed"))
+        return reduce(DataFrame.unionByName, [planned, *[r.outcomes() for r in self.runs]])
+
 
 def plan_catalog(spark: SparkSession, rules: DataFrame, sources: DataFrame, actions: DataFrame | None = None, start=None, end=None) -> Catalog:
     """Plan every rule of a catalog.  A rule that cannot be evaluated is an outcome row with the reason; it
-    neither stops the others nor disappears.  Both tables are configuration and are read once."""
-    rules = resolve_rules(rules.drop("check_us", "for_us", "threshold_value"))
+    neither stops the others nor disappears.  Both tables are configuration and are read once.
+
+    A rule listed several times is evaluated once; its other rows are ``duplicate_rule``.
+    """
+    rules, repeated = once(resolve_rules(rules.drop("check_us", "for_us", "threshold_value")))
     known = registry(sources)
-    outcomes: list[tuple[str, str, str, str | None]] = []
+    outcomes: list[tuple[str, str, str, str | None]] = [
+        (r["namespace"], r["name"], "duplicate_rule", "another row has this key") for r in repeated.select("namespace", "name").toLocalIterator()
+    ]
     good: dict[tuple[str, str], Rule] = {}
     able = {(r.namespace, r.name): r for r in rules_from_frame(rules)}
     listed = rules.select(
@@ -114,6 +140,7 @@ def plan_catalog(spark: SparkSession, rules: DataFrame, sources: DataFrame, acti
         if row is not None and log not in logs:
             try:
                 logs[log] = open_row(spark, row, r["index"])
+                _ = logs[log].select(micros(F.col("ts"))).schema
             except AnalysisException as e:
                 logs[log] = e.getCondition() or "cannot be read"
         if row is None:
@@ -155,7 +182,7 @@ def catalog_ticks(spark: SparkSession, rules: DataFrame, sources: DataFrame, sta
     """
     parts = []
     known = registry(sources)
-    for (namespace, name, index), group in by_log(rules_from_frame(rules)).items():
+    for (namespace, name, index), group in by_log(rules_from_frame(once(rules)[0])).items():
         if (namespace, name) not in known:
             continue
         events = open_row(spark, known[namespace, name], index)
