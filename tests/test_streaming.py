@@ -6,13 +6,15 @@ import random
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tickwatch.model import Rule, Search
+from tickwatch.model import ACTION_DDL, Rule, Search
 from tickwatch.operators import search, state
 from tickwatch.plans.backtest import Backtest
 from tickwatch.sources.logs import stream
-from tickwatch.streaming import live
+from tickwatch.streaming import live, processor
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "ts timestamp_ntz, k string, v double"
@@ -107,3 +109,141 @@ def test_active_alerts_are_handed_to_the_sender(spark, tmp_path):
     query.stop()
     assert sent and {r["rule"] for r in sent} == {"quiet"}
     assert state.KEYS == ["namespace", "rule"] and search.measures_of([RULES[2]]) == ["hits"]
+
+
+def held(spark, mark, operator, name):
+    reader = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name)
+    return reader.load(mark)
+
+
+def test_grouped_rules_equal_batch_over_a_restart(spark, tmp_path):
+    log, out, mark = str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "mark")
+    rules = [
+        Rule("n", "top", Search(window="1h", group_by="k", pick="top"), threshold="8", for_="5m", check_interval="5m"),
+        Rule("n", "max", Search(window="20m", metric="avg", field="v", group_by="concat(k, cast(v as int) % 5)", pick="max_bucket"), threshold="90", for_="0s", check_interval="10m"),
+        Rule("n", "min", Search(filter="k <> 'b'", window="2h", round="h", metric="min", field="v", group_by="k", pick="min_bucket"), operator="lessThan", threshold="3", for_="20m", check_interval="20m"),
+    ]
+    first, second = rows_between(21, 0, 300, 200), rows_between(22, 420, 700, 200)
+    put(spark, log, first)
+    put(spark, log, second)
+    run(spark, log, rules, out, mark)
+    end = max(r[0] for r in second) + timedelta(days=1)
+    put(spark, log, [(end, "z", 0.0)])
+    run(spark, log, rules, out, mark)
+    got = spark.read.parquet(out)
+    horizon = got.agg(F.max("tick")).first()[0]
+    columns = [*COLUMNS, "value"]
+    def rounded(df):
+        return {tuple(r[c] for c in columns) for r in df.withColumn("value", F.round("value", 9)).collect()}
+    expect, seen = rounded(Backtest(spark.createDataFrame(first + second, SCHEMA), rules).states), rounded(got)
+    assert seen <= expect and len(seen) == got.count()
+    assert {r for r in expect - seen if r[2] <= horizon - timedelta(hours=2)} == set()
+    # of the buckets only what a window can still reach is held
+    blocks = held(spark, mark, 1, "blocks").select("key.rule", "user_map_key.bucket", "user_map_key.block").collect()
+    assert blocks and {r["rule"] for r in blocks} == {"top", "max", "min"}
+    oldest = min(r["block"] for r in blocks if r["rule"] == "max")
+    assert oldest >= ((horizon - T0).total_seconds() // 60 - 60) // 20 + (T0 - datetime(1970, 1, 1)).total_seconds() // 60 // 20
+
+
+def version(name, at, operator="greaterThan", threshold="2", for_="0s", step="5m", window="10m", deleted=False):
+    return ("n", name, T0 + timedelta(minutes=at), operator, threshold, for_, step, window, None, deleted)
+
+
+def test_versions_and_deletions(spark, tmp_path):
+    log, out, mark, changes = (str(tmp_path / x) for x in ("log", "out", "mark", "changes"))
+    rules = [Rule("n", "a", Search(filter="k = 'a'", window="10m"), check_interval="5m"), Rule("n", "b", Search(filter="k = 'b'", window="10m"), check_interval="5m")]
+    ddl = live.VERSION_DDL
+
+    def go(versions, some=rules):
+        if versions:
+            spark.createDataFrame(versions, ddl).coalesce(1).write.mode("append").parquet(changes)
+        events = stream(spark, log, spark.createDataFrame([], SCHEMA).schema, maxFilesPerTrigger=1)
+        control = stream(spark, changes, spark.createDataFrame([], ddl).schema)
+        live.start(live.live_states(events, some, delay="10 minutes", versions=control, pane="5m"), out, mark, once=True).awaitTermination()
+
+    rows = rows_between(31, 0, 400, 300)
+    put(spark, log, [r for r in rows if r[0] < T0 + timedelta(minutes=200)])
+    # the second version of b cannot be counted in panes of five minutes, the third can
+    go([version("a", -10), version("b", 30, step="10m"), version("b", 100, step="7m"), version("b", 130, window="40m", step="20m"), version("a", 150, deleted=True)])
+    put(spark, log, [r for r in rows if r[0] >= T0 + timedelta(minutes=200)])
+    put(spark, log, [(T0 + timedelta(days=1), "z", 0.0)])
+    go([version("a", 300, threshold="1", operator="lessThan")])
+    got = {(r["rule"], (r["tick"] - T0) // timedelta(minutes=1)): (r["hits"], r["firing"], r["state"]) for r in spark.read.parquet(out).collect()}
+
+    def hits(k, tick, width):
+        return sum(x[1] == k and T0 + timedelta(minutes=tick - width) <= x[0] < T0 + timedelta(minutes=tick) for x in rows)
+
+    first = min((r[0] - T0) // timedelta(minutes=1) for r in rows) // 5 * 5
+    want = {}
+    for t in range(first + 5, 401, 5):
+        if t < 150 or t >= 300:
+            n = hits("a", t, 10)
+            want["a", t] = (n, n < 1 if t >= 300 else n > 2)
+        if 30 <= t < 100 and t % 10 == 0 or t >= 130 and t % 20 == 0:
+            n = hits("b", t, 10 if t < 130 else 40)
+            want["b", t] = (n, n > 2)
+    assert {k: v[:2] for k, v in got.items()} == want
+    # a life that begins again knows nothing of the one before: it waits as a new rule does
+    life = held(spark, mark, 0, "rule").select("key.rule", "key.life").collect()
+    begun = (T0 + timedelta(minutes=300) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    assert {r["life"] for r in life if r["rule"] == "a"} == {begun}
+    # the plan goes on without b, and b is deleted: nothing of it is held
+    put(spark, log, [(T0 + timedelta(days=2), "z", 0.0)])
+    go([version("b", 3000, deleted=True)], rules[:1])
+    assert {r["rule"] for r in held(spark, mark, 0, "rule").select("key.rule").collect()} == {"a"}
+    assert {r["rule"] for r in held(spark, mark, 1, "clock").select("key.rule").collect()} == {"a"}
+
+
+def test_a_silent_log_goes_on_with_the_clock(spark, tmp_path):
+    log, beats = str(tmp_path / "log"), str(tmp_path / "beats")
+    rows = rows_between(41, 0, 100)
+    put(spark, log, rows)
+    spark.createDataFrame([(T0 + timedelta(minutes=m),) for m in range(0, 600, 5)], "ts timestamp_ntz").coalesce(1).write.parquet(beats)
+    rule = Rule("n", "none", Search(filter="k = 'a'", window="10m"), operator="lessThan", threshold="1", for_="30m", check_interval="10m")
+    events = stream(spark, log, spark.createDataFrame([], SCHEMA).schema)
+    clock = stream(spark, beats, spark.createDataFrame([], "ts timestamp_ntz").schema)
+    got = live.drain(live.live_states(events, [rule], delay="10 minutes", clock=clock), "silent").orderBy("tick").collect()
+    assert [(r["tick"] - T0) // timedelta(minutes=1) for r in got] == list(range(10, 590, 10))
+    assert all(r["hits"] == 0 and r["firing"] for r in got if r["tick"] > T0 + timedelta(minutes=110))
+    assert got[-1]["state"] == "Firing"
+
+
+def test_outbox_and_failing_rows(spark, tmp_path):
+    """Deliveries between ticks; a tick that sees a row on which an expression fails changes nothing."""
+    log = str(tmp_path / "log")
+    rows = [(T0 + timedelta(minutes=m), "a" if m != 62 else "x", 1.0) for m in range(0, 120, 2)] + [(T0 + timedelta(minutes=300), "z", 0.0)]
+    put(spark, log, rows)
+    action = {"name": "pager", "mode": "alertmanager", "labels": {"v": "{{ value }}"}}
+    rules = [
+        Rule("n", "good", Search(filter="k = 'a'", window="20m"), threshold="5", for_="0s", check_interval="20m", action=action),
+        Rule("n", "bad", Search(filter="if(k = 'x', cast(k as int), 1) = 1", window="20m"), threshold="5", for_="0s", check_interval="20m"),
+    ]
+    actions = spark.createDataFrame([("", "pager", "15m", "alertmanager"), ("n", "pager", "1h", None), ("n", "other", "1m", None)], ACTION_DDL)
+    events = stream(spark, log, spark.createDataFrame([], SCHEMA).schema)
+    sent = live.drain(live.live_outbox(events, rules, actions, delay="1 minute"), "sent").collect()
+    minutes = lambda t: (t - T0) // timedelta(minutes=1)
+    # active from the first tick, 20, to the last closed pane's end, 120
+    assert sorted((r["action_namespace"], minutes(r["sent_at"])) for r in sent) == sorted([("", m) for m in range(30, 121, 15)] + [("n", 60), ("n", 120)])
+    # the value is that of the tick before: one of the rows at 60 to 80 is not a hit
+    assert {minutes(r["sent_at"]): r["value"] for r in sent if r["action_namespace"] == ""} == {30: 10.0, 45: 10.0, 60: 10.0, 75: 10.0, 90: 9.0, 105: 10.0, 120: 10.0}
+    assert all(r["valid"] and '"v":"10"' in r["payload"] for r in sent if r["value"] == 10.0)
+    states = live.drain(live.live_states(events, rules, delay="1 minute"), "states")
+    assert {minutes(r["tick"]) for r in states.where("rule = 'bad'").collect()} == {20, 40, 60, 100, 120}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_against_every_window(seed):
+    r = random.Random(seed)
+    p = np.array(sorted(r.sample(range(-50, 200), r.choice([0, 1, 30, 120]))), np.int64)
+    m = {n: np.array([r.randint(0, 9) for _ in p], np.int64) for n in processor.COUNTS}
+    m |= {n: np.array([r.random() if r.random() < 0.8 else (0.0 if n == "total" else np.nan) for _ in p]) for n in ("total", "low", "high")}
+    for k in (1, 2, 7, 60):
+        ends = np.arange(-60, 280, r.choice([1, 3]))
+        got = processor.windows(p, m, ends, k)
+        for i, e in enumerate(ends.tolist()):
+            inside = (p >= e - k) & (p < e)
+            for n in [*processor.COUNTS, "total"]:
+                assert got[n][i] == pytest.approx(m[n][inside].sum())
+            for n, f in (("low", np.nanmin), ("high", np.nanmax)):
+                held_ = m[n][inside][~np.isnan(m[n][inside])]
+                assert (np.isnan(got[n][i]) and not len(held_)) or got[n][i] == f(held_)
