@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queries import register
-from queries.common import STATE_SQL, backtest, machine_sql, table
+from queries.common import RULES, STATE_SQL, backtest, machine_sql, table
 from queries.metrics import _BUCKETS_SQL, _CUSTOM
 from tickwatch.operators import notify, search, state
 from tickwatch.plans.backtest import Backtest
@@ -81,6 +81,36 @@ def raw_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notify.raw_message(alerts, rule.action["data"]).select("namespace", "rule", "opened_at", "message")
 
 
+_LIST = '[{"labels":{"alertname":"{{ rule }}","ns":"{{namespace}}"},"startsAt":"{{ .sent_at }}"}]'
+_TEXTS = [
+    replace(RULES[0], action={"name": "pager", "mode": "raw", "data": _LIST}),
+    replace(RULES[2], action={"name": "mailer", "mode": "raw", "data": "{{ rule }}{{ nothing }}: {{ value }} {{operator}} {{ threshold }}, since {{ opened_at }}"}),
+    replace(RULES[4], action={"name": "pager", "mode": "raw", "data": "{{ description }} {{value}}"}),
+    replace(RULES[1], action={"name": "pager", "mode": "alertmanager", "labels": {}}),
+]
+
+
+@register(
+    "raw_deliveries",
+    STATE_SQL + "," + _ACTIONS_SQL + """,
+    sent AS (
+      SELECT a.*, t.action AS action_name, t.action_namespace, t.validator, make_timestamp(unnest(generate_series(
+        ((epoch_us(opened_at) + period_us - 1) // period_us) * period_us, coalesce(epoch_us(closed_at) - 1, epoch_us(last_active_at)), period_us))) AS sent_at
+      FROM alerts a JOIN rules r USING (namespace, rule) JOIN acts t ON t.action = r.action WHERE a.rule IN ('error-burst', 'basket-avg', 'error-share'))
+    SELECT namespace, rule, action_name, action_namespace, sent_at,
+      CASE rule WHEN 'error-burst' THEN '[{"labels":{"alertname":"error-burst","ns":"ops"},"startsAt":"' || strftime(sent_at, '%Y-%m-%dT%H:%M:%SZ') || '"}]'
+        WHEN 'basket-avg' THEN 'basket-avg: ' || regexp_replace(value::VARCHAR, '[.]0$', '') || ' greaterThan 6e1, since ' || strftime(opened_at, '%Y-%m-%dT%H:%M:%SZ')
+        ELSE 'share of errors ' || regexp_replace(value::VARCHAR, '[.]0$', '') END AS payload,
+      rule <> 'error-share' AS valid,
+      CASE rule WHEN 'error-share' THEN 'error decoding JSON from ''message.data'' for Alertmanager validator' END AS error
+    FROM sent""",
+)
+def raw_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's own text, rendered by one plan and checked by the action's validator."""
+    rows = replace(backtest(spark, sf_dir), rules=_TEXTS).messages()
+    return rows.select("namespace", "rule", "action_name", "action_namespace", "sent_at", "payload", "valid", "error")
+
+
 @register(
     "alertmanager_payload",
     STATE_SQL + """,

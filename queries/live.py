@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from queries import register
 from queries.common import FIRING_SQL, RULES, RULES_SQL, STATE_SQL, actions, grid_sql, machine_sql, table
-from tickwatch.model import Rule, Search, local_frame
+from tickwatch.model import Rule, Search, local_frame, rules_frame
+from tickwatch.operators import search
+from tickwatch.sources import sinks
 from tickwatch.sources.logs import stream
 from tickwatch.sources.sinks import run_dir
-from tickwatch.streaming.live import VERSION_DDL, drain, live_outbox, live_states
+from tickwatch.streaming.live import VERSION_DDL, drain, live_outbox, live_states, response_states
 
 _SLICES = 3
 
 
-def replay(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The whole log as files in time order, and a last row that closes the last window."""
+def replay_slices(spark: SparkSession, events: DataFrame) -> str:
+    """The whole log as files in time order."""
     path = run_dir(spark, "replay")
     lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
     cuts = [lo + (hi - lo) * i / _SLICES for i in range(1, _SLICES)]
@@ -30,6 +32,12 @@ def replay(spark: SparkSession, events: DataFrame) -> DataFrame:
         if b is not None:
             part = part.where(F.col("ts") < F.lit(b).cast("timestamp_ntz"))
         part.write.mode("append").parquet(path)
+    return path
+
+
+def replay(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The whole log as a stream, and a last row that closes the last window."""
+    path = replay_slices(spark, events)
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
     events.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select("ts", *none).write.mode("append").parquet(path)
     return stream(spark, path, events.schema, maxFilesPerTrigger=16)
@@ -213,3 +221,56 @@ def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
         "namespace", "rule", "action_name", "action_namespace", F.round("value", 9).alias("value"), "sent_at", "valid",
         first["startsAt"].alias("starts_at"), first["labels"]["alertname"].alias("alertname"), first["labels"]["team"].alias("team"),
     )
+
+
+# --- sinks and stored responses -----------------------------------------------------------------
+
+
+@register(
+    "sink_replay",
+    "SELECT event_type, ts::DATE::VARCHAR AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+)
+def sink_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream into a sink of batches; one batch is written again and another is left without its commit."""
+    events = table(spark, sf_dir, "events")
+    base = run_dir(spark, "sink")
+    log = stream(spark, replay_slices(spark, events), events.schema, maxFilesPerTrigger=1)
+    sinks.stream_batches(log, f"{base}/table", f"{base}/checkpoint", once=True, ts_col="ts").awaitTermination()
+    again = spark.read.parquet(f"{base}/table/rows/batch_id=1").select(events.columns)
+    sinks.write_batch(sinks.materialize(again, "again"), f"{base}/table", 1, "ts")
+    events.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{base}/table/rows/batch_id=999999")
+    ddl = ", ".join(f"{n} {t}" for n, t in events.dtypes)
+    rows = sinks.read_committed(spark, f"{base}/table", ddl, "ts")
+    return rows.groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+_ASKED = [
+    Rule("ops", "errors", Search(value_path="hits.total.value"), "greaterThan", "4", "1h", "30m", action={"name": "pager"}),
+    Rule("ops", "views", Search(value_path="aggregations.n.value"), "greaterThanOrEqual", "3", "0s", "30m", action={"name": "pager"}),
+]
+
+
+@register(
+    "stream_response_states",
+    "WITH " + grid_sql(60) + """,
+    n AS (SELECT g.tick, count(e.event_id) FILTER (WHERE event_type = 'error') AS errors, count(e.event_id) FILTER (WHERE event_type = 'view') AS views
+          FROM grid g LEFT JOIN events e ON e.ts >= g.tick - INTERVAL 60 MINUTE AND e.ts < g.tick GROUP BY g.tick),
+    cond AS (
+      SELECT 'ops' AS namespace, 'errors' AS rule, tick, errors::DOUBLE AS value, errors > 4 AS firing, 3600000000 AS for_us FROM n WHERE errors % 5 <> 2
+      UNION ALL SELECT 'ops', 'views', tick, views::DOUBLE, views >= 3, 0 FROM n WHERE views % 7 <> 6),""" + machine_sql("cond")
+    + "SELECT namespace, rule, tick, value, firing, state, firing_time, resolving_time, alert_tick, alert_value FROM times",
+)
+def stream_response_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of hourly searches, some of them failed, as a stream of files."""
+    events = table(spark, sf_dir, "events")
+    counts = search.tick_values(
+        events, [Rule("ops", n, Search(filter=f"event_type = '{k}'", window="1h"), check_interval="1h") for n, k in (("errors", "error"), ("views", "view"))]
+    )
+    bodies = counts.selectExpr(
+        "namespace", "rule", "tick", "if(rule = 'errors' and hits % 5 = 2, 503, 200) as status_code",
+        """if(rule = 'errors', '{"hits":{"total":{"value":' || hits || '}}}', if(hits % 7 = 6, '{"aggregations":{}}', '{"aggregations":{"n":{"value":"' || hits || '"}}}')) as body""",
+    )
+    path = run_dir(spark, "responses")
+    bodies.repartition(1).write.parquet(path)
+    rows = response_states(stream(spark, path, bodies.schema), rules_frame(spark, _ASKED))
+    return drain(rows, "response-states")

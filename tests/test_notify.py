@@ -119,3 +119,14 @@ def test_json_object(spark, text, want):
 @pytest.mark.parametrize("text,want", [('["a",2,null]', ["a", "2", "null"]), ("null", []), ('{"a":1}', ["not a JSON list"]), ("[", ["not a JSON list"])])
 def test_json_array(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(notify.json_array_or_error(F.col("t"))).first()[0] == want
+
+
+def test_messages_of_many_templates(spark):
+    texts = [
+        ("a", "{{ rule }}"), ("b", "{{x}}{{ .value }} {{value}}!"), ("c", "no slot"), ("d", ""), ("e", None), ("f", "{{ a b }} {value} }}{{ $rule"),
+        ("g", "cost $1 \\\\ {{ rule }}\nline {{rule}}"),
+    ]
+    rows = spark.createDataFrame(texts, "rule string, data string").withColumn("parts", notify.message_parts(F.col("data")))
+    vars_ = F.create_map(F.lit("rule"), F.concat(F.lit("$1"), F.col("rule")), F.lit("value"), F.lit("7"))
+    got = {r["rule"]: r["m"] for r in rows.select("rule", notify.filled(F.col("parts"), vars_).alias("m")).collect()}
+    assert got == {"a": "$1a", "b": "7 7!", "c": "no slot", "d": "", "e": None, "f": "{{ a b }} {value} }}{{ $rule", "g": "cost $1 \\\\ $1g\nline $1g"}

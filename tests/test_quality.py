@@ -152,6 +152,39 @@ def test_sinks(spark, tmp_path):
     assert sinks.materialize(rows, "t").schema == rows.schema
 
 
+def test_batches_are_written_once(spark, tmp_path):
+    path, ddl = str(tmp_path / "table"), "tick timestamp_ntz, v int"
+    assert sinks.read_committed(spark, path, ddl).count() == 0
+    rows = spark.createDataFrame([(T0 + timedelta(hours=h), h) for h in range(48)], ddl)
+    sinks.write_batch(rows.where("v < 30"), path, 0)
+    sinks.write_batch(rows.where("v >= 30"), path, 1)
+    # a replay may have other files, even other days, and takes the place of what it repeats
+    sinks.write_batch(rows.where("v >= 30").repartition(5), path, 1)
+    # a batch that has rows but no commit is not there yet
+    rows.withColumn("day", F.to_date("tick")).write.partitionBy("day").parquet(path + "/rows/batch_id=2")
+    got = sinks.read_committed(spark, path, ddl)
+    assert got.columns == ["tick", "v"] and sorted(r["v"] for r in got.collect()) == list(range(48))
+    sinks.write_batch(rows.limit(0), path, 3)
+    assert sinks.read_committed(spark, path, ddl).count() == 48
+    sinks.write_batch(rows, str(tmp_path / "flat"), 7, None)
+    assert sinks.read_committed(spark, str(tmp_path / "flat"), ddl, None).count() == 48
+
+
+def test_lint_of_searches_and_messages(spark):
+    good = dict(action=ACTION, threshold="1", for_="1m", check_interval="30s")
+
+    def check(data=None, **asked):
+        return codes(spark, Rule("n", "r", Search(**asked), **{**good, "action": {**ACTION, "mode": "raw", "data": data}}))
+
+    assert check(window="abc") == check(window="0s") == ["window_invalid"]
+    assert check(round="w") == ["round_unknown"] and check(round="h") == []
+    assert check(metric="median", field="v") == ["metric_unknown"] and check(metric="avg") == ["field_missing"] and check(metric="pct") == ["part_missing"]
+    assert check(pick="top") == ["pick_invalid"] == check(pick="best", group_by="k") and check(pick="top", group_by="k") == []
+    assert check(filter=" ") == ["filter_empty"]
+    assert check("{{ rule }} {{ .value }} {{sent_at}}") == [] and check("{{ rule }} {{ nothing }}") == ["message_variable_unknown"]
+    assert codes(spark, Rule("n", "r", Search(), **{**good, "check_interval": "0s"})) == ["check_interval_invalid"]
+
+
 def test_backtest_tables_hang_together(spark):
     rows = [(T0 + timedelta(minutes=i), "error") for i in range(0, 240, 3)] + [(T0 + timedelta(minutes=i), "ok") for i in range(0, 600, 5)]
     rule = Rule("n", "r", Search(filter="kind = 'error'", window="10m"), threshold="1", for_="20m", check_interval="10m", action={**ACTION, "mode": "alertmanager", "labels": {"v": "{{ value }}"}}, description="d")

@@ -247,3 +247,29 @@ def test_windows_against_every_window(seed):
             for n, f in (("low", np.nanmin), ("high", np.nanmax)):
                 held_ = m[n][inside][~np.isnan(m[n][inside])]
                 assert (np.isnan(got[n][i]) and not len(held_)) or got[n][i] == f(held_)
+
+
+def test_responses_as_a_stream(spark, tmp_path):
+    """States of a stream of responses are those of the batch, over a restart; late ones are left out."""
+    from tickwatch.model import rules_frame
+    from tickwatch.operators.responses import response_ticks
+
+    rnd = random.Random(3)
+    ddl = "namespace string, rule string, tick timestamp_ntz, status_code int, body string"
+    rows = [
+        ("n", f"r{k}", T0 + timedelta(minutes=10 * i), rnd.choice([200, 200, 200, 503, None]), rnd.choice(['{"hits":{"total":{"value":%d}}}' % rnd.randint(0, 9), "{", '{"hits":{}}']))
+        for k in range(3) for i in range(60)
+    ]
+    rules = rules_frame(spark, [Rule("n", "r0", Search(), threshold="3", for_="15m"), Rule("n", "r1", Search(), threshold="6", for_="0s")])
+    path, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+
+    def go(some):
+        spark.createDataFrame(some, ddl).coalesce(1).write.mode("append").parquet(path)
+        live.start(live.response_states(stream(spark, path, spark.createDataFrame([], ddl).schema), rules), out, mark, once=True).awaitTermination()
+
+    half = T0 + timedelta(minutes=300)
+    go([r for r in rows if r[2] < half])
+    go([r for r in rows if r[2] >= half] + [("n", "r0", T0, 200, '{"hits":{"total":{"value":99}}}')])
+    columns = ["namespace", "rule", "tick", "value", "firing", "state", "firing_time", "resolving_time", "alert_tick", "alert_value"]
+    want = state.state_times(response_ticks(spark.createDataFrame(rows, ddl), rules).drop("aggregations")).select(*columns).collect()
+    assert sorted(map(str, spark.read.parquet(out).select(*columns).collect())) == sorted(map(str, want))

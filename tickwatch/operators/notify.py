@@ -11,7 +11,7 @@ from tickwatch import model
 from tickwatch.functions.jsonpath import variant_kind
 from tickwatch.functions.maps import merge_maps
 from tickwatch.functions.durations import duration_micros
-from tickwatch.functions.text import rfc3339
+from tickwatch.functions.text import number_text, rfc3339
 from tickwatch.functions.timegrid import add_micros, floor_div, from_micros, micros
 
 _DAY_US = 86_400_000_000
@@ -100,6 +100,41 @@ def rendered_map(templates: Column, variables: dict[str, Column]) -> Column:
     return F.transform_values(templates, fill)
 
 
+_SLOT = r"\{\{\s*\.?([A-Za-z_][A-Za-z0-9_]*)\s*\}\}"
+#: what a message may name
+VARIABLES = ["namespace", "rule", "value", "description", "operator", "threshold", "opened_at", "sent_at"]
+
+
+def message_parts(template: Column) -> Column:
+    """A message's text as a list of (text, variable that follows it or NULL), to be kept with its rule."""
+    return F.transform(
+        F.arrays_zip(F.split(template, _SLOT, -1).alias("text"), F.regexp_extract_all(template, F.lit(_SLOT), 1).alias("name")),
+        lambda p: F.struct(p["text"].alias("text"), p["name"].alias("name")),
+    )
+
+
+def filled(parts: Column, variables: Column) -> Column:
+    """The parts with their variables filled in from a map, by one expression for all messages; a variable that the map
+    does not have is empty text."""
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["text"], F.coalesce(F.try_element_at(variables, p["name"]), F.lit("")))), "")
+
+
+def unknown_variables(template: Column) -> Column:
+    """The variables of a message that no message can have."""
+    return F.array_except(F.regexp_extract_all(template, F.lit(_SLOT), 1), F.array(*[F.lit(v) for v in VARIABLES]))
+
+
+def raw_messages(rows: DataFrame) -> DataFrame:
+    """Add ``payload`` to deliveries (``rule, sent_at, value, opened_at``) that carry their rule's ``parts``, ``description``,
+    ``operator`` and ``threshold``."""
+    values = {
+        "namespace": F.col("namespace"), "rule": F.col("rule"), "value": number_text(F.col("value")), "description": F.col("description"), "operator": F.col("operator"),
+        "threshold": F.col("threshold"), "opened_at": rfc3339(F.col("opened_at")), "sent_at": rfc3339(F.col("sent_at")),
+    }
+    variables = F.map_from_arrays(F.array(*[F.lit(v) for v in VARIABLES]), F.array(*[values[v] for v in VARIABLES]))
+    return rows.withColumn("_variables", variables).withColumn("payload", filled(F.col("parts"), F.col("_variables"))).drop("_variables")
+
+
 def alertmanager_alert(
     rule: Column, sent_at: Column, check_us: Column, labels: Column, annotations: Column
 ) -> Column:

@@ -9,6 +9,8 @@ from tickwatch import model
 from tickwatch.functions.conditions import first_failure, threshold_value
 from tickwatch.functions.durations import duration_micros
 from tickwatch.functions.jsonpath import path_is_plain
+from tickwatch.functions.timegrid import ROUND_MICROS
+from tickwatch.operators.notify import unknown_variables
 from tickwatch.operators.series import alert_metric
 from tickwatch.operators.state import latest
 
@@ -56,16 +58,19 @@ def lint(rules: DataFrame) -> DataFrame:
     cond, paths = F.col("condition"), F.coalesce("custom_metrics", F.array().cast(model.CUSTOM_METRICS_TYPE))
     codes = F.transform(paths, metric_violation)
     named = F.col("search.value_path")
+    unknown = unknown_variables(F.col("action.data")) if _has_field(rules, "action", "data") else F.array().cast("array<string>")
     checks = [
         _violation(~cond["operator"].isin(model.OPERATORS), "operator_unknown", cond["operator"]),
         _violation(threshold_value(cond["threshold"]).isNull(), "threshold_invalid", cond["threshold"]),
         _violation(duration_micros("condition.`for`").isNull(), "for_invalid", cond["for"]),
-        _violation(duration_micros("check_interval").isNull(), "check_interval_invalid", F.col("check_interval")),
+        _violation(~F.coalesce(duration_micros("check_interval") > 0, F.lit(False)), "check_interval_invalid", F.col("check_interval")),
         _violation(~_has_search() & ~_has_text_query(), "query_missing", F.lit("no query")),
         _violation(_has_search() & _has_text_query(), "query_twice", F.lit("two queries")),
         _violation(~has_output(), "output_missing", F.lit(model.MISSING_OUTPUT[1])),
         _violation(F.size(paths) > model.MAX_CUSTOM_METRICS, "too_many_metrics", F.size(paths).cast("string")),
         _violation(named.isNotNull() & ~path_is_plain(named), "value_path_unsupported", named),
+        *_search_checks(),
+        _violation(F.coalesce(F.size(unknown), F.lit(0)) > 0, "message_variable_unknown", F.array_join(unknown, ", ")),
     ]
     per_metric = F.transform(
         F.arrays_zip(paths.alias("m"), codes.alias("c")),
@@ -82,6 +87,25 @@ def lint(rules: DataFrame) -> DataFrame:
     return rules.select("namespace", F.col("name").alias("rule"), F.inline(found))
 
 
+def _has_field(rules: DataFrame, column: str, name: str) -> bool:
+    return name in rules.schema[column].dataType.fieldNames()
+
+
+def _search_checks() -> list[Column]:
+    """What is wrong with the text of a search; a member that is not given has its default."""
+    s = F.col("search")
+    asked = F.coalesce(s["metric"], F.lit("count"))
+    return [
+        _violation(s["window"].isNotNull() & ~F.coalesce(duration_micros("search.window") > 0, F.lit(False)), "window_invalid", s["window"]),
+        _violation(s["round"].isNotNull() & ~s["round"].isin(*ROUND_MICROS), "round_unknown", s["round"]),
+        _violation(s["metric"].isNotNull() & ~s["metric"].isin(*model.METRICS), "metric_unknown", s["metric"]),
+        _violation(asked.isin("avg", "sum", "min", "max") & (F.coalesce(s["field"], F.lit("")) == ""), "field_missing", asked),
+        _violation((asked == "pct") & (F.coalesce(s["part"], F.lit("")) == ""), "part_missing", asked),
+        _violation(s["pick"].isNotNull() & (~s["pick"].isin(*model.PICKS) | s["group_by"].isNull()), "pick_invalid", s["pick"]),
+        _violation(s["filter"].isNotNull() & (F.trim(s["filter"]) == ""), "filter_empty", F.lit("no filter")),
+    ]
+
+
 def output_reason(rules: DataFrame, metrics_exposed: bool = True) -> DataFrame:
     """State of each rule's series alert, worst problem first, the rest in the message."""
     bad_metric = F.exists(

@@ -326,6 +326,40 @@ def slide(panes: DataFrame, series: list[str], widths: list[int], measures: list
     return sides.groupBy(*series, "e").agg(*_merge(measures))
 
 
+def sparse_windows(panes: DataFrame, series: list[str], k: Column, align: Column, measures: list[str]) -> DataFrame:
+    """Windows of ``k`` panes that hold any pane, at ends that are multiples of ``align``: ``series..., e, measures``.
+
+    ``panes`` lists only what exists, and nothing is filled in: a window is again the tail of one block and the head of
+    the next, and between two panes of a block neither changes.  Each pane therefore stands for a span of heads and
+    one of tails, and only the ends asked for are listed.  ``k`` and ``align`` are constant within a series.
+    """
+    merged = (
+        panes.withColumns({"k": k, "align": align})
+        .withColumn("block", floor_div(F.col("p"), F.col("k")))
+        .groupBy(*series, "k", "align", "block", "p")
+        .agg(*_merge(measures))
+    )
+    group = f"partition by {', '.join([*series, 'block'])} order by p"
+    running = merged.selectExpr(
+        *series, "k", "align", "block", "p", f"lead(p) over ({group}) as _next", f"lag(p) over ({group}) as _prev",
+        "struct(" + ", ".join(f"{MERGE[m]}({m}) over ({group} rows unbounded preceding) as {m}" for m in measures) + ") as head",
+        "struct(" + ", ".join(f"{MERGE[m]}({m}) over ({group} desc rows unbounded preceding) as {m}" for m in measures) + ") as tail",
+    )
+
+    def ends(low: str, high: str) -> str:
+        first, last = f"({low} + pmod(-({low}), align))", f"({high} - pmod({high}, align))"
+        return f"if({first} <= {last}, sequence({first}, {last}, align), array())"
+
+    spans = running.selectExpr(
+        *series,
+        "inline(array("
+        + f"struct({ends('p + 1', 'least(coalesce(_next, (block + 1) * k), (block + 1) * k)')} as es, head as m), "
+        # a block's full tail equals its full head, so it is sent once
+        + f"struct({ends('greatest(coalesce(_prev, block * k), block * k) + 1 + k', 'p + k')} as es, tail as m)))",
+    )
+    return spans.selectExpr(*series, "explode(es) as e", *[f"m.{m} as {m}" for m in measures]).groupBy(*series, "e").agg(*_merge(measures))
+
+
 def _to_ticks(windows: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
     """Window ends to ticks.  With rounding, all ticks of one unit read the same window."""
     ends = windows.join(plan, "rid").withColumn("end_us", F.expr("e * g"))
@@ -389,18 +423,9 @@ def bucket_values(
     plan = plan_frame(events.sparkSession, rules, first_us, last_us)
     widths = [parse_micros(r.search.window) // pane_micros(r) for r in rules]
     panes = pane_counts(events, rules, ts_col, keyed=True)
-    if set(widths) != {1}:
-        # complete only the blocks that hold rows: work follows the data, not the time range
-        k = _per_rule(widths)
-        blocks = panes.select("rid", "bucket", floor_div(F.col("p"), k).alias("b")).distinct()
-        filler = blocks.select(
-            "rid",
-            "bucket",
-            F.explode(F.sequence(F.col("b") * k, F.col("b") * k + k - 1)).alias("p"),
-            *_zero_measures(measures),
-        )
-        panes = panes.unionByName(filler)
-    windows = slide(panes, ["rid", "bucket"], widths, measures).where(F.col("hits") > 0)
+    # windows end where ticks read them: at each tick, or with rounding at each unit
+    aligns = [(ROUND_MICROS[r.search.round] if r.search.round else parse_micros(r.check_interval)) // pane_micros(r) for r in rules]
+    windows = sparse_windows(panes, ["rid", "bucket"], _per_rule(widths), _per_rule(aligns), measures).where(F.col("hits") > 0)
     part = F.col("part") if "part" in measures else F.lit(0).cast("bigint")
     return _to_ticks(windows, plan, ["bucket", *measures]).select(
         "namespace",

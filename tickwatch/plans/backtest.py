@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch.functions.text import number_text
-from tickwatch.model import BUCKET_CAP, OK, Rule, rules_frame
+from tickwatch.model import ALERTMANAGER, BUCKET_CAP, OK, Rule, rules_frame
 from tickwatch.operators import metrics, notify, quality, search, series, state
 from tickwatch.sources.sinks import materialize
 
@@ -153,6 +153,16 @@ class Backtest:
         }
         return notify.validate(notify.alertmanager_payload(rows, variables))
 
+    def messages(self, period_us: Column | None = None) -> DataFrame:
+        """Deliveries of the rules that send their own text, rendered and checked by their actions' validators.  Every
+        text is taken apart once, with its rule, so a thousand texts are one plan."""
+        d = self.catalog.where((F.coalesce("action.mode", F.lit("")) != ALERTMANAGER) & F.col("action.data").isNotNull()).select(
+            "namespace", F.col("name").alias("rule"), F.coalesce("description", F.lit("")).alias("description"), "condition.operator", "condition.threshold",
+            notify.message_parts(F.col("action.data")).alias("parts"),
+        )
+        rows = self.deliveries(period_us).join(d, ["namespace", "rule"])
+        return notify.validate(notify.raw_messages(rows)).drop("parts", "description", "operator", "threshold")
+
     def listing(self) -> DataFrame:
         return quality.listing(state.latest(self.states.select("namespace", "rule", "tick", "state", "firing_time")), self.catalog)
 

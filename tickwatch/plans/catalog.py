@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from tickwatch.functions.durations import parse_micros
 from tickwatch.functions.timegrid import ROUND_MICROS, micros
-from tickwatch.model import OK, OPERATORS, Rule, Search, local_frame, resolve_rules, rules_frame, rules_from_frame
+from tickwatch.model import METRICS, OK, OPERATORS, PICKS, Rule, Search, local_frame, resolve_rules, rules_frame, rules_from_frame
 from tickwatch.operators import quality, search
 from tickwatch.plans.backtest import Backtest
 from tickwatch.sources.logs import open_row, registry
 
 OUTCOME_DDL = "namespace string, rule string, outcome string, detail string"
-METRICS = ("count", "avg", "sum", "min", "max", "pct")
-PICKS = ("top", "max_bucket", "min_bucket")
 
 
 def by_log(rules: list[Rule]) -> dict[tuple[str, str, str], list[Rule]]:

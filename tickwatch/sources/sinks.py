@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def shared_dir(spark: SparkSession) -> str | None:
@@ -48,6 +50,38 @@ def append(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.format(fmt).mode("append").save(path)
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int, ts_col: str | None = "tick") -> None:
+    """Write one batch of a stream exactly once, for ``foreachBatch``.
+
+    The batch's rows lie in a folder of its own, by day; a commit, written last, publishes all of them at once.  A batch
+    that is replayed, because the run ended between its rows and its commit or after both, replaces itself.  Batch numbers
+    are those of one query's checkpoint: another query writes to another path.
+    """
+    rows = rows.withColumn("day", F.to_date(ts_col)) if ts_col else rows
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy("day") if ts_col else writer).parquet(f"{path}/rows/batch_id={batch_id}")
+    done = rows.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"))
+    done.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch_id={batch_id}")
+
+
+def read_committed(spark: SparkSession, path: str, schema: str, ts_col: str | None = "tick") -> DataFrame:
+    """The rows of all committed batches; ``schema`` is that of the rows.  Without any commit there are none."""
+    try:
+        commits = spark.read.parquet(f"{path}/commits").select("batch").distinct()
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    kept = f"{schema}, batch_id bigint" + (", day date" if ts_col else "")
+    rows = spark.read.schema(kept).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    # the commits are one small row per batch
+    return rows.join(commits, rows["batch_id"] == commits["batch"], "left_semi").drop("batch_id", "day")
+
+
+def stream_batches(rows: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = "30 seconds", ts_col: str | None = "tick") -> StreamingQuery:
+    """Write a stream by :func:`write_batch`."""
+    writer = rows.writeStream.foreachBatch(lambda df, batch_id: write_batch(df, path, batch_id, ts_col)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def materialize(rows: DataFrame, name: str) -> DataFrame:
     """Write rows to a table in the shared folder and read them back.
 

@@ -30,6 +30,7 @@ from tickwatch.functions.text import number_text
 from tickwatch.functions.timegrid import ROUND_MICROS, micros, require_utc
 from tickwatch.model import ALERTMANAGER, OPERATORS, Rule, rules_frame
 from tickwatch.operators import notify
+from tickwatch.operators.responses import response_ticks
 from tickwatch.operators.search import attempts, pane_micros
 from tickwatch.sources.sinks import run_dir
 from tickwatch.streaming import processor
@@ -187,6 +188,27 @@ def live_routes(rules: list[Rule], actions: DataFrame | None) -> dict[tuple[str,
     return {(r.namespace, r.name): sorted((a["namespace"], a["period"]) for a in known if r.action and a["name"] == r.action.get("name")) for r in rules}
 
 
+def response_states(responses: DataFrame, rules: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """States from a stream of stored responses (``namespace, rule, tick, status_code, body``).
+
+    The answer of each response is read by the same expressions as in a batch; a response that fails changes nothing, and
+    one whose tick is not after the last evaluated one comes too late.
+    """
+    require_utc(responses.sparkSession)
+    require_state_store(responses.sparkSession)
+    found = response_ticks(responses, rules, sources)
+    d = rules.select("namespace", F.col("name").alias("rule"), "condition.operator", "threshold_value")
+    spec = F.to_json(F.struct("operator", F.col("threshold_value").alias("threshold"), "for_us", F.lit(1).alias("shards")))
+    at, none = micros(F.col("tick")), F.lit(None)
+    ticks = found.join(d, ["namespace", "rule"]).select(
+        "namespace", "rule", F.lit(0).cast("bigint").alias("life"), F.lit(0).alias("shard"), at.alias("at_us"), at.alias("tick"), F.lit(False).alias("gone"),
+        F.lit(0).cast("bigint").alias("hits"), F.col("firing").isNull().cast("bigint").alias("errors"), F.col("value").alias("own"),
+        none.cast("string").alias("bucket"), none.cast("bigint").alias("doc_count"), none.cast("double").alias("value"), spec.alias("spec"),
+    )
+    rows = ticks.groupBy("namespace", "rule", "life").transformWithStateInPandas(processor.RuleProcessor({}), processor.OUTPUT, outputMode="Append", timeMode="None")
+    return rows.select(*[c for c in _STATES if c != "hits"])
+
+
 _STATES = ["namespace", "rule", "tick", "hits", "value", "firing", "state", "firing_time", "resolving_time", "alert_tick", "alert_value"]
 
 

@@ -324,10 +324,12 @@ class RuleProcessor(StatefulProcessor):
             state = dict(zip(names, self.rule.get()))
         out: list[dict] = []
         for tick, (spec, w) in sorted(self._whole(rows).items()):
+            if state["tick"] is not None and tick <= state["tick"]:
+                continue  # comes too late
             self._due(key, state, tick - 1, out)
             if w["errors"]:
                 continue  # a failed tick changes nothing
-            value = w["value"] if spec["pick"] else w["own"]
+            value = w["value"] if spec.get("pick") else w["own"]
             value = 0.0 if value is None else value
             firing = compare(value, spec["operator"], spec["threshold"])
             was = state["alert_us"] is not None
