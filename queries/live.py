@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from queries import register
 from queries.common import FIRING_SQL, RULES, RULES_SQL, STATE_SQL, actions, grid_sql, machine_sql, table
+from tickwatch.functions.timegrid import time_bounds
 from tickwatch.model import Rule, Search, local_frame, rules_frame
 from tickwatch.operators import search
 from tickwatch.sources import sinks
 from tickwatch.sources.logs import stream
 from tickwatch.sources.sinks import run_dir
 from tickwatch.streaming.live import VERSION_DDL, drain, live_outbox, live_states, response_states
+from tickwatch.streaming.restate import on_grid, restated, tick_changes
 
 _SLICES = 3
 
@@ -274,3 +276,33 @@ def stream_response_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies.repartition(1).write.parquet(path)
     rows = response_states(stream(spark, path, bodies.schema), rules_frame(spark, _ASKED))
     return drain(rows, "response-states")
+
+
+_LATE = [
+    Rule("ops", "late", Search(filter="event_type = 'error'", window="60m"), check_interval="30m"),
+    Rule("shop", "slow", Search(filter="value > 50", window="9h"), check_interval="4h"),
+]
+
+
+@register(
+    "stream_restated_ticks",
+    "WITH" + grid_sql(30) + "," + grid_sql(240, "wide") + """,
+    e AS (SELECT *, ts + to_minutes(event_id % 97) AS ingest_ts FROM events)
+    SELECT 'ops' AS namespace, 'late' AS rule, g.tick, count(e.event_id) AS hits FROM grid g LEFT JOIN e
+      ON event_type = 'error' AND e.ts >= g.tick - INTERVAL 60 MINUTE AND e.ts < g.tick AND e.ingest_ts <= g.tick GROUP BY g.tick
+    UNION ALL SELECT 'shop', 'slow', g.tick, count(e.event_id) FROM wide g LEFT JOIN e
+      ON value > 50 AND e.ts >= g.tick - INTERVAL 9 HOUR AND e.ts < g.tick AND e.ingest_ts <= g.tick GROUP BY g.tick""",
+)
+def stream_restated_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come in any order: each batch restates ticks told before, and the changes applied by key are the counts."""
+    events = table(spark, sf_dir, "events").withColumn("ingest_ts", F.expr("ts + make_dt_interval(0, 0, cast(event_id % 97 as int), 0)"))
+    path = run_dir(spark, "late")
+    for part in (2, 0, 1):
+        # every part spans the whole time
+        events.where(F.pmod("event_id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
+    changes = tick_changes(stream(spark, path, events.schema, maxFilesPerTrigger=1), _LATE)
+    base = run_dir(spark, "changes")
+    sinks.stream_batches(changes, f"{base}/table", f"{base}/checkpoint", once=True).awaitTermination()
+    told = sinks.read_committed(spark, f"{base}/table", ", ".join(f"{n} {t}" for n, t in changes.dtypes))
+    first, last = time_bounds(events, "ts")
+    return on_grid(restated(told), _LATE, first, last).select("namespace", "rule", "tick", "hits")
