@@ -152,6 +152,37 @@ def catalog_runtime_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("hits", "n_firing")})
 
 
+def _metric(name: str, label: str) -> list[dict]:
+    return [{"name": name, "aggregation_map": "by_key.buckets", "value": "doc_count", "labels": [{"name": label, "value": "key"}]}]
+
+
+_DAILY = dict(threshold="1000000", for_="0s", check_interval="24h")
+_TWO_LOGS = [
+    Rule("ops", "kinds", Search(window="24h", group_by="event_type", pick="top"), source=("events", ""), index="events", custom_metrics=_metric("rows_by", "kind"), **_DAILY),
+    # the same metric with other labels, in another log: it gives way
+    Rule("shop", "statuses", Search(window="24h", group_by="o_orderstatus", pick="top"), source=("orders", ""), index="orders", custom_metrics=_metric("rows_by", "status"), **_DAILY),
+    Rule("shop", "priorities", Search(window="24h", group_by="o_orderpriority", pick="top"), source=("orders", ""), index="orders", custom_metrics=_metric("orders_by", "priority"), **_DAILY),
+]
+
+
+@register(
+    "catalog_samples",
+    """
+    SELECT date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS tick, 'searchrule_rows_by' AS metric, 'kinds' AS rule, event_type AS label, count(*)::DOUBLE AS value
+    FROM events GROUP BY 1, 4
+    UNION ALL SELECT o_orderdate::TIMESTAMP + INTERVAL 1 DAY, 'searchrule_orders_by', 'priorities', o_orderpriority, count(*)::DOUBLE FROM orders GROUP BY 1, 4""",
+)
+def catalog_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Custom samples of a catalog over two logs; which labels a metric has is settled across both."""
+    rules = local_frame(spark, [r.row() for r in _TWO_LOGS], RULE_DDL)
+    names = [c.split()[0] for c in SOURCE_DDL.split(", ")]
+    known = [("", "events", sf_dir, "parquet", "ts", True), ("", "orders", sf_dir, "parquet", "o_orderdate", True)]
+    plan = plan_catalog(spark, rules, local_frame(spark, [dict(zip(names, s)) for s in known], SOURCE_DDL))
+    rows = plan.samples().where("metric in ('searchrule_rows_by', 'searchrule_orders_by')")
+    label = F.coalesce(F.col("labels")["kind"], F.col("labels")["status"], F.col("labels")["priority"])
+    return rows.select("tick", "metric", F.col("labels")["rule"].alias("rule"), label.alias("label"), "value")
+
+
 @register(
     "unresolved_sources",
     """

@@ -266,3 +266,37 @@ def test_catalog_outlives_every_rule(spark, tmp_path):
     assert status["fine", "State"]["reason"] == "AlertFiring" and status["fine", "ResourceSynced"]["status"]
     assert status["late", "State"]["reason"] == "QueryError" and not status["late", "ResourceSynced"]["status"]
     assert status["late", "State"]["message"].endswith("filter fails on 10 rows")
+
+
+def test_catalog_end_to_end(spark, tmp_path):
+    """Every table of a catalog over two logs, in one run and in two."""
+    rows = [(T0 + timedelta(minutes=i), "abc"[i % 3]) for i in range(120)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, k string").write.parquet(str(tmp_path / "one.parquet"))
+    spark.createDataFrame([r for r in rows if r[1] != "a" or r[0] < T0 + timedelta(hours=1)], "ts timestamp_ntz, k string").write.parquet(str(tmp_path / "two.parquet"))
+    sources = spark.createDataFrame([("", "main", str(tmp_path), None, "ts", True)], model.SOURCE_DDL)
+    actions = spark.createDataFrame([("", "pager", "20m", "alertmanager"), ("", "mail", "30m", None)], model.ACTION_DDL)
+
+    def rule(name, index, labels, action, path="by_key.buckets"):
+        metrics_ = [{"name": "hits", "aggregation_map": path, "labels": [{"name": x, "value": "key"} for x in labels]}]
+        return Rule("n", name, Search(window="20m", group_by="k", pick="top"), threshold="3", for_="0s", check_interval="20m", index=index, source=("main", ""), action=action,
+                    custom_metrics=metrics_, series_alert={"enabled": True, "metric_name": "hits"})
+
+    asked = [
+        rule("a", "one", ["kind"], {"name": "pager", "mode": "alertmanager", "labels": {"x": "{{ value }}"}}),
+        rule("b", "two", ["kind"], {"name": "mail", "mode": "raw", "data": "{{ rule }}={{ value }}"}),
+        rule("c", "two", ["other"], {"name": "mail", "mode": "raw", "data": "{{ rule }}"}),
+        rule("d", "two", ["kind"], {"name": "mail", "mode": "raw", "data": "d"}, path="nowhere.buckets"),
+    ]
+    plan = plan_catalog(spark, rules_frame(spark, asked), sources, actions, start="2024-01-01 00:00:00", end="2024-01-01 02:00:00")
+    assert [(r["rule"], r["owner_rule"]) for r in plan.label_conflicts().collect()] == [("c", "a")]
+    custom = plan.samples().where("metric = 'searchrule_hits'").collect()
+    assert {r["labels"]["rule"] for r in custom} == {"a", "b"} and len([r for r in custom if r["labels"]["rule"] == "a"]) == 18
+    assert {(r["rule"], r["reason"]) for r in plan.missing_samples().collect()} == {("d", model.NO_PATH)}
+    stale = plan.stale_series().where("metric = 'searchrule_hits'").collect()
+    assert [(r["tick"], r["labels"]["kind"], r["labels"]["rule"]) for r in stale] == [(T0 + timedelta(minutes=80), "a", "b")]
+    assert [(r["metric"], r["registered_at"], r["dropped_at"]) for r in plan.metric_lives().collect()] == [("searchrule_hits", T0 + timedelta(minutes=20), None)]
+    assert {r["payload"] for r in plan.messages().where("rule = 'b'").collect()} == {"b=7"} and plan.payloads().where("valid").count() == 6
+    assert plan.firing_log().count() == 24 and plan.series_alerts().count() > 0
+    first = plan_catalog(spark, rules_frame(spark, asked), sources, actions, start="2024-01-01 00:00:00", end="2024-01-01 01:00:00")
+    both = first.states.unionByName(first.after("2024-01-01 02:00:00").states)
+    assert sorted(map(str, both.select(*plan.states.columns).collect())) == sorted(map(str, plan.states.collect()))

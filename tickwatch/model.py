@@ -250,15 +250,14 @@ def resolve_rules(rules: DataFrame) -> DataFrame:
 def rules_from_frame(rules: DataFrame) -> list[Rule]:
     """Catalog rows that can be evaluated, as Python values for planning searches.
 
-    A catalog is configuration written by people; only the fields that shape a search come
-    to the driver.  Rows that cannot be planned are left out: the lint report and
+    A catalog is configuration written by people; what shapes a plan comes to the driver.  Rows that cannot be planned are left out: the lint report and
     :func:`tickwatch.plans.catalog.plan_catalog` name them.
     """
     usable = rules.where(
         "search is not null and check_us > 0 and for_us is not null and threshold_value is not null"
     )
     rows = usable.select(
-        "namespace", "name", "search", "condition", "check_interval", "index", "source"
+        "namespace", "name", "search", "condition", "check_interval", "index", "source", "action", "custom_metrics", "series_alert"
     ).toLocalIterator()
     return [
         Rule(
@@ -271,6 +270,9 @@ def rules_from_frame(rules: DataFrame) -> list[Rule]:
             check_interval=r["check_interval"],
             index=r["index"],
             source=(r["source"]["name"], r["source"]["namespace"] or ""),
+            action=r["action"] and r["action"].asDict(),
+            custom_metrics=[m.asDict(recursive=True) for m in r["custom_metrics"] or []],
+            series_alert=r["series_alert"] and r["series_alert"].asDict(),
         )
         for r in rows
     ]

@@ -36,6 +36,12 @@ class Backtest:
     seed: DataFrame | None = None
     open_alerts: DataFrame | None = None
     rule_rows: DataFrame | None = None
+    #: the custom metrics that are accepted, where rules of other logs take part in the decision
+    metric_rows: DataFrame | None = None
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return metrics.accepted_metrics(self.catalog) if self.metric_rows is None else self.metric_rows
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -113,12 +119,19 @@ class Backtest:
         basic = metrics.basic_samples(self.rule_states)
         if not any(r.custom_metrics for r in self.rules):
             return basic
-        custom = metrics.custom_samples(self.trees(size, agg), metrics.accepted_metrics(self.catalog))
+        custom = metrics.custom_samples(self.trees(size, agg), self.accepted)
         return basic.unionByName(custom)
 
+    def missing_samples(self, agg: str = "by_key") -> DataFrame:
+        """Why a declared metric has no samples at a tick."""
+        return metrics.missing_maps(self.trees(agg=agg), self.accepted)
+
+    def firing_log(self) -> DataFrame:
+        return state.firing_events(self.rule_states, self.catalog)
+
     def truncations(self, agg: str = "by_key") -> DataFrame:
         """Running number of ticks at which a custom metric went over the bucket cap."""
-        found = metrics.bucket_samples(self.trees(agg=agg), metrics.accepted_metrics(self.catalog))
+        found = metrics.bucket_samples(self.trees(agg=agg), self.accepted)
         return metrics.truncation_counter(found, ["namespace", "rule", "metric"])
 
     def series_alerts(self, refresh_us: int | None = None, size: int = BUCKET_CAP + 1, agg: str = "by_key") -> DataFrame:
@@ -129,7 +142,7 @@ class Backtest:
         if any(not r.custom_metrics for r in asked):
             parts.append(metrics.value_samples(self.good_ticks))
         if any(r.custom_metrics for r in asked):
-            parts.append(metrics.custom_samples(self.trees(size, agg), metrics.accepted_metrics(self.catalog)))
+            parts.append(metrics.custom_samples(self.trees(size, agg), self.accepted))
         rows = materialize(reduce(DataFrame.unionByName, parts), "samples")
         return series.series_alerts(rows, series.series_rules(self.catalog), refresh_us)
 

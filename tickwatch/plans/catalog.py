@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickwatch.functions.durations import parse_micros
 from tickwatch.functions.timegrid import ROUND_MICROS, micros
 from tickwatch.model import METRICS, OK, OPERATORS, PICKS, Rule, Search, local_frame, resolve_rules, rules_frame, rules_from_frame
-from tickwatch.operators import quality, search
+from tickwatch.operators import metrics, quality, search
 from tickwatch.plans.backtest import Backtest
 from tickwatch.sources.logs import open_row, registry
 
@@ -78,11 +78,17 @@ class Catalog:
 
     runs: list[Backtest] = field(default_factory=list)
     outcomes: DataFrame | None = None
+    rules: DataFrame | None = None
 
-    def _all(self, name: str) -> DataFrame | None:
-        parts = [getattr(r, name) for r in self.runs]
+    def _all(self, name: str, runs: list[Backtest] | None = None) -> DataFrame | None:
+        """A table of every run, together; None if there is no run to ask."""
+        parts = [getattr(r, name) for r in (self.runs if runs is None else runs)]
+        parts = [p() if callable(p) else p for p in parts]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
+    def _with(self, test) -> list[Backtest]:
+        return [r for r in self.runs if any(test(x) for x in r.rules)]
+
     @property
     def ticks(self) -> DataFrame | None:
         return self._all("ticks")
@@ -95,9 +101,52 @@ class Catalog:
     def alerts(self) -> DataFrame | None:
         return self._all("alerts")
 
+    @property
+    def transitions(self) -> DataFrame | None:
+        return self._all("transitions")
+
     def deliveries(self) -> DataFrame | None:
-        parts = [r.deliveries() for r in self.runs if r.actions is not None]
-        return reduce(DataFrame.unionByName, parts) if parts else None
+        return self._all("deliveries", [r for r in self.runs if r.actions is not None])
+
+    def payloads(self) -> DataFrame | None:
+        return self._all("payloads", [r for r in self.runs if r.actions is not None])
+
+    def messages(self) -> DataFrame | None:
+        return self._all("messages", [r for r in self.runs if r.actions is not None])
+
+    def firing_log(self) -> DataFrame | None:
+        return self._all("firing_log")
+
+    def samples(self) -> DataFrame | None:
+        """Samples of all rules.  The labels of a metric are those of its first declarer, whatever log that reads."""
+        return self._all("samples")
+
+    def series_alerts(self) -> DataFrame | None:
+        return self._all("series_alerts", self._with(lambda r: r.series_alert and r.series_alert.get("enabled")))
+
+    def label_conflicts(self) -> DataFrame:
+        """Declarations that give way to another rule's labels of the same metric."""
+        return metrics.label_conflicts(metrics.declared_metrics(self.rules))
+
+    def missing_samples(self) -> DataFrame | None:
+        return self._all("missing_samples", self._with(lambda r: r.custom_metrics))
+
+    def stale_series(self) -> DataFrame | None:
+        """Series that one refresh has and the next has not: to be deleted then."""
+        samples = self.samples()
+        return None if samples is None else metrics.stale_series(samples, self.ticks.select("tick"))
+
+    def metric_lives(self) -> DataFrame | None:
+        """When each declared metric is registered and dropped."""
+        if not self.runs:
+            return None
+        declared = metrics.declared_metrics(self.rules).where("name_ok").select("namespace", "rule", "metric")
+        ticks = self.ticks.select("namespace", "rule", "tick")
+        return metrics.metric_lifecycle(ticks.join(declared, ["namespace", "rule"]).select("tick", "metric"), ticks.select("tick"))
+
+    def after(self, end=None) -> Catalog:
+        """The same catalog up to ``end``, each run going on from its last rows."""
+        return replace(self, runs=[r.after(end) for r in self.runs])
 
     def status(self) -> DataFrame:
         """Latest conditions of all rules; a rule that cannot be evaluated has those of its failure, without a time."""
@@ -164,12 +213,16 @@ def plan_catalog(spark: SparkSession, rules: DataFrame, sources: DataFrame, acti
             good[r["namespace"], r["name"]] = rule
         outcomes.append((r["namespace"], r["name"], *found))
     runs = []
+    names = rules_frame(spark, list(good.values())).select("namespace", "name")
+    kept = rules.join(names, ["namespace", "name"])
+    accepted = metrics.accepted_metrics(kept)
     for key, group in by_log(list(good.values())).items():
         names = rules_frame(spark, group).select("namespace", "name")
         # the whole catalog rows, with their actions and metrics
-        runs.append(Backtest(logs[key], group, actions, "ts", start, end, rule_rows=rules.join(names, ["namespace", "name"])))
+        rows = rules.join(names, ["namespace", "name"])
+        runs.append(Backtest(logs[key], group, actions, "ts", start, end, rule_rows=rows, metric_rows=accepted))
     table = local_frame(spark, [dict(zip(("namespace", "rule", "outcome", "detail"), o)) for o in outcomes], OUTCOME_DDL)
-    return Catalog(runs, table)
+    return Catalog(runs, table, kept)
 
 
 def catalog_ticks(spark: SparkSession, rules: DataFrame, sources: DataFrame, start=None, end=None) -> DataFrame | None:
