@@ -53,6 +53,16 @@ def test_word_ids_are_the_library_s(spark, word_library):
         assert ids.tolist() == want and decoded == word_library.decode(want, skip_special_tokens=False), text
 
 
+def test_characters_of_newer_tables(word_library):
+    """Characters that Python's tables do not know, and a sample of all others."""
+    r = random.Random(12)
+    codes = [0x1C89, 0x105D0, 0x10D52, 0x13460, 0x2FFFF, *r.sample([c for c in range(0x20, 0x33500) if not 0xD800 <= c < 0xE000], 8000)]
+    texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in codes]
+    got = speculative_bpe.codec(WORD).round_trip(texts)
+    library = word_library.encode_batch(texts, add_special_tokens=False)
+    assert [c for c, (ids, _), e in zip(codes, got, library) if list(ids) != e.ids] == []
+
+
 def test_merges_alike_for_short_and_long_words():
     own = speculative_bpe.codec(WORD)
     for text in noise(3, 60):

@@ -20,7 +20,6 @@ import hashlib
 import heapq
 import json
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -37,8 +36,9 @@ END = "</w>"
 MARK = ""
 #: The vocabulary's word pattern for texts without the characters of ODD.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Numbers that are no digits, and separators that not every pattern library takes for white space.
-ODD = {chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")} | set("\x1c\x1d\x1e\x1f\x85\u180e")
+#: Numbers that are no digits, separators that not every pattern library takes for white space, and characters that this
+#: Python does not know in the planes that have characters: the library may know them.
+ODD = {c for c in map(chr, [*range(4 << 16), *range(14 << 16, 15 << 16)]) if unicodedata.category(c) in ("No", "Nl", "Cn")} | set("\x1c\x1d\x1e\x1f\x85\u180e")
 ODD_LATIN = re.compile("[" + "".join(c for c in sorted(ODD) if c < "\u0100") + "]")
 #: Words and pairs kept per process. A full table starts anew, which changes no result.
 MAX_WORDS = 800_000
