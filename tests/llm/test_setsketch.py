@@ -115,3 +115,30 @@ def test_one_id_with_several_texts(documents):
     assert left == [(3, a + " tail"), (5, b), (9, "a third text of its own")]
     rows = [(i % 40, t) for i, t in near_copies(4, 120, 12, 4)]
     assert got(setsketch.near_duplicates(documents(rows))) == expected(rows)
+
+
+def test_crowded_bucket_under_the_threshold(documents, monkeypatch):
+    """Variants of one text that are like each other, but less than the threshold: they share buckets, and no pair becomes a row."""
+    monkeypatch.setattr(setsketch, "BLOCK", 32)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in r.sample(range(0, 400, 5), 26):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, t + " more") for i, t in rows[::50]]
+    met = []
+    real = setsketch.sized
+    monkeypatch.setattr(setsketch, "sized", lambda df, name, **k: met.append((name, real(df, name, **k))) or met[-1][1])
+    assert got(setsketch.near_duplicates(documents(rows))) == expected(rows)
+    assert sum(df.count() for name, df in met if name == "likely") < 0.1 * len(rows) ** 2 / 2
+
+
+def test_blocks_find_what_pairs_find(documents, monkeypatch):
+    for block, pairs in ((1, 1), (3, 50)):
+        monkeypatch.setattr(setsketch, "BLOCK", block)
+        monkeypatch.setattr(setsketch, "PAIRS", pairs)
+        rows = near_copies(7, 80, 2, 14)
+        assert got(setsketch.near_duplicates(documents(rows))) == expected(rows), block

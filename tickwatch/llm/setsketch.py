@@ -14,9 +14,10 @@ errors under the threshold are dropped; (4) the rest is confirmed on the full se
 Buckets never emit all their pairs. A class that meets many others over all its buckets is likely their origin: the one that
 meets most is the bucket's head. First every class meets the head of the bucket it shares most often. Linked classes
 form components, and from then on only buckets that hold several components matter: there, the head of the
-bucket's largest component meets all outside it; then members outside it ("pivots"), 4 of a bucket, then 64, then 1024
-and so on, meet the members of other components, until no bucket has an unmet pair across components. So no link that a
-band has revealed is lost, and a bucket of n alike documents costs n pairs. With the parameters here a pair at
+bucket's largest component meets all outside it. Then members outside it meet all members of other components in blocks of bounded
+size: a block's members travel with their registers and are compared within a task, each pair in the first band that it shares, and
+only pairs that are likely become rows. Of these the more probable ones are confirmed first, then those still between components. So
+no link that a band has revealed is lost, and a bucket of n alike documents costs n pairs. With the parameters here a pair at
 the threshold shares no band, or is dropped by its estimate, with a probability below 1e-6.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; a row without doc_id counts its
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwatch.llm.common import U, Sequences, chunks, hashed_words, materialise, mix, sized
@@ -47,6 +48,8 @@ TOP = (1 << 16) - 1
 SLACK = 5.0
 #: Bytes of text that are compared at once.
 COMPARED = 1 << 21
+#: Members of a bucket that meet as many others in one task, and pairs of them that are compared at once.
+BLOCK, PAIRS = 256, 1 << 13
 SKETCH = "doc_id long, thash long, n_shingles long, f1 long, f2 long, registers binary"
 
 
@@ -140,10 +143,15 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.take_along_axis(grid, like.argmax(axis=1)[:, None], 1)[:, 0]
 
 
+def lowest(threshold: int) -> float:
+    """The estimate that a pair at the threshold does not fall under."""
+    level = threshold / 100
+    return level - SLACK * math.sqrt(level * (1 - level) / REGISTERS)
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes that may reach the threshold by their sizes and registers."""
-    level = threshold / 100
-    floor = level - SLACK * math.sqrt(level * (1 - level) / REGISTERS)
+    floor = lowest(threshold)
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,6 +195,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
 
 
+def bucket_of(values: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """The bucket of four registers, as 64 bits, of a band."""
+    return mix(values + (band + 1).astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def banded(nodes: DataFrame) -> DataFrame:
     """(bucket, id) for every band of every class."""
 
@@ -195,8 +208,8 @@ def banded(nodes: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 2048):
                 p = batch.iloc[at : at + 2048]
                 values = np.frombuffer(b"".join(p["registers"]), "<u8").reshape(len(p), BANDS)  # four registers are 64 bits
-                keys = mix(values + np.arange(1, BANDS + 1, dtype=U)[None, :] * U(0x9E3779B97F4A7C15))
-                yield pd.DataFrame({"bucket": keys.view(np.int64).ravel(), "id": np.repeat(p["id"].to_numpy(), BANDS)})
+                keys = bucket_of(values, np.arange(BANDS)[None, :])
+                yield pd.DataFrame({"bucket": keys.ravel(), "id": np.repeat(p["id"].to_numpy(), BANDS)})
 
     return nodes.select("id", "registers").mapInPandas(run, "bucket long, id long")
 
@@ -263,36 +276,104 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
     meets = meets.groupBy("id").agg(F.max_by("head", F.struct("often", "head_degree", "head")).alias("head"))
     pairs = ordered(meets, "id", "head")
 
-    links = spark.createDataFrame([], "a long, b long")
-    tried = met = links
-    state, labels, most = rows, None, 0
-    while not state.isEmpty():
-        pairs = sized(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = tried = spark.createDataFrame([], "a long, b long")
+    state, labels = rows, None
+    for _ in range(2):  # heads of buckets, then hubs of components
         near = sized(likely(pairs, nodes, threshold), "likely")
-        fresh = sized(confirmed(near, texts, threshold), "links")
-        tried = sized(tried.union(pairs), "tried")
-        if labels is None or not fresh.isEmpty():
-            links = links.union(fresh)
-            labels = components(links)
-            # only buckets with several components are still open
-            state = state.select("bucket", "id", "degree").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), best)
-            main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component", "best")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-            main = main.select("bucket", F.col("main.component").alias("main"), (-F.col("main.best.first")).alias("hub"))
-            state = sized(state.join(main, "bucket"), "open")
-        outside = state.where("component != main")
-        if most == 0:
-            pairs, most = ordered(outside, "id", "hub"), 4
-            continue
-        pivots = outside.join(met, (outside["bucket"] == met["a"]) & (outside["id"] == met["b"]), "left_anti")
-        pivots = pivots.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("slot")).agg(F.max(F.struct("degree", "id", "component")).alias("p"))
-        pivots = sized(pivots.select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
-        if pivots.isEmpty():
-            break
-        met = sized(met.union(pivots.select("bucket", "pivot")), "met")
-        pairs = ordered(state.join(pivots, "bucket").where("component != pivot_component"), "id", "pivot")
-        most *= 16
-    return links, components(links) if labels is None else labels
+        links = links.union(sized(confirmed(near, texts, threshold), "links"))
+        tried = tried.union(near)
+        labels = components(links)
+        state = opened(state, labels)
+        pairs = ordered(state.where("component != main"), "id", "hub").join(tried, ["a", "b"], "left_anti")
+    near = sized(across(state, nodes, threshold).join(tried, ["a", "b"], "left_anti"), "likely")
+    # what is probably linked first, for then much of the rest lies within components
+    links = links.union(sized(confirmed(near.where(F.col("estimate") >= threshold / 100), texts, threshold), "links"))
+    labels = components(links)
+    rest = near.where(F.col("estimate") < threshold / 100).select("a", "b")
+    for end in ("a", "b"):
+        rest = rest.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links = links.union(sized(confirmed(rest, texts, threshold), "links"))
+    return links, components(links)
+
+
+def opened(state: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with the bucket's largest component and that one's hub."""
+    best = F.max(F.struct("degree", (-F.col("id")).alias("first"))).alias("best")
+    state = state.select("bucket", "id", "degree").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("size"), best)
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component", "best")).alias("main"), F.count("*").alias("kinds"), F.sum("size").alias("members")).where("kinds > 1")
+    main = main.select("bucket", F.col("main.component").alias("main"), (-F.col("main.best.first")).alias("hub"), "members", (F.col("members") - F.col("main.size")).alias("outsiders"))
+    return sized(state.join(main, "bucket"), "open")
+
+
+def across(state: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, estimate) of all classes of different components that share an open bucket and may reach the threshold.
+
+    Those outside a bucket's main component ("left") meet all its members ("right") in blocks of about BLOCK by BLOCK; a block's members
+    travel with their registers and are compared where they arrive, so that only likely pairs become rows. A pair of several buckets
+    counts in the first band that it shares.
+    """
+    floor, at_once = lowest(threshold), PAIRS
+    lefts, rights = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("outsiders", "members"))
+    outside = F.col("component") != F.col("main")
+    left, right = F.pmod(F.xxhash64("id", F.lit(1)), lefts), F.pmod(F.xxhash64("id", F.lit(2)), rights)
+
+    def place(x: Column, y: Column, is_left: Column, is_right: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"), is_left.alias("is_left"), is_right.alias("is_right"))
+
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0).cast("long")
+    as_left = F.transform(F.sequence(zero, rights - 1), lambda y: place(left, y, yes, no))
+    as_right = F.transform(F.sequence(zero, lefts - 1), lambda x: place(x, right, no, yes))
+    places = F.when(rights == 1, F.array(place(zero, zero, outside, yes))).when(outside, F.concat(as_left, as_right)).otherwise(as_right)
+    rows = state.join(nodes, "id").select("bucket", "id", "component", outside.alias("outside"), "n", "registers", F.explode(places).alias("place"))
+    rows = rows.select("bucket", "place.*", "id", "component", "outside", "n", "registers")
+
+    def compare(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        bucket, group = p["bucket"].to_numpy(), np.cumsum(edges(p)) - 1
+        ids, component, outside, n = (p[c].to_numpy() for c in ("id", "component", "outside", "n"))
+        all_ = np.frombuffer(b"".join(p["registers"]), np.uint16).reshape(len(p), -1)
+        bands = all_.view("<u8")
+        left, right = np.flatnonzero(p["is_left"]), np.flatnonzero(p["is_right"])
+        first, end = np.searchsorted(group[right], group[left]), np.searchsorted(group[right], group[left], "right")
+        total = np.concatenate([[0], np.cumsum(end - first)])
+        at = 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + at_once, "right")) - 1)
+            met = end[at:to] - first[at:to]
+            i = np.repeat(left[at:to], met)
+            j = right[np.repeat(first[at:to] - (total[at:to] - total[at]), met) + np.arange(met.sum())]
+            at = to
+            # two outsiders meet twice
+            fine = (component[i] != component[j]) & (~outside[j] | (ids[i] < ids[j])) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+            i, j = i[fine], j[fine]
+            same = bands[i] == bands[j]
+            band = same.argmax(axis=1)
+            fine = same.any(axis=1) & (bucket_of(bands[i, band], band) == bucket[i])
+            i, j = i[fine], j[fine]
+            guess = estimate(all_[i], all_[j], n[i].astype(float), n[j].astype(float))
+            fine = guess >= floor
+            a, b = ids[i[fine]], ids[j[fine]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "estimate": guess[fine]})
+
+    def edges(p: pd.DataFrame) -> np.ndarray:
+        keys = p[["bucket", "x", "y"]].to_numpy()
+        return np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last block may go on in the next batch
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(batch):
+                last = int(np.flatnonzero(edges(batch))[-1])
+                held = batch.iloc[last:]
+                if last:
+                    yield from compare(batch.iloc[:last])
+        if held is not None:
+            yield from compare(held)
+
+    keys = ["bucket", "x", "y"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long, estimate double")
 
 
 def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
