@@ -288,8 +288,7 @@ _LINT_SQL = "WITH r AS (SELECT " + ", ".join(
     UNION ALL SELECT namespace, name, 'check_interval_invalid', check_interval FROM r WHERE k % 6 IN (2, 3, 5)
     UNION ALL SELECT namespace, name, 'query_missing', 'no query' FROM r WHERE k % 11 = 0
     UNION ALL SELECT namespace, name, 'query_twice', 'two queries' FROM r WHERE k % 11 = 1
-    UNION ALL SELECT namespace, name, 'output_missing',
-      'The rule has neither an action nor a series alert; at least one is required' FROM r WHERE k % 4 = 0 AND k % 8 <> 0
+    UNION ALL SELECT namespace, name, 'output_missing', 'no output' FROM r WHERE k % 4 = 0 AND k % 8 <> 0
     UNION ALL SELECT namespace, name, 'too_many_metrics', '11' FROM r WHERE k % 13 = 7
     UNION ALL SELECT namespace, name, 'value_path_unsupported', value_path FROM r WHERE k % 17 = 0 AND k % 11 NOT IN (0, 2)
     UNION ALL SELECT namespace, name, CASE k % 13 WHEN 1 THEN 'metric_name_invalid' WHEN 2 THEN 'metric_name_reserved'
@@ -384,11 +383,11 @@ def rule_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE state WHEN 'Normal' THEN 'Rule is normal' WHEN 'Firing' THEN 'Alert is firing' WHEN 'PendingFiring' THEN 'Pending alert firing'
              ELSE 'Pending alert resolved' END AS message FROM st
       UNION ALL
-      SELECT namespace, rule, 'State', TRUE, tick, 'QueryError', 'Error executing the query' FROM cond WHERE hits % 7 = 3
+      SELECT namespace, rule, 'State', TRUE, tick, 'QueryError', 'query_error' FROM cond WHERE hits % 7 = 3
       UNION ALL
       SELECT namespace, rule, 'ResourceSynced', hits % 7 <> 3, tick,
         CASE WHEN hits % 7 = 3 THEN 'KubernetesApiCallError' ELSE 'TargetSynced' END,
-        CASE WHEN hits % 7 = 3 THEN 'A call failed. More info in logs.' ELSE 'Target was successfully synced' END FROM cond)
+        CASE WHEN hits % 7 = 3 THEN 'query_error' ELSE 'Target was successfully synced' END FROM cond)
     SELECT namespace, rule, type, max(ts) AS ts, arg_max(status, ts) AS status, arg_max(reason, ts) AS reason,
       arg_max(message, ts) AS message
     FROM c WHERE NOT (rule = 'quiet-signups' AND type = 'ResourceSynced') GROUP BY namespace, rule, type""",

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tickwatch import model
-from tickwatch.model import Rule, Search, load_rules, resolve_rules, rules_frame, rules_from_frame
+from tickwatch.model import SOURCE_DDL, Rule, Search, load_rules, local_frame, resolve_rules, rules_frame, rules_from_frame
 from tickwatch.operators import quality, state
 from tickwatch.operators.responses import response_ticks
 from tickwatch.plans.backtest import Backtest
@@ -300,3 +300,18 @@ def test_catalog_end_to_end(spark, tmp_path):
     first = plan_catalog(spark, rules_frame(spark, asked), sources, actions, start="2024-01-01 00:00:00", end="2024-01-01 01:00:00")
     both = first.states.unionByName(first.after("2024-01-01 02:00:00").states)
     assert sorted(map(str, both.select(*plan.states.columns).collect())) == sorted(map(str, plan.states.collect()))
+
+
+def test_status_names_what_is_wrong(spark):
+    """A rule that cannot be planned says in its status which text it fails on."""
+    rules = [
+        Rule("bad", "for", Search(), for_="abc", source=("events", ""), index="events"),
+        Rule("bad", "interval", Search(), check_interval="0s", source=("events", ""), index="events"),
+        Rule("bad", "source", Search(), source=("nowhere", ""), index="events"),
+    ]
+    sources = local_frame(spark, [{"namespace": "", "name": "events", "path": "/nowhere", "format": "parquet", "ts_col": "ts", "has_credentials": True}], SOURCE_DDL)
+    plan = plan_catalog(spark, rules_frame(spark, rules), sources)
+    status = {(r["rule"], r["type"]): (r["reason"], r["message"]) for r in plan.status().collect()}
+    assert status["for", "ResourceSynced"] == (model.SYNC_FAILED, "bad_for: abc")
+    assert status["interval", "ResourceSynced"] == (model.SYNC_FAILED, "bad_interval: 0s")
+    assert status["source", "State"] == ("QueryConnectorNotFound", "source_not_found: nowhere")

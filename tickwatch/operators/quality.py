@@ -66,7 +66,7 @@ def lint(rules: DataFrame) -> DataFrame:
         _violation(~F.coalesce(duration_micros("check_interval") > 0, F.lit(False)), "check_interval_invalid", F.col("check_interval")),
         _violation(~_has_search() & ~_has_text_query(), "query_missing", F.lit("no query")),
         _violation(_has_search() & _has_text_query(), "query_twice", F.lit("two queries")),
-        _violation(~has_output(), "output_missing", F.lit(model.MISSING_OUTPUT[1])),
+        _violation(~has_output(), "output_missing", F.lit("no output")),
         _violation(F.size(paths) > model.MAX_CUSTOM_METRICS, "too_many_metrics", F.size(paths).cast("string")),
         _violation(named.isNotNull() & ~path_is_plain(named), "value_path_unsupported", named),
         *_search_checks(),
@@ -189,24 +189,25 @@ def condition_rows(state_rows: DataFrame) -> DataFrame:
 
 
 def outcome_rows(ticks: DataFrame) -> DataFrame:
-    """Sync conditions of all ticks, and state conditions of the failed ones; a ``detail`` column ends their message."""
+    """Sync conditions of all ticks, and state conditions of the failed ones.
+
+    The message of a failed tick is its outcome, followed by what a ``detail`` column knows of it.
+    """
     failed = F.col("outcome") != model.OK
+    said = F.concat_ws(": ", "outcome", "detail") if "detail" in ticks.columns else F.col("outcome")
     synced = ticks.select(
         "namespace",
         "rule",
         F.lit(model.SYNCED_TYPE).alias("type"),
         (~failed).alias("status"),
-        F.when(failed, model.SYNC_FAILED[0]).otherwise(model.SYNCED[0]).alias("reason"),
-        F.when(failed, model.SYNC_FAILED[1]).otherwise(model.SYNCED[1]).alias("message"),
+        F.when(failed, model.SYNC_FAILED).otherwise(model.SYNCED[0]).alias("reason"),
+        F.when(failed, said).otherwise(model.SYNCED[1]).alias("message"),
         F.col("tick").alias("ts"),
     )
-    reason = model.lookup({k: v[0] for k, v in model.OUTCOME_REASON.items()}, F.col("outcome"))
-    message = model.lookup({k: v[1] for k, v in model.OUTCOME_REASON.items()}, F.col("outcome"))
-    if "detail" in ticks.columns:
-        message = F.concat_ws(": ", message, "detail")
+    reason = model.lookup(model.OUTCOME_REASON, F.col("outcome"))
     state = ticks.where(reason.isNotNull()).select(
         "namespace", "rule", F.lit(model.STATE_TYPE).alias("type"), F.lit(True).alias("status"),
-        reason.alias("reason"), message.alias("message"), F.col("tick").alias("ts"),
+        reason.alias("reason"), said.alias("message"), F.col("tick").alias("ts"),
     )
     return synced.unionByName(state)
 
