@@ -139,3 +139,42 @@ def test_near_meets_its_recall_when_probes_run_out(embeddings, monkeypatch):
 def test_near_repeated_rows_leave_room_for_other_ids(embeddings):
     rows = [(0, [1, 0.1, 0])] + [(1, [1, 0, 0])] * 25 + [(i, [1, 0, 0]) for i in range(2, 8)] + [(8, [0, 1, 0])]
     assert recall(near_search.search(embeddings(rows)), rows) == 1
+
+
+def test_near_with_unequal_norms(embeddings, monkeypatch):
+    """One long vector, many short ones, and lengths over many powers of two."""
+    monkeypatch.setattr(near_search, "CELL", 64)
+    r = np.random.default_rng(6)
+    unit = r.normal(size=(800, 16))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    long_ = unit * np.concatenate([[100.0], np.ones(799)])[:, None]
+    wide = unit * (2.0 ** r.integers(-3, 4, 800))[:, None]
+    for v in (long_, wide):
+        rows = [(i, x.tolist()) for i, x in enumerate(v)]
+        assert recall(near_search.search(embeddings(rows)), rows) >= 0.9
+
+
+def test_near_long_vectors_with_scores_near_zero(embeddings):
+    """Scores far below the rounding of long vectors' products are still told apart."""
+    r = np.random.default_rng(7)
+    rows = [(0, [1e15, 1e15, 1.0])] + [(i, [1e15, -1e15, float(x)]) for i, x in enumerate(r.permutation(60) + 1, 1)]
+    assert recall(near_search.search(embeddings(rows)), rows) == 1
+
+
+def test_near_short_vectors_count_as_padded(embeddings):
+    rows = [(0, [1, 2]), (20, [3]), (1, [0.5, 1, 2]), (2, [1, -1, 0]), (3, [2]), (4, [0, 0, 1])]
+    assert recall(near_search.search(embeddings(rows)), rows) == 1
+
+
+def test_a_hot_cell_is_many_bounded_groups(spark, monkeypatch):
+    """All rows and all queries in one cell: groups stay small, and every query meets every row once."""
+    monkeypatch.setattr(near_search, "CELL", 50)
+    monkeypatch.setattr(near_search, "VISITORS", 40)
+    placed = spark.range(1000).selectExpr("3L as cell", "0L as code", "id as vec_id", "cast('v' as binary) as v").union(spark.sql("select 9L, 0L, 5000L, cast('v' as binary)"))
+    visits = spark.range(300).selectExpr("3L as in_cell", "id as query", "cast('q' as binary) as q", "cast('c' as binary) as codes")
+    rows, visitors = near_search.dealt(placed, visits)
+    split = {(x["split"], x["block"]): x["count"] for x in rows.groupBy("split", "block").count().collect()}
+    block = {(x["in_split"], x["in_block"]): x["count"] for x in visitors.groupBy("in_split", "in_block").count().collect()}
+    assert split.keys() == block.keys() and len(split) == 10 * 8
+    assert max(split.values()) <= 200 and max(block.values()) <= 80
+    assert sum(n * block[at] for at, n in split.items()) == 1000 * 300
