@@ -142,3 +142,36 @@ def test_blocks_find_what_pairs_find(documents, monkeypatch):
         monkeypatch.setattr(setsketch, "PAIRS", pairs)
         rows = near_copies(7, 80, 2, 14)
         assert got(setsketch.near_duplicates(documents(rows))) == expected(rows), block
+
+
+def test_long_sketch_tells_what_the_short_one_does_not(documents, monkeypatch):
+    """700 variants 0.66 to 0.74 alike, some pairs linked: the short sketch lets most pairs through, the longer one few."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(600)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for at in r.sample(range(0, 600, 5), r.choice([10, 11])):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, t + " more") for i, t in rows[::50]]
+    met = []
+    real = setsketch.sized
+    monkeypatch.setattr(setsketch, "sized", lambda df, name, **k: met.append((name, real(df, name, **k))) or met[-1][1])
+    assert got(setsketch.near_duplicates(documents(rows))) == expected(rows)
+    sets = [shingle_set(t) for _, t in rows[:120]]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    met = sum(df.count() for name, df in met if name == "likely")
+    short, long_ = (sum(x >= floor for x in alike) / len(alike) for floor in (setsketch.lowest(75), setsketch.lowest_long(75)))
+    assert short > 0.9 and met < 2 * (long_ + 0.05) * len(rows) ** 2 / 2, (short, long_, met)
+
+
+def test_long_estimate_is_close():
+    r = np.random.default_rng(2)
+    for n, m, both in ((400, 400, 340), (1000, 700, 700), (3, 3, 2), (5000, 5000, 10)):
+        x = r.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        sets = np.concatenate([x[:n], x[n - both :]])
+        bits = np.packbits((setsketch.registers(sets, np.array([0, n, n + m]), setsketch.LONG) & 1).astype(bool), axis=1).view("<u8")
+        level = both / (n + m - both)
+        error = 2 * ((1 + level) / 2 * (1 - level) / 2 / setsketch.LONG) ** 0.5
+        assert abs(setsketch.estimate_long(bits[:1], bits[1:])[0] - level) < 5 * error

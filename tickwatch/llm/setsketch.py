@@ -16,9 +16,11 @@ meets most is the bucket's head. First every class meets the head of the bucket
 form components, and from then on only buckets that hold several components matter: there, the head of the
 bucket's largest component meets all outside it. Then members outside it meet all members of other components in blocks of bounded
 size: a block's members travel with their registers and are compared within a task, each pair in the first band that it shares, and
-only pairs that are likely become rows. Of these the more probable ones are confirmed first, then those still between components. So
+only pairs that are likely become rows. Classes in crowded buckets get a second, longer sketch for this, of ``LONG`` registers of which
+the lowest bit is kept: it drops nearly all that lies under the threshold but less than ``SLACK`` of the short sketch's standard errors.
+Of the likely pairs the more probable ones are confirmed first, then those still between components. So
 no link that a band has revealed is lost, and a bucket of n alike documents costs n pairs. With the parameters here a pair at
-the threshold shares no band, or is dropped by its estimate, with a probability below 1e-6.
+the threshold shares no band, or is dropped by one of its estimates, with a probability below 1e-6.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; a row without doc_id counts its
 shingles and has no component, and is kept; rows with equal doc_id count as one document each by its own text; repeated rows
@@ -50,6 +52,10 @@ SLACK = 5.0
 COMPARED = 1 << 21
 #: Members of a bucket that meet as many others in one task, and pairs of them that are compared at once.
 BLOCK, PAIRS = 256, 1 << 13
+#: Registers of the longer sketch, and from how many pairs of a bucket on its members get one.
+LONG, CROWDED = 4096, 1024
+#: Sets whose longer sketches are drawn at once.
+DRAWN = 128
 SKETCH = "doc_id long, thash long, n_shingles long, f1 long, f2 long, registers binary"
 
 
@@ -70,32 +76,32 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return found, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def registers(found: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The sketch of each set, unsigned 16 bits; of an empty set all 0.
+def registers(found: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.ndarray:
+    """The sketch of each set, ``m`` registers of unsigned 16 bits; of an empty set all 0.
 
     Each shingle draws its points in ascending order, so it is done once its next point is above the largest minimum
-    of its set: about REGISTERS * ln(REGISTERS) points per set, whatever its size.
+    of its set: about m * ln(m) points per set, whatever its size.
     """
     sets = len(first) - 1
-    least = np.full(sets * REGISTERS, np.inf)
+    least = np.full(sets * m, np.inf)
     doc = np.repeat(np.arange(sets), np.diff(first))
     live, at, draw = np.arange(len(found)), np.zeros(len(found)), 0
     block = 1
     while len(live):
         steps = np.arange(draw + 1, draw + block + 1, dtype=U)
         seeds = mix(found[live][:, None] + steps[None, :] * U(0x9E3779B97F4A7C15))
-        gaps = -np.log(((seeds >> U(11)).astype(float) + 0.5) * 2.0**-53) / (REGISTERS * RATE)
+        gaps = -np.log(((seeds >> U(11)).astype(float) + 0.5) * 2.0**-53) / (m * RATE)
         points = at[live][:, None] + np.cumsum(gaps, axis=1)
-        where = (mix(seeds) % U(REGISTERS)).astype(np.int64) + doc[live][:, None] * REGISTERS
+        where = (mix(seeds) % U(m)).astype(np.int64) + doc[live][:, None] * m
         np.minimum.at(least, where.ravel(), points.ravel())
         at[live] = points[:, -1]
-        bound = least.reshape(sets, REGISTERS).max(axis=1)
+        bound = least.reshape(sets, m).max(axis=1)
         live = live[at[live] < bound[doc[live]]]
         draw += block
         block = min(32, block * 2)
     with np.errstate(divide="ignore"):
         out = np.floor(1 - np.log(least) / math.log(BASE))
-    return np.clip(out, 0, TOP).astype(np.uint16).reshape(sets, REGISTERS)
+    return np.clip(out, 0, TOP).astype(np.uint16).reshape(sets, m)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -149,6 +155,29 @@ def lowest(threshold: int) -> float:
     return level - SLACK * math.sqrt(level * (1 - level) / REGISTERS)
 
 
+def long_sketches(texts: DataFrame) -> DataFrame:
+    """(id, bits): the lowest bits of LONG registers of each text's set. Those of different registers agree by even chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in chunks(batch.column(1), max_docs=DRAWN):
+                bits = np.packbits((registers(*shingles(some), LONG) & 1).astype(bool), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), pa.array([b.tobytes() for b in bits], pa.binary())], names=["id", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, bits binary")
+
+
+def estimate_long(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity of sets from the share of bits that agree, ``(1 + similarity) / 2`` of all; rows are 64-bit words."""
+    return 1 - 2 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) / (64 * a.shape[1])
+
+
+def lowest_long(threshold: int) -> float:
+    """The longer sketches' estimate that a pair at the threshold does not fall under."""
+    agree = (1 + threshold / 100) / 2
+    return threshold / 100 - SLACK * 2 * math.sqrt(agree * (1 - agree) / LONG)
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of classes that may reach the threshold by their sizes and registers."""
     floor = lowest(threshold)
@@ -285,7 +314,9 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
         labels = components(links)
         state = opened(state, labels)
         pairs = ordered(state.where("component != main"), "id", "hub").join(tried, ["a", "b"], "left_anti")
-    near = sized(across(state, nodes, threshold).join(tried, ["a", "b"], "left_anti"), "likely")
+    crowded = state.where(F.col("outsiders") * F.col("members") >= CROWDED).select("id").distinct()
+    long_ = sized(long_sketches(texts.join(crowded, "id").repartition("id")), "long-sketches")
+    near = sized(across(state, nodes, long_, threshold).join(tried, ["a", "b"], "left_anti"), "likely")
     # what is probably linked first, for then much of the rest lies within components
     links = links.union(sized(confirmed(near.where(F.col("estimate") >= threshold / 100), texts, threshold), "links"))
     labels = components(links)
@@ -307,14 +338,14 @@ def opened(state: DataFrame, labels: DataFrame) -> DataFrame:
     return sized(state.join(main, "bucket"), "open")
 
 
-def across(state: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+def across(state: DataFrame, nodes: DataFrame, long_: DataFrame, threshold: int) -> DataFrame:
     """(a, b, estimate) of all classes of different components that share an open bucket and may reach the threshold.
 
     Those outside a bucket's main component ("left") meet all its members ("right") in blocks of about BLOCK by BLOCK; a block's members
-    travel with their registers and are compared where they arrive, so that only likely pairs become rows. A pair of several buckets
-    counts in the first band that it shares.
+    travel with their registers, in crowded buckets with their longer sketches too, and are compared where they arrive, so that only
+    likely pairs become rows. A pair of several buckets counts in the first band that it shares.
     """
-    floor, at_once = lowest(threshold), PAIRS
+    floor, floor_long, at_once, words = lowest(threshold), lowest_long(threshold), PAIRS, LONG // 64
     lefts, rights = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("outsiders", "members"))
     outside = F.col("component") != F.col("main")
     left, right = F.pmod(F.xxhash64("id", F.lit(1)), lefts), F.pmod(F.xxhash64("id", F.lit(2)), rights)
@@ -326,14 +357,18 @@ def across(state: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     as_left = F.transform(F.sequence(zero, rights - 1), lambda y: place(left, y, yes, no))
     as_right = F.transform(F.sequence(zero, lefts - 1), lambda x: place(x, right, no, yes))
     places = F.when(rights == 1, F.array(place(zero, zero, outside, yes))).when(outside, F.concat(as_left, as_right)).otherwise(as_right)
-    rows = state.join(nodes, "id").select("bucket", "id", "component", outside.alias("outside"), "n", "registers", F.explode(places).alias("place"))
-    rows = rows.select("bucket", "place.*", "id", "component", "outside", "n", "registers")
+    bits = F.when(F.col("outsiders") * F.col("members") >= CROWDED, F.col("bits")).alias("bits")
+    rows = state.join(nodes, "id").join(long_, "id", "left").select("bucket", "id", "component", outside.alias("outside"), "n", "registers", bits, F.explode(places).alias("place"))
+    rows = rows.select("bucket", "place.*", "id", "component", "outside", "n", "registers", "bits")
 
     def compare(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
         bucket, group = p["bucket"].to_numpy(), np.cumsum(edges(p)) - 1
         ids, component, outside, n = (p[c].to_numpy() for c in ("id", "component", "outside", "n"))
         all_ = np.frombuffer(b"".join(p["registers"]), np.uint16).reshape(len(p), -1)
         bands = all_.view("<u8")
+        has_long = p["bits"].notna().to_numpy()
+        long_of = np.cumsum(has_long) - 1
+        bits = np.frombuffer(b"".join(p["bits"][has_long]), "<u8").reshape(-1, words)
         left, right = np.flatnonzero(p["is_left"]), np.flatnonzero(p["is_right"])
         first, end = np.searchsorted(group[right], group[left]), np.searchsorted(group[right], group[left], "right")
         total = np.concatenate([[0], np.cumsum(end - first)])
@@ -353,6 +388,11 @@ def across(state: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
             i, j = i[fine], j[fine]
             guess = estimate(all_[i], all_[j], n[i].astype(float), n[j].astype(float))
             fine = guess >= floor
+            i, j, guess = i[fine], j[fine], guess[fine]
+            both = np.flatnonzero(has_long[i] & has_long[j])
+            guess[both] = estimate_long(bits[long_of[i[both]]], bits[long_of[j[both]]])
+            fine = np.ones(len(i), bool)
+            fine[both] = guess[both] >= floor_long
             a, b = ids[i[fine]], ids[j[fine]]
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "estimate": guess[fine]})
 
