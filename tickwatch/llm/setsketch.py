@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tickwatch.llm.common import U, Sequences, chunks, hashed_words, materialise, mix, sized
 from tickwatch.llm.components import components
+from tickwatch.llm.recompression import FILTER_BITS, bit_filter, spots
 
 WORDS = 5
 BANDS, ROWS = 45, 4
@@ -296,7 +297,7 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
     degrees = rows.groupBy("id").agg(F.sum("size").alias("degree"))
     rows = sized(rows.select("bucket", "id").join(degrees, "id"), "members")
     wanted = materialise(classes.select("id", F.col("doc").alias("doc_id"), "thash").join(degrees.select("id"), "id"), "contenders")
-    texts = keyed(docs).join(wanted, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"])
+    texts = among(docs, wanted).join(wanted, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"])
     texts = materialise(texts.select("id", "text"), "texts")
 
     best = F.max(F.struct("degree", (-F.col("id")).alias("first"))).alias("best")
@@ -328,6 +329,23 @@ def linked(docs: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFra
     return links, components(links)
 
 
+def among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as ``keyed``, without most that are not ``wanted`` (doc_id, thash): a bit filter of fixed size keeps
+    their texts out of the shuffle. What it lets through too much finds no partner."""
+    key = F.xxhash64("doc_id", "thash").alias("k1")
+    filter_ = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(key), FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = filter_.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for spot in spots(batch.column(3).to_numpy().view(U), FILTER_BITS):
+                keep &= (table[spot >> 6] >> (spot & 63).astype(U)) & U(1) == U(1)
+            yield batch.filter(pa.array(keep)).select([0, 1, 2])
+
+    return keyed(docs).select("doc_id", "text", "thash", key).mapInArrow(run, "doc_id long, text string, thash long")
+
+
 def opened(state: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with the bucket's largest component and that one's hub."""
     best = F.max(F.struct("degree", (-F.col("id")).alias("first"))).alias("best")
