@@ -86,3 +86,27 @@ def test_deduplicated_keeps_columns(documents):
     out = recompression.deduplicated(docs)
     assert out.schema.simpleString() == docs.schema.simpleString()
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(1, text, len(text)), (2, "head tail", 9), (3, "a  b", 4), (4, None, None)]
+
+
+def test_a_line_over_and_over_is_one_stretch(spark, documents):
+    """Of a text that repeats one line, a row for each key and not for each repetition."""
+    rows = [(i, " ".join([f"h{i}x{n}" for n in range(30)] + ["is", "one."] * (200 + i) + [f"t{i}x{n}" for n in range(30)])) for i in range(20)]
+    docs = documents(rows)
+    assert got(recompression.removed(docs)) == expected(rows, 50)
+    assert recompression.repeated(docs).count() <= 19 * 10
+
+
+def test_repeated_stretches_far_apart(spark, documents):
+    """Places of one key whose words do not meet stay apart, in one text and over the edge of two."""
+    line = [f"p{n}" for n in range(12)]
+    for gap in (0, 1, 9, 10, 11, 40):
+        rows = [(i, " ".join(line + [f"a{i}x{n}" for n in range(gap)] + line + [f"b{i}x{n}" for n in range(gap)] + line)) for i in range(6)]
+        assert got(recompression.removed(documents(rows), 10)) == expected(rows, 10), gap
+
+
+def test_a_cover_of_one_window_has_one_source(spark, documents):
+    passage = " ".join(f"p{n}" for n in range(50))
+    rows = [(1, passage), (2, passage), (3, f"head {passage} tail"), (3, passage), (4, passage)]
+    docs = documents(rows)
+    assert got(recompression.removed(docs)) == expected(rows, 50)
+    assert sorted((r["doc_id"], r["first"], r["last"]) for r in recompression.repeated(docs).collect()) == [(2, 0, 0), (3, 0, 0), (3, 1, 1), (4, 0, 0)]

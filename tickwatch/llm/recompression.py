@@ -17,9 +17,11 @@ before it, and with those after it, up to half a window: of two equal windows' r
 pre-aggregation finds the covers that occur in several documents, and the halves that occur in several covers.
 (2) A second pass emits the records of such covers, and, only for records with such a half, the edges of passages and
 surroundings of edits, the windows one by one. Which keys matter is looked up in a bit filter of fixed size
-(``FILTER_BITS``); what it lets through too much finds no partner. (3) Of equal covers, and of equal windows, all but those of the
-smallest doc_id are repeats; their words are removed. Keys are pre-aggregated and joined, never gathered, so a passage in
-a third of all documents is no hot task.
+(``FILTER_BITS``); what it lets through too much finds no partner. A text that repeats one line has the same covers and
+windows over and over: places of one key whose words meet leave as one stretch, so a key has at most one row for each ``window``
+words of a text. (3) Of equal covers, and of equal windows, all but those of the
+smallest doc_id are repeats; their words are removed. Each key has one source, so the join makes no more rows than it has
+places. Keys are pre-aggregated and joined, never gathered, so a passage in a third of all documents is no hot task.
 
 Fingerprints that decide have 128 bits.
 
@@ -121,9 +123,11 @@ class Records:
         self.text, self.stop = texts[self.doc], texts[self.doc + 1]
 
     def cover(self) -> tuple[np.ndarray, np.ndarray]:
-        """The key of all words of a record's windows. Its second part is odd, that of a half is 0."""
+        """The key of all words of a record's windows. Its second part is odd; that of a half is 0, and that of a cover
+        of a single window is another even number: such a record goes by its window."""
         to = self.last + self.window
-        return self.prints.of(self.first, to), self.covers.of(self.first, to) | U(1)
+        second = self.covers.of(self.first, to) | U(1)
+        return self.prints.of(self.first, to), np.where(self.last > self.first, second, second ^ U(1) | U(2))
 
     def halves(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
         """(records, key) of the anchors with the words before them, and with those after them: any window that holds
@@ -156,6 +160,20 @@ def leftmost_least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return out
 
 
+def stretches(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, their ``last``): of each text's places with one key, those whose words meet become one, which begins at the
+    first of them and ends with the last. Equal keys stand for equally many windows."""
+    order = np.lexsort((first, k1))
+    a, b = order[:-1], order[1:]
+    new = np.ones(len(order), bool)
+    new[1:] = (k1[a] != k1[b]) | (k2[a] != k2[b]) | (doc[a] != doc[b]) | (first[b] > last[a] + window)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(order))[: len(head)] - 1
+    # in the order of the texts again: neighbours of one document pack better
+    back = np.argsort(order[head])
+    return order[head][back], last[order[tail]][back]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("thash"), text.alias("text"))
@@ -196,8 +214,9 @@ def bit_filter(ties: DataFrame, bits: int) -> np.ndarray:
 
 
 def places(docs: DataFrame, window: int, rounds: int, bits: int, filter_: Broadcast, singles: bool) -> DataFrame:
-    """(k1, k2, doc_id, thash, first, last): of windows whose record has a tied half (``singles``), or of these and all
-    records with a tied cover. ``first`` and ``last`` count words from the text's start."""
+    """(k1, k2, doc_id, thash, first, last): of windows whose record has a tied half or is a single, tied window
+    (``singles``), or of these and all other records with a tied cover. ``first`` and ``last`` count words from the text's
+    start; the words from ``first`` to ``last`` and a window further are all held by places of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filter_.value
@@ -214,15 +233,18 @@ def places(docs: DataFrame, window: int, rounds: int, bits: int, filter_: Broadc
                 wanted = np.zeros(len(r.first), bool)
                 for some, key in r.halves():
                     wanted[some[tied(key)]] = True
-                wanted = np.flatnonzero(wanted)
+                c1, c2 = r.cover()
+                own, several = tied(c1), r.last > r.first
+                wanted = np.flatnonzero(wanted | own & ~several)
                 n = r.last[wanted] - r.first[wanted] + 1
                 start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - r.first[wanted], n)
                 found = [(r.prints.of(start, start + window), r.covers.of(start, start + window) | U(1), np.repeat(wanted, n), start, start)]
                 if not singles:
-                    c1, c2 = r.cover()
-                    own = np.flatnonzero(tied(c1))
+                    own = np.flatnonzero(own & several)
                     found.append((c1[own], c2[own], own, r.first[own], r.last[own]))
                 k1, k2, own, first, last = map(np.concatenate, zip(*found))
+                kept, last = stretches(k1, k2, r.doc[own], first, last, window)
+                k1, k2, own, first = k1[kept], k2[kept], own[kept], first[kept]
                 doc = pa.array(r.doc[own] + at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array((first - r.text[own]).astype(np.int32)), pa.array((last - r.text[own]).astype(np.int32))],
@@ -233,13 +255,15 @@ def places(docs: DataFrame, window: int, rounds: int, bits: int, filter_: Broadc
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, thash, first, last): stretches of windows that also start in a document with a smaller doc_id."""
+    """(doc_id, thash, first, last): stretches whose words, up to a window beyond ``last``, are all held by windows that
+    also start in a document with a smaller doc_id."""
     ties = keys(docs, window, rounds).groupBy("k1", "k2").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
     ties = materialise(ties.select("k1", "k2", F.col("low").alias("source")), "ties")
     filter_ = docs.sparkSession.sparkContext.broadcast(bit_filter(ties, bits))
     # texts are parsed again rather than kept: a scan costs less than shuffling what it makes
     windows = places(docs, window, rounds, bits, filter_, singles=True).groupBy("k1", "k2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last_doc"))
-    sources = ties.where("k2 != 0").union(windows.where("source < last_doc").select("k1", "k2", "source"))
+    # a key is that of a window or that of a cover of several: none is in both
+    sources = ties.where("k2 % 2 != 0").union(windows.where("source < last_doc").select("k1", "k2", "source"))
     found = places(docs, window, rounds, bits, filter_, singles=False).join(sources, ["k1", "k2"])
     return found.where("doc_id > source").select("doc_id", "thash", "first", "last")
 
